@@ -81,12 +81,13 @@ def variants(fp: str, radius: int) -> Column:
 
 def punctured(fp: str) -> Column:
     """A key for each erased block and each flip of at most one bit outside it; the erased bits hold the block's number."""
-    found = []
-    for k, (low, high) in enumerate(BLOCKS):
-        keep = signed(((1 << BITS) - 1) ^ (((1 << (high - low)) - 1) << low))
+
+    def of_block(k: int, low: int, high: int) -> Column:
+        keep = F.lit(signed(((1 << BITS) - 1) ^ (((1 << (high - low)) - 1) << low))).cast("bigint")
         masks = [signed((x & ((1 << BITS) - 1)) ^ (k << low)) for x in flips(1, [b for b in range(BITS) if not low <= b < high])]
-        found.append(F.transform(F.array(*(F.lit(x).cast("bigint") for x in masks)), lambda m, keep=keep: F.col(fp).bitwiseAND(F.lit(keep).cast("bigint")).bitwiseXOR(m)))
-    return F.concat(*found)
+        return F.transform(F.array(*(F.lit(x).cast("bigint") for x in masks)), lambda m: F.col(fp).bitwiseAND(keep).bitwiseXOR(m))
+
+    return F.concat(*(of_block(k, *b) for k, b in enumerate(BLOCKS)))
 
 
 def stars(nodes: DataFrame, radius: int) -> DataFrame:
