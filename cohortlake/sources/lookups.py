@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 FIRST_YEAR = 1959
 PRICE_INDEX = (
     17.262, 17.546, 17.730, 17.939, 18.149, 18.414, 18.681, 19.155, 19.637, 20.402, 21.327, 22.325, 23.274, 24.070, 25.368, 28.009, 30.348, 32.013, 34.091, 36.479,
-    39.714, 43.978, 47.908, 50.553, 52.729, 54.724, 56.661, 57.887, 59.650, 61.974, 64.641, 67.440, 69.652, 71.494, 73.279, 74.803, 76.356, 77.981, 79.327,
-    79.936, 81.110, 83.131, 84.736, 85.873, 87.572, 89.703, 92.261, 94.729, 97.101, 100.065, 100.000, 101.653, 104.149, 106.062, 107.333,
+    39.714, 43.978, 47.908, 50.553, 52.729, 54.724, 56.661, 57.887, 59.650, 61.974, 64.641, 64.641, 67.440, 69.652, 71.494, 73.279, 74.803, 76.356, 77.981, 79.327,
+    79.936, 81.110, 83.131, 84.736, 85.873, 87.572, 89.703, 92.261, 94.729, 97.101, 100.065, 100.000, 101.653, 104.149, 106.062,
 )
 MINIMUM_WAGE = (
     1.00, 1.00, 1.00, 1.15, 1.15, 1.25, 1.25, 1.25, 1.25, 1.40, 1.60, 1.60, 1.60, 1.60, 1.60, 1.60, 2.00, 2.10, 2.10, 2.30, 2.65, 2.90, 3.10, 3.35, 3.35, 3.35, 3.35, 3.35,
