@@ -98,6 +98,11 @@ def digest(data: bytes) -> bytes:
     return hashlib.sha256(data).digest()
 
 
+def key_of(data: bytes) -> bytes:
+    """The first 128 bits of the digest, which name chunks and media in joins; what is rebuilt is checked against them."""
+    return digest(data)[:16]
+
+
 def feature(samples: bytes) -> str:
     """Signal features of the samples: mean and root mean square around the middle, zero crossings, peak."""
     x = np.frombuffer(samples, np.uint8).astype(np.int32) - 128
@@ -106,7 +111,7 @@ def feature(samples: bytes) -> str:
 
 
 def media_lists(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, medium (SHA-256 of the stored form), digests (ordered chunk list)."""
+    """doc_id, n_bytes, medium (key of the stored form), digests (ordered list of chunk keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,8 +119,8 @@ def media_lists(docs: DataFrame) -> DataFrame:
             for text in utf8(batch, "text"):
                 stored = to_media(payload(text))
                 sizes.append(len(text))
-                media.append(digest(stored))
-                lists.append([digest(c) for c in chunks(stored)])
+                media.append(key_of(stored))
+                lists.append([key_of(c) for c in chunks(stored)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], names=["doc_id", "n_bytes", "medium", "digests"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, medium binary, digests array<binary>")
@@ -138,12 +143,12 @@ def chunk_rows(docs: DataFrame, hot: dict[bytes, int], dictionary: bytes) -> Dat
                 rows: dict[tuple[bytes, int], bytes] = {}
                 for text in utf8(batch.slice(at, 256), "text"):
                     stored = to_media(payload(text))
-                    medium = digest(stored)
+                    medium = key_of(stored)
                     if medium in seen:
                         continue
                     seen.add(medium)
                     for c in chunks(stored):
-                        d = digest(c)
+                        d = key_of(c)
                         key = (d, salt_of(medium, hot.get(d, 1)))
                         if key not in rows:
                             rows[key] = pack.compress(c)
@@ -162,15 +167,15 @@ def rebuild(lists: DataFrame, dictionary: bytes) -> DataFrame:
             for i in range(batch.num_rows):
                 medium, parts = batch.column("medium")[i].as_py(), batch.column("parts")[i].as_py()
                 stored = b"".join(unpack.decompress(p["z"]) for p in sorted(parts, key=lambda p: p["pos"]))
-                if digest(stored) != medium:
+                if (whole := digest(stored))[:16] != medium:
                     raise ValueError(f"medium {medium.hex()} differs from its chunks")
                 samples = from_media(stored)
-                rows.append((medium, len(samples), digest(samples), zlib.crc32(samples[-16:]), len(stored), feature(samples), len(parts)))
-            columns = [list(x) for x in zip(*rows, strict=True)] if rows else [[]] * 7
-            kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["medium", "payload_bytes", "payload", "tail_crc32", "media_bytes", "feature", "n_chunks"])
+                rows.append((medium, len(samples), digest(samples), zlib.crc32(samples[-16:]), len(stored), whole, feature(samples), len(parts)))
+            columns = [list(x) for x in zip(*rows, strict=True)] if rows else [[]] * 8
+            kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["medium", "payload_bytes", "payload", "tail_crc32", "media_bytes", "media", "feature", "n_chunks"])
 
-    return lists.mapInArrow(run, "medium binary, payload_bytes long, payload binary, tail_crc32 long, media_bytes long, feature string, n_chunks long")
+    return lists.mapInArrow(run, "medium binary, payload_bytes long, payload binary, tail_crc32 long, media_bytes long, media binary, feature string, n_chunks long")
 
 
 def compression_dictionary(docs: DataFrame) -> bytes:
@@ -205,4 +210,4 @@ def media_digests(docs: DataFrame) -> DataFrame:
     parts = entries.join(store, ["digest", "salt"]).groupBy("medium").agg(F.collect_list(F.struct("pos", "z")).alias("parts"))
     read = staged(rebuild(parts, dictionary), "media-read", compression="zstd")
     hexed = lambda c: F.lower(F.hex(c))
-    return listed.select("doc_id", "n_bytes", "medium").join(read, "medium").select("doc_id", "n_bytes", "payload_bytes", hexed("payload").alias("payload_sha256"), "tail_crc32", "media_bytes", hexed("medium").alias("media_sha256"), "feature", "n_chunks")
+    return listed.select("doc_id", "n_bytes", "medium").join(read, "medium").select("doc_id", "n_bytes", "payload_bytes", hexed("payload").alias("payload_sha256"), "tail_crc32", "media_bytes", hexed("media").alias("media_sha256"), "feature", "n_chunks")
