@@ -95,3 +95,17 @@ def lifecycle_profile(panel: DataFrame, edges: Sequence[float], ages: Sequence[i
     life = pn.lifetime_income(panel, floor, least).filter("lt is not null")
     grouped = qu.rank_bins(life, [], ["lt", "id"], edges, "le_group").select("id", "le_group")
     return panel.filter(F.col("age").isin(list(ages))).join(grouped, "id").groupBy("le_group", "age").agg(F.count(F.lit(1)).alias("n"), F.avg(F.greatest(F.col("y"), F.lit(floor))).alias("mean"))
+
+
+def toolbox_impulse(panel: DataFrame, horizons: Sequence[int] = (1, 2, 3, 5, 10), floor: float = 0.0, young: int = 34, income_groups: int = 8, shock_groups: int = 23) -> DataFrame:
+    """age_group, inc, chg, h, n, response: positional past change sets the shock group, changes over the next h rows respond. The past
+    change and the responses have names of their own. panel: ID, YEAR, AGE, REAL_WAGE."""
+    w = Window.partitionBy("ID").orderBy("YEAR")
+    x = F.col("REAL_WAGE")
+    recent = F.avg(F.greatest(x, F.lit(floor))).over(w.rowsBetween(-4, 0))
+    rows = panel.withColumn("re", recent).withColumn("past", arc_change(x, F.lag(x, 1).over(w), 200.0))
+    rows = rows.withColumns({f"next{h}": arc_change(F.lead(x, h).over(w), x, 200.0) for h in horizons})
+    rows = rows.filter("past is not null").withColumn("age_group", F.when(F.col("AGE") <= young, 1).otherwise(2).cast("long"))
+    binned = qu.xtile(qu.xtile(rows, ["age_group"], "re", income_groups, "inc", "linear"), ["age_group", "inc"], "past", shock_groups, "chg", "linear")
+    long = binned.unpivot(["age_group", "inc", "chg"], [f"next{h}" for h in horizons], "_h", "g").withColumn("h", F.substring("_h", 5, 3).cast("long"))
+    return long.groupBy("age_group", "inc", "chg", "h").agg(F.count("g").alias("n"), F.avg("g").alias("response"))

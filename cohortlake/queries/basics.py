@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions import scalar as sc
 from cohortlake.functions.quantiles import ranked
+from cohortlake.operators import columns as co
 from cohortlake.operators import filters as fl
 from cohortlake.operators import joins as jn
 from cohortlake.operators import panel as pn
@@ -426,3 +427,40 @@ def x08_strings(spark, d):
 @query("select id, yr, row_number() over (order by y, id, yr) as k, count(*) over () as n from p", "panel")
 def o01_global_rank(spark, d):
     return ranked(panel(spark, d), [], ["y", "id", "yr"], parts=16).select("id", "yr", big("_k").alias("k"), big("_n").alias("n"))
+
+
+@query("select c_custkey, c_name, c_nationkey from customer")
+def p01_wildcards(spark, d):
+    return co.keep(co.drop(readers.table(spark, d, "customer"), "c_acct*", "c_mkt*"), "c_*")
+
+
+@query("select c_custkey as id, c_acctbal as income, null::varchar as segment, 1999 as year from customer where c_custkey % 2 = 0 union all select c_custkey, c_acctbal, c_mktsegment, 2001 from customer where c_custkey % 2 = 1")
+def p02_renamed_waves(spark, d):
+    c = readers.table(spark, d, "customer")
+    frames = {1999: c.filter("c_custkey % 2 = 0"), 2001: c.filter("c_custkey % 2 = 1")}
+    names = {1999: {"c_custkey": "id", "c_acctbal": "income"}, 2001: {"c_custkey": "id", "c_acctbal": "income", "c_mktsegment": "segment"}}
+    return co.waves(frames, names)
+
+
+@query("select r_name, r_regionkey from region")
+def p04_order(spark, d):
+    return co.ordered(readers.table(spark, d, "region"), "r_name")
+
+
+@query("select n_nationkey, n_name from nation")
+def p15_labels(spark, d):
+    return co.labelled(readers.table(spark, d, "nation"), {"n_name": "name of the nation"}).select("n_nationkey", "n_name")
+
+
+@query("select p_partkey, cast(case when p_size in (9, 8) then null else p_size end as bigint) as p_size, cast(case when p_size = 7 then 1 else 0 end as bigint) as cut from part")
+def p06_nines(spark, d):
+    out = co.recoded_sentinels(readers.table(spark, d, "part", ["p_partkey", "p_size"]), ["p_size"], 1, "cut")
+    return out.select("p_partkey", big("p_size").alias("p_size"), big("cut").alias("cut"))
+
+
+@query("select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as k from orders")
+def w05_row_id(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return readers.table(spark, d, "orders", ["o_custkey", "o_orderkey", "o_orderdate"]).select("o_custkey", "o_orderkey", big(F.row_number().over(w)).alias("k"))

@@ -223,3 +223,31 @@ def m30_comparison(spark, d):
     return rounded(tr.compared(a, b, ["yr"], "v"), 4, r=6)
 
 
+
+
+@query()
+def m04_cohorts(spark, d):
+    from cohortlake.plans import cohorts
+
+    start = cohorts.first_year(spark.range(500).select("id", (1940 + F.col("id") % 36).alias("cohort")))
+    return rounded(cohorts.projected(cohorts.projected(start)).groupBy("age").agg(F.count("*").alias("n"), F.avg("income").alias("mean")))
+
+
+@query()
+def m13_toolbox_impulse(spark, d):
+    return rounded(pl.toolbox_impulse(_toolbox_frame(spark, d), (1, 2), FLOOR, income_groups=4, shock_groups=5), 4)
+
+
+@query()
+def m24_blended_search(spark, d):
+    problem = _problem()
+    found = se.minimise(spark, problem, problem.bounds, draws=32, keep=2, maxiter=30, batch=2)
+    return rounded(se.recovery(spark, problem.free, found["x"], si.TRUTH[[1, 6]]), 4)
+
+
+@query()
+def e02_survey_changes(spark, d):
+    from cohortlake.plans import survey
+
+    g = aged(spark, d).filter("age between 25 and 60").select(F.col("id").alias("person"), F.col("yr").alias("year"), F.col("y").alias("real"), "age", (F.col("id") % 4).alias("kind"))
+    return rounded(survey.robust_statistics(survey.change_groups(g, ["age", "kind"]), ["year"]), 5)
