@@ -74,7 +74,8 @@ REGISTRY: Mapping[str, Callable[[Column], Column]] = {
     "n": F.count, "mean": F.avg, "sd": F.stddev_samp, "sd_pop": F.stddev_pop, "var": F.var_samp, "min": F.min, "max": F.max, "sum": F.sum, "median": lambda x: F.percentile(x, 0.5),
     "skew": F.skewness, "kurt": lambda x: F.kurtosis(x) + 3, "skew_unbiased": skew_unbiased_safe, "kurt_excess": kurt_unbiased_safe,
     "meanlog": lambda x: F.avg(F.ln(x)), "sdlog": lambda x: F.stddev_samp(F.ln(x)), "skewlog": lambda x: skew_unbiased_safe(F.ln(x)), "kurtlog": lambda x: kurt_unbiased_safe(F.ln(x)),
-    "p10": lambda x: F.expr("0") if x is None else F.percentile(x, 0.10), "p90": lambda x: F.percentile(x, 0.90),
+    # percentiles by the linear rule; functions.quantiles has the others
+    "p10": lambda x: F.percentile(x, 0.10), "p25": lambda x: F.percentile(x, 0.25), "p50": lambda x: F.percentile(x, 0.50), "p75": lambda x: F.percentile(x, 0.75), "p90": lambda x: F.percentile(x, 0.90), "p98": lambda x: F.percentile(x, 0.98),
 }
 
 
