@@ -169,7 +169,7 @@ class LanguageModel:
 def train_language_model(docs: DataFrame, *, per_language: int = 1000, most_chars: int = 12_000) -> LanguageModel:
     """Learn from rows with a language whose crc32(doc_id) mod 4 is not 2; at most per_language rows of each."""
     some = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang").filter(id_remainder(4) != 2)
-    return LanguageModel.learn([(r["text"], r["lang"]) for r in training_rows(some, "lang", per_language, most_chars)])
+    return LanguageModel.learn([(r["text"], r["lang"]) for r in training_rows(some, None, "lang", per_language, most_chars)])
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
