@@ -36,12 +36,12 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], pa
     keyed = df.withColumn("_v", first.cast("double"))
     probabilities = [i / parts for i in range(1, parts)]
     cuts = keyed.groupBy(*keys).agg(F.percentile_approx("_v", probabilities, 1000).alias("_cuts")) if keys else keyed.agg(F.percentile_approx("_v", probabilities, 1000).alias("_cuts"))
-    placed = (keyed.join(F.broadcast(cuts), keys) if keys else keyed.crossJoin(F.broadcast(cuts))).withColumn("_part", F.size(F.filter("_cuts", lambda c: F.col("_v") > c))).drop("_cuts")
+    placed = (keyed.join(cuts, keys) if keys else keyed.crossJoin(F.broadcast(cuts))).withColumn("_part", F.size(F.filter("_cuts", lambda c: F.col("_v") > c))).drop("_cuts")
     sizes = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"))
     over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     offsets = sizes.select(*keys, "_part", (F.sum("_size").over(over.orderBy("_part")) - F.col("_size")).alias("_before"), F.sum("_size").over(over).alias("_n"))
     local = placed.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
-    return local.join(F.broadcast(offsets), [*keys, "_part"]).withColumn("_k", F.col("_local") + F.col("_before")).drop("_v", "_part", "_local", "_before")
+    return local.join(offsets, [*keys, "_part"]).withColumn("_k", F.col("_local") + F.col("_before")).drop("_v", "_part", "_local", "_before")
 
 
 def at(rank: Column, value: Column) -> Column:

@@ -52,7 +52,8 @@ def density_moments(grid: DataFrame, x: str, f: str, tail: float) -> DataFrame:
 
 def empirical_cdf(df: DataFrame, value: str, top: int) -> DataFrame:
     """i, pct: percent of rows with at most i, i = 0..top, whether or not a value occurs."""
-    counts = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    # values above the top count alike, so the table has top + 2 rows at most
+    counts = df.groupBy(F.least(F.col(value), F.lit(top + 1)).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     total = counts.agg(F.sum("_c").alias("_t"))
     grid = df.sparkSession.range(top + 1).withColumnRenamed("id", "i")
     below = grid.join(F.broadcast(counts), F.col("_v") <= F.col("i"), "left").groupBy("i").agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_b"))

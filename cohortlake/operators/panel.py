@@ -67,14 +67,15 @@ def future_average(panel: DataFrame, value: str, years: int, name: str, id_: str
 
 
 def normalised(panel: DataFrame, value: str, keys: Sequence[str], name: str) -> DataFrame:
-    """The value over its group's mean. Means come from a map-side aggregate and a join, so no group is sorted in one task."""
+    """The value over its group's mean. Means come from a map-side aggregate and a join, planned by their size, so no group is sorted
+    in one task."""
     means = panel.groupBy(*keys).agg(F.avg(value).alias("_mean"))
-    return panel.join(F.broadcast(means), list(keys)).withColumn(name, F.try_divide(F.col(value), F.col("_mean"))).drop("_mean")
+    return panel.join(means, list(keys)).withColumn(name, F.try_divide(F.col(value), F.col("_mean"))).drop("_mean")
 
 
 def demeaned(panel: DataFrame, value: str, keys: Sequence[str], name: str) -> DataFrame:
     means = panel.groupBy(*keys).agg(F.avg(value).alias("_mean"))
-    return panel.join(F.broadcast(means), list(keys)).withColumn(name, F.col(value) - F.col("_mean")).drop("_mean")
+    return panel.join(means, list(keys)).withColumn(name, F.col(value) - F.col("_mean")).drop("_mean")
 
 
 def arc_changes(panel: DataFrame, value: str, k: int, name: str, means: DataFrame | None = None, mean_key: str = "yr", floor: float | None = None) -> DataFrame:

@@ -111,7 +111,7 @@ def imputed(df: DataFrame, coefficients: DataFrame, keys: Sequence[str], y: str,
     """Where topcoded holds: a pseudo-random quantile slot of the row picks coefficients (keys, slot, b0, b_<x>), whose prediction
     counts, but never less than what is observed. Coefficients have groups x slots rows."""
     drawn = df.withColumn("slot", (F.floor(md5_uniform(seed, F.col("id"), F.col("yr")) * slots) + 1).cast("long"))
-    joined = drawn.join(F.broadcast(coefficients), [*keys, "slot"], "left")
+    joined = drawn.join(coefficients, [*keys, "slot"], "left")
     predicted = F.col("b0")
     for x in xs:
         predicted = predicted + F.col(f"b_{x}") * F.col(x)
@@ -168,4 +168,4 @@ def loess(df: DataFrame, keys: Sequence[str], x: str, y: str, span: float = 0.4)
 def reference_normalised(df: DataFrame, keys: Sequence[str], bin_: str, value: str, reference: int, name: str) -> DataFrame:
     """The value less the one of the reference bin within keys."""
     base = df.filter(F.col(bin_) == reference).select(*keys, F.col(value).alias("_base"))
-    return df.join(F.broadcast(base), list(keys), "left").withColumn(name, F.col(value) - F.col("_base")).drop("_base")
+    return df.join(base, list(keys), "left").withColumn(name, F.col(value) - F.col("_base")).drop("_base")
