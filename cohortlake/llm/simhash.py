@@ -6,9 +6,10 @@ linked to the least of them, a star instead of all pairs, and no link of the cla
 
 The radius 3 is odd. A pair at distance exactly 3 differs inside at least one of three blocks of the 64 bits; erasing such a block
 leaves at most 2 differing bits, so the punctured fingerprints meet in a variant within 1 again. A punctured variant whose
-fingerprints all are in one component already says nothing new. Only the fingerprints of the other, ambiguous variants go to the
-last step, which needs no luck either: they emit the full ball of radius 1 to one side and of radius 2 to the other; those that
-meet are within 3, and a star per variant links them. Every link is verified by its construction and again by bit count.
+fingerprints all are in one component already says nothing new. In nearly all others few fingerprints stand outside the group's
+largest component: up to PAIRED of them are compared with the rest of the group, which never pairs a component with itself. Where
+more stand outside, the group's fingerprints emit the full ball of radius 1 to one side and of radius 2 to the other; those that
+meet are within 3, and a star per variant links them. Every link is verified by bit count.
 
 Defined cases: null or empty text (no words) has fingerprint zero, which links like any other; under `shingle` words the whole
 sequence is the one shingle; repeated rows share a fingerprint; null ids lose against any other for component_id.
@@ -30,6 +31,9 @@ BITS = 64
 SEED = 42
 #: Bit ranges [from, to) that are erased in turn.
 BLOCKS = ((0, 22), (22, 43), (43, 64))
+#: Groups with up to so many members outside their largest component are compared directly, others through balls; both ways find
+#: every link.
+PAIRED = 32
 
 
 def signed(x: int) -> int:
@@ -95,13 +99,13 @@ def stars(nodes: DataFrame, radius: int) -> DataFrame:
     2081 (radius 2) distinct fingerprints surround a variant, so a window over one is bounded whatever the data."""
     at = Window.partitionBy("variant")
     if radius == 1:
-        spread = nodes.select("fp", F.explode(variants("fp", 1)).alias("variant")).withColumn("a", F.min("fp").over(at))
+        met = nodes.select("fp", F.explode(variants("fp", 1)).alias("variant")).withColumn("a", F.min("fp").over(at))
     else:
         masks = F.array(*(F.lit(x).cast("bigint") for x in flips(2, list(range(BITS)))))
         wide = nodes.select("fp", F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("at", "variant"))
         # the first masks are those of at most one bit: these fingerprints may be a star's middle
-        spread = wide.withColumn("a", F.min(F.when(F.col("at") <= BITS, F.col("fp"))).over(at))
-    pairs = spread.filter("a <> fp").select("a", F.col("fp").alias("b"))
+        met = wide.withColumn("a", F.min(F.when(F.col("at") <= BITS, F.col("fp"))).over(at))
+    pairs = met.filter("a <> fp").select("a", F.col("fp").alias("b"))
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 1 + radius).distinct()
 
 
@@ -126,14 +130,35 @@ def components(nodes: DataFrame, edges: DataFrame, label: str) -> DataFrame:
     return nodes.join(moved.select("fp", "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
+def compared(placed: DataFrame) -> DataFrame:
+    """a, b: links at distance 3 between components, of the members outside a key's largest component with all its members: at most
+    PAIRED rows for each member."""
+    one = placed.filter("root <> base").select("key", F.col("fp").alias("a"), F.col("root").alias("ra"))
+    other = placed.select("key", F.col("fp").alias("b"), F.col("root").alias("rb"))
+    met = one.join(other, "key").filter((F.col("ra") != F.col("rb")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Narrow rows that are about to become many, dealt over as many tasks as a shuffle has."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+
+
 def near_links(nodes: DataFrame) -> DataFrame:
     """fp, root of the distinct fingerprints: components under distance 3."""
+    nodes = spread(nodes)
     close = staged(stars(nodes, 1), "simhash-close")
-    rooted = staged(components(nodes, close, "simhash-close"), "simhash-rooted")
+    rooted = staged(spread(components(nodes, close, "simhash-close")), "simhash-rooted")
     keys = punctured("fp")
-    doubtful = staged(rooted.select("root", F.explode(keys).alias("key")).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key"), "simhash-doubtful")
-    some = staged(rooted.select("fp", F.explode(keys).alias("key")).join(doubtful, "key", "left_semi").select("fp").distinct(), "simhash-some")
-    wide = staged(stars(some, 2), "simhash-wide")
+    reached = rooted.select("root", F.explode(keys).alias("key")).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    doubtful = staged(reached.filter("low < high").select("key"), "simhash-doubtful")
+    # the doubtful keys grow with the data, so they are never broadcast
+    members = staged(rooted.select("fp", "root", F.explode(keys).alias("key")).join(doubtful.hint("merge"), "key"), "simhash-members")
+    sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("base"), (F.sum("n") - F.max("n")).alias("outside"))
+    placed = staged(members.join(staged(sizes, "simhash-sizes"), "key"), "simhash-placed")
+    few = F.col("outside") <= PAIRED
+    crowded = placed.filter(~few).select("fp").distinct()
+    wide = staged(compared(placed.filter(few)).unionByName(stars(spread(crowded), 2)).distinct(), "simhash-wide")
     return components(nodes, close.unionByName(wide), "simhash-all")
 
 
@@ -151,5 +176,6 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The row with the least id of each component; columns are those of docs. Of repeated rows with one id, one stays."""
     kept = near_duplicates(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count(F.lit(1)).alias("_kept_rows"))
     kept = staged(kept, "simhash-kept")
-    out = docs.join(kept.select("_kept_id"), F.col("doc_id").cast("bigint").eqNullSafe(F.col("_kept_id")), "left_semi")
+    # the kept ids grow with the data, so they are never broadcast
+    out = docs.join(kept.select("_kept_id").hint("merge"), F.col("doc_id").cast("bigint").eqNullSafe(F.col("_kept_id")), "left_semi")
     return out if kept.filter("_kept_rows > 1").isEmpty() else out.dropDuplicates(["doc_id"])

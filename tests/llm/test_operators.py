@@ -477,7 +477,9 @@ def test_fingerprint_of_long_text_in_parts():
     assert simhash.fingerprint(text.encode()) & (1 << 64) - 1 == slow_fingerprint(text)
 
 
-def test_ball_links_are_complete(spark):
+@pytest.mark.parametrize("paired", [0, 2, 32])
+def test_ball_links_are_complete(spark, monkeypatch, paired):
+    monkeypatch.setattr(simhash, "PAIRED", paired)
     rng = np.random.default_rng(11)
     seeds = [int(x) for x in rng.integers(0, 1 << 63, 25)]
     prints = set()
