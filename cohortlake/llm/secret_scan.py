@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlake.llm.text_models import sampled_ids
+
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 # [0-9a-f]+ of 32 and more: runs are maximal either way, and shorter ones are dropped
@@ -68,7 +70,9 @@ def training_samples(docs: DataFrame) -> DataFrame:
     base64 = F.regexp_replace(F.base64(F.unhex("h")), "=", "")
     random = ordinal.select(F.explode(F.array(base64, F.regexp_replace(base64, "[+/]", ""), F.substring("h", 1, 40), F.upper(F.regexp_replace(base64, "[+/]", "")))).alias("token"), F.lit(1).alias("label"))
     word = F.explode(F.filter(F.split(F.col("text"), r"[^A-Za-z0-9_]+"), lambda w: F.length(w).between(5, 40)))
-    some = docs.filter(~F.coalesce(F.col("text"), F.lit("")).rlike(f"{ASSIGN}|{ACCESS}|{HEX}")).select("text", F.xxhash64("doc_id").alias("_order"), "doc_id").orderBy("_order", "doc_id").limit(SAMPLE_DOCUMENTS)
+    chosen = sampled_ids(docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).filter("doc_id is not null"), None, SAMPLE_DOCUMENTS)
+    few = F.broadcast(spark.createDataFrame([(x,) for x in chosen], "_id long"))
+    some = docs.join(few, F.col("doc_id").cast("bigint") == F.col("_id")).filter(~F.coalesce(F.col("text"), F.lit("")).rlike(f"{ASSIGN}|{ACCESS}|{HEX}")).select("text")
     words = some.select(word.alias("w")).distinct().orderBy(F.xxhash64("w"), "w").limit(SAMPLE_WORDS)
     ordinary = words.select(F.explode(F.array("w", F.concat_ws("_", "w", F.lower("w")), F.concat("w", F.initcap("w")), F.concat_ws("-", F.lower("w"), "w"))).alias("token"), F.lit(0).alias("label"))
     counted = spark.range(200).select(F.concat_ws("_", F.lit("item"), F.col("id").cast("string")).alias("token"), F.lit(0).alias("label"))

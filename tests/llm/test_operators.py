@@ -370,6 +370,14 @@ def test_token_files(spark, odd, empty):
     assert token_files.token_file_digests(empty, path).count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 9, 10, 50])
+def test_range_of(spark, n):
+    cuts = sorted({int(x) for x in np.random.default_rng(n).integers(0, 200, n)})
+    df = spark.range(-1, 202).select("id", token_files.range_of(F.col("id"), cuts).alias("p"))
+    assert all(r.p == sum(c < r.id for c in cuts) for r in df.collect())
+    assert spark.range(1).select(token_files.range_of(F.lit(None).cast("bigint"), cuts).alias("p")).first().p == 0
+
+
 def test_token_file_layout(spark, odd, tmp_path):
     import glob
 
