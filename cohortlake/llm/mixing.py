@@ -66,7 +66,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, the one that a budget ends in cut to the words taken of it (its
     words joined by blanks). Documents of which nothing is taken go. Needs distinct ids; columns are those of docs."""
     taken = mix_sources(docs, **options).filter("taken > 0").select(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken"))
-    joined = docs.join(taken, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_mix_id")))
+    # the ids taken grow with the data, so they are never broadcast
+    joined = docs.join(taken.hint("merge"), F.col("doc_id").cast("bigint").eqNullSafe(F.col("_mix_id")))
     copies = joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_mix_taken") / F.col("_mix_size")))))
     kept = F.col("_mix_taken") - (F.col("_mix_copy") - 1) * F.col("_mix_size")
     text = F.when(kept >= F.col("_mix_size"), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, kept.cast("int")), " "))
