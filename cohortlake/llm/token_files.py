@@ -1,6 +1,6 @@
 """Token ids in Parquet list columns, and reading them back.
 
-Documents are range-partitioned by id before they are encoded (so only texts travel), sorted within the partitions and written by
+Documents are parted into id ranges before they are encoded (so only texts travel), sorted within the partitions and written by
 Spark's Parquet writer: one list column of ids with dictionary pages, the narrow columns beside it delta-encoded (format v2), row
 groups and pages of bounded size, and page indexes, so that a reader of few documents or of the metadata alone skips the rest.
 The writer's commit protocol makes lost tasks harmless. Document starts are distributed prefix sums over the files' shards.
@@ -11,6 +11,7 @@ first; an empty table gives no rows. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 import zlib
@@ -19,33 +20,45 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlake.llm.common import shared_dir, utf8
 
 #: Words that a worker keeps at most.
-CACHE = 350_000
+CACHE = 700_000
 FILE_SCHEMA = "doc_id long, shard int, n_tokens int, ids array<int>"
 
 
+def byte_characters() -> str:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it prints, else the next one from 256 on."""
+    prints = [33 <= b <= 126 or 161 <= b <= 172 or 174 <= b for b in range(256)]
+    return "".join(chr(b) if p else chr(256 + b - sum(prints[:b])) for b, p in enumerate(prints))
+
+
 class WordEncoder:
     """Ids of the tokenizers library, word by word.
 
     For a tokenizer that splits at white space, a text's ids are those of its white-space-separated words laid end to end. Words
-    are encoded by the library, in batches, and their ids kept in two bounded generations. A last comma or full stop after a
+    are encoded by the library, in batches, and their ids kept in a bounded cache. A last comma or full stop after a
     letter or ASCII digit is a pre-token of its own, and the case of ASCII words plays no part, so both are taken off first.
-    Words of letters only are one pre-token, whose last id alone ends a word: many are encoded as one text and cut there.
+    A word of Latin letters only is one pre-token that normalisation leaves alone once it is lower-cased, and its last id alone
+    ends a word: many go through the library's model as one text, already in byte characters, and are cut there. All others
+    pass the file's whole pipeline.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.tails = {x: self._each([x])[0] for x in (",", ".")}
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer = None
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.cache: dict[bytes, bytes] = {}
+        self.waiting: list[tuple[bytes, bytes, bytes]] = []
+        self.tails = {ord(x): self._each([x])[0] for x in ",."}
+        self.table = byte_characters()
         vocabulary = self.library.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
@@ -54,45 +67,79 @@ class WordEncoder:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _letters(self, texts: list[str]) -> list[bytes]:
+        """texts are in byte characters."""
         out: list[bytes] = []
-        for at in range(0, len(texts), 1000):
-            part = texts[at : at + 1000]
-            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        for at in range(0, len(texts), 2000):
+            part = texts[at : at + 2000]
+            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(part):  # a letter that the library's tables know as something else
-                out += self._each(part)
-                continue
+            if len(ends) != len(part):
+                raise ValueError("a word of letters ended within")
             data, bounds = ids.tobytes(), [0, *(ends * 4).tolist()]
             out += [data[a:b] for a, b in zip(bounds, bounds[1:])]
         return out
 
-    def learn(self, missing: list[bytes]) -> None:
-        keys: dict[bytes, tuple[str, str]] = {}
+    def learn(self, missing: set[bytes]) -> None:
+        """Put words into the cache; the simple shapes first, which are nearly all."""
+        cache = self.cache
+        self._known([w for w in missing if w.isalpha()])  # ASCII letters only
+        for tail, ids in self.tails.items():
+            # the stem of a word with a tail is learned like a word: others end in it
+            ended = [w for w in missing if w[-1] == tail and w[:-1].isalpha()]
+            stems = [w[:-1] for w in ended]
+            self._known(stems)
+            cache.update(zip(ended, [cache[x] + ids for x in stems]))
         for w in missing:
-            if (kept := self.old.get(w)) is not None:
-                self.young[w] = kept
-                continue
-            text, tail = w.decode(), ""
-            if text[-1] in ",." and (text[-2:-1].isalpha() or text[-2:-1] in "0123456789") and len(text) > 1:
-                text, tail = text[:-1], text[-1]
-            keys[w] = (text.lower() if text.isascii() and "<|" not in text else text, tail)
-        stems = list({k for k, _ in keys.values()})
-        plain = [x for x in stems if x.isalpha()]
-        other = [x for x in stems if not x.isalpha()]
-        ids = dict(zip(plain, self._letters(plain), strict=True)) | dict(zip(other, self._each(other), strict=True))
-        for w, (stem, tail) in keys.items():
-            self.young[w] = ids[stem] + self.tails[tail] if tail else ids[stem]
+            if w not in cache:
+                self._shaped(w)
+        todo, self.waiting = self.waiting, []
+        keys = {k for _, k, _ in todo}
+        latin = {k: t.lower().encode().decode("latin-1").translate(self.table) for k in keys if (t := k.decode()).isalpha() and max(t) <= "\xff"}
+        rest = list(keys.difference(latin))
+        found = dict(zip(latin, self._letters(list(latin.values())), strict=True)) | dict(zip(rest, self._each([x.decode() for x in rest]), strict=True))
+        for w, key, tail in todo:
+            cache[w] = found[key] + tail
+
+    def _known(self, stems: list[bytes]) -> None:
+        """Words of ASCII letters, learned if they are new."""
+        need = list({x for x in stems if x not in self.cache})
+        # case plays no part in ASCII
+        self.cache.update(zip(need, self._letters([x.lower().decode() for x in need]), strict=True))
+
+    def _shaped(self, w: bytes) -> None:
+        """Any other word: its stem and tail, if a tail stands after a letter or digit, wait for the library."""
+        stem, tail = w, self.tails.get(w[-1], b"")
+        if tail:
+            stem = w[:-1]
+            if not (stem[-1:].isalnum() or stem[-1:] >= b"\x80" and stem.decode()[-1].isalpha()):
+                stem, tail = w, b""
+        key = stem.lower() if stem.isascii() and b"<|" not in stem else stem
+        ids = self.cache.get(key)
+        if ids is None:
+            self.waiting.append((w, key, tail))
+        else:
+            self.cache[w] = ids + tail
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text. bytes.split() parts at ASCII white space only, which the tokenizer drops too."""
-        parts = [x.split() for x in texts]
-        if len(self.young) > CACHE:
-            self.young, self.old = {}, self.young
-        missing = set().union(*parts).difference(self.young)
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        get, out, unknown = self.cache.get, [], []
+        missing: set[bytes] = set()
+        for text in texts:
+            parts = (text.lower() if text.isascii() and b"<|" not in text else text).split()
+            found = list(map(get, parts))
+            if None in found:
+                gaps = [i for i, x in enumerate(found) if x is None]
+                missing.update([parts[i] for i in gaps])
+                unknown.append((parts, found, gaps))
+            out.append(found)
         if missing:
-            self.learn(list(missing))
-        cache = self.young
-        return [b"".join([cache[w] for w in p]) for p in parts]
+            self.learn(missing)
+            for parts, found, gaps in unknown:
+                for i in gaps:
+                    found[i] = get(parts[i])
+        return [b"".join(x) for x in out]
 
 
 @lru_cache(maxsize=2)
@@ -105,6 +152,7 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = encoder(tokenizer_file), np.array([end_id], "<u4").tobytes()
+        gc.disable()  # nothing here makes cycles, and passes over the large cache cost time
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -116,14 +164,29 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataF
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens int, ids array<int>")
 
 
+def range_of(x: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are below x, null as none; found in two steps of about the root of their number each."""
+    if not cuts:
+        return F.lit(0)
+    size = int(len(cuts) ** 0.5) + 1
+    blocks = [cuts[k : k + size] for k in range(0, len(cuts), size)]
+    below = lambda values: F.size(F.filter(values, lambda c: c < x))
+    block = F.least(below(F.lit([b[-1] for b in blocks])), F.lit(len(blocks) - 1))
+    place = block * size + below(F.get(F.array(*map(F.lit, blocks)), block))
+    return F.when(x.isNull(), 0).otherwise(place).cast("int")
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, *, end_id: int, shards: int | None = None, row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10) -> None:
     """Write the ids of docs in ascending order of doc_id. The shard column is the file's place in that order."""
     spark = docs.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    rows = encode_documents(ordered, tokenizer_file, end_id).select("doc_id", F.spark_partition_id().alias("shard"), "n_tokens", "ids")
-    options = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#n_tokens": "false", "compression": "zstd"}
-    rows.write.options(**{k: str(v) for k, v in options.items()}).parquet(path)
+    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
+    # cuts from the ids alone: n - 1 numbers, where a range partitioner would read the texts once more
+    cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 10 * n)).alias("cuts")).first()["cuts"] if n > 1 else None
+    ordered = rows.repartitionById(n, range_of(F.col("doc_id"), sorted(set(cuts or [])))).sortWithinPartitions("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    encoded = encode_documents(ordered, tokenizer_file, end_id).select("doc_id", F.spark_partition_id().alias("shard"), "n_tokens", "ids")
+    options = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#n_tokens": "false", "compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
+    encoded.write.options(**{k: str(v) for k, v in options.items()}).parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -146,7 +209,8 @@ def stored_documents(files: DataFrame) -> DataFrame:
         for batch in batches:
             ids = batch.column("ids")
             values, bounds = ids.values.to_numpy(), ids.offsets.to_numpy()
-            found = [zlib.crc32(values[a:b].astype("<u4").tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            values = np.ascontiguousarray(values, "<i4")  # the same bytes as unsigned ids
+            found = [zlib.crc32(values[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("shard"), pa.array(np.diff(bounds), pa.int64()), pa.array(found, pa.int64())], names=["doc_id", "shard", "n_tokens", "ids_crc32"])
 
     return files.select("doc_id", "shard", "ids").mapInArrow(run, "doc_id long, shard int, n_tokens long, ids_crc32 long").withColumn("place", F.col("ids_crc32"))
