@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder (tests on one machine).
@@ -41,6 +41,19 @@ def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def text_key() -> Column:
+    """SHA-256 of the text as it is stored; null counts as empty. With the id it names a row up to its copies, null ids included."""
+    return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+
+
+def rows_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of docs with an id and text key of chosen (_kept_id, _kept_key, _kept_rows; distinct), one for each; columns are those of docs."""
+    # the chosen rows grow with the data, so they are never broadcast
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_kept_id")) & (F.col("_text_key") == F.col("_kept_key"))
+    out = docs.withColumn("_text_key", text_key()).join(chosen.select("_kept_id", "_kept_key").hint("merge"), same, "left_semi")
+    return (out if chosen.filter("_kept_rows > 1").isEmpty() else out.dropDuplicates(["doc_id", "_text_key"])).drop("_text_key")
+
+
 def words(data: bytes) -> list[bytes]:
     """Lower-cased alphanumeric words of UTF-8 bytes."""
     return data.translate(WORD_TABLE).split()

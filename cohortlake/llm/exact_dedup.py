@@ -20,19 +20,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import staged, utf8
+from cohortlake.llm.common import rows_of, staged, text_key, utf8
 
 
-def text_digests(docs: DataFrame) -> DataFrame:
-    """doc_id and the digest of each text."""
+def text_digests(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """doc_id and the digest of each text; keyed adds text_key, which tells texts apart that differ in case."""
+    carried, schema = (["doc_id", "text_key"], "doc_id long, text_key binary, ") if keyed else (["doc_id"], "doc_id long, ")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # bytes.lower() changes A-Z only
             found = [hashlib.sha256(x.lower()).digest() for x in utf8(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "digest"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, carried), pa.array(found, pa.binary())], names=[*carried, "digest"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(digest, "doc_id long, digest binary")
+    own = [F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("text_key")][: len(carried)]
+    return docs.select(*own, "text").mapInArrow(digest, schema + "digest binary")
 
 
 def misra_gries(counts: Counter, items: list[bytes], k: int) -> None:
@@ -70,23 +72,25 @@ def heavy_digests(digests: DataFrame, k: int) -> list[tuple[bytes, int, int]]:
     return [(bytes(r[0]), r[1], r[2]) for r in exact.collect()]
 
 
-def exact_duplicates(docs: DataFrame, *, counters: int = 1024) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs."""
-    spark: SparkSession = docs.sparkSession
-    digests = staged(text_digests(docs), "dedup-digests")
+def grouped(digests: DataFrame, counters: int) -> DataFrame:
+    """The rows of staged digests with n and top, the rows and the largest id of their digest."""
+    spark: SparkSession = digests.sparkSession
     winners = F.broadcast(spark.createDataFrame(heavy_digests(digests, counters), "digest binary, n long, top long"))
-    marked = digests.join(winners, "digest", "left")
-    heavy = marked.filter("n is not null").select("doc_id", "digest", "n", "top")
+    heavy = digests.join(winners, "digest", "left").filter("n is not null").select(*digests.columns, "n", "top")
     rest = digests.join(winners, "digest", "left_anti")
     groups = rest.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top"))
-    rows = heavy.unionByName(rest.join(groups, "digest").select("doc_id", "digest", "n", "top"))
+    return heavy.unionByName(rest.join(groups, "digest").select(*digests.columns, "n", "top"))
+
+
+def exact_duplicates(docs: DataFrame, *, counters: int = 1024) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs."""
+    rows = grouped(staged(text_digests(docs), "dedup-digests"), counters)
     return rows.select("doc_id", F.col("top").alias("keep_id"), F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("top")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def distinct_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay; columns are those of docs. Of repeated rows with one id, one stays."""
-    kept = exact_duplicates(docs, **options).filter("kept").groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count(F.lit(1)).alias("_kept_rows"))
-    kept = staged(kept, "dedup-kept")
-    # the kept ids grow with the data, so they are never broadcast
-    out = docs.join(kept.select("_kept_id").hint("merge"), F.col("doc_id").cast("bigint").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return out if kept.filter("_kept_rows > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+def distinct_documents(docs: DataFrame, *, counters: int = 1024) -> DataFrame:
+    """The rows of docs that stay, one of each group of equal texts; columns are those of docs. Ids may be null or repeat: of the
+    group's rows with the winning id the one with the least text key stays."""
+    rows = grouped(staged(text_digests(docs, keyed=True), "dedup-digests"), counters).filter(F.col("doc_id").eqNullSafe(F.col("top")))
+    kept = rows.groupBy("digest").agg(F.min("top").alias("_kept_id"), F.min("text_key").alias("_kept_key"), F.count(F.lit(1)).alias("_kept_rows"))
+    return rows_of(docs, staged(kept.drop("digest"), "dedup-kept"))

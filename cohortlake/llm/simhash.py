@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import staged, utf8
+from cohortlake.llm.common import rows_of, staged, text_key, utf8
 
 BITS = 64
 SEED = 42
@@ -60,15 +60,17 @@ def fingerprint(data: bytes, shingle: int = 3) -> int:
     return int(bits.view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp of each row."""
+def fingerprints(docs: DataFrame, shingle: int = 3, keyed: bool = False) -> DataFrame:
+    """doc_id, fp of each row; keyed adds text_key."""
+    carried, schema = (["doc_id", "text_key"], "doc_id long, text_key binary, ") if keyed else (["doc_id"], "doc_id long, ")
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(x, shingle) for x in utf8(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, carried), pa.array(found, pa.int64())], names=[*carried, "fp"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(compute, "doc_id long, fp long")
+    own = [F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("text_key")][: len(carried)]
+    return docs.select(*own, "text").mapInArrow(compute, schema + "fp long")
 
 
 def flips(radius: int, bits: list[int]) -> list[int]:
@@ -162,20 +164,24 @@ def near_links(nodes: DataFrame) -> DataFrame:
     return components(nodes, close.unionByName(wide), "simhash-all")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
-    """doc_id, fingerprint, component_id for every row of docs; linked at 3 or fewer differing bits."""
-    prints = staged(fingerprints(docs, shingle), "simhash-prints")
+def placed_prints(prints: DataFrame) -> DataFrame:
+    """The rows of staged prints with root and component_id, the least fp and the least id of their component."""
     nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     rooted = staged(near_links(nodes.select("fp")).join(nodes, "fp"), "simhash-components")
     least = staged(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
-    named = staged(rooted.join(least, "root").select("fp", "component_id"), "simhash-named")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = staged(rooted.join(least, "root").select("fp", "root", "component_id"), "simhash-named")
+    return prints.join(named, "fp")
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
+    """doc_id, fingerprint, component_id for every row of docs; linked at 3 or fewer differing bits."""
+    placed = placed_prints(staged(fingerprints(docs, shingle), "simhash-prints"))
+    return placed.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The row with the least id of each component; columns are those of docs. Of repeated rows with one id, one stays."""
-    kept = near_duplicates(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count(F.lit(1)).alias("_kept_rows"))
-    kept = staged(kept, "simhash-kept")
-    # the kept ids grow with the data, so they are never broadcast
-    out = docs.join(kept.select("_kept_id").hint("merge"), F.col("doc_id").cast("bigint").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return out if kept.filter("_kept_rows > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+def one_of_each(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
+    """One row of each component; columns are those of docs. Ids may be null or repeat, so components are told apart by their root:
+    of a component's rows with its least id the one with the least fingerprint and then text key stays."""
+    rows = placed_prints(staged(fingerprints(docs, shingle, keyed=True), "simhash-prints")).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = rows.groupBy("root").agg(F.min("component_id").alias("_kept_id"), F.min(F.struct("fp", "text_key"))["text_key"].alias("_kept_key"), F.count(F.lit(1)).alias("_kept_rows"))
+    return rows_of(docs, staged(kept.drop("root"), "simhash-kept"))

@@ -291,6 +291,22 @@ def test_null_ids(spark):
         assert f(docs.withColumn("lang", F.lit("en"))).count() == 4
 
 
+def test_stages_keep_texts_of_null_and_repeated_ids(spark):
+    near = " ".join(f"w{i}" for i in range(400))
+    docs = spark.createDataFrame([
+        (None, "alpha", "s"), (None, "beta", "s"), (None, "beta", "s"), (None, "BETA", "s"), (5, "gamma", "s"), (5, "delta", "s"), (5, "Delta", "s"), (9, "gamma", "s"), (None, "delta", "s"), (7, None, "s"), (7, "", "s"), (None, near, "s"), (None, near + " end", "s"),
+    ], "doc_id long, text string, source string").repartition(3).cache()
+    assert (simhash.fingerprint(near.encode()) ^ simhash.fingerprint((near + " end").encode())).bit_count() <= 3
+    found = exact_dedup.distinct_documents(docs)
+    assert found.columns == docs.columns
+    expected = [("None", "alpha"), ("None", "beta"), ("5", "delta"), ("9", "gamma"), ("7", ""), ("None", near), ("None", near + " end")]
+    assert Counter((str(r.doc_id), lowered(r.text or "")) for r in found.collect()) == Counter(expected)
+    found = simhash.one_of_each(docs)
+    assert found.columns == docs.columns
+    texts = Counter((str(r.doc_id), lowered(r.text or "")[:1000]) for r in found.collect())
+    assert texts == Counter([("None", "alpha"), ("None", "beta"), ("5", "gamma"), ("5", "delta"), ("7", ""), ("None", near[:1000])])
+
+
 def test_piece_codec(odd, empty):
     import sentencepiece
 
