@@ -43,11 +43,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     return ranked.select("source", "rows", "source_size", F.when(F.col("cut"), F.col("limit")).otherwise(F.col("weight") * unit["unit"]).alias("target"))
 
 
-def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, range_rows: int = 2048, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: one row per document. The floor of each target is taken exactly."""
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint")
-    # One pass over the texts; all later steps read this narrow table.
-    sizes = staged(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), random_key(seed=seed).alias("key")), "mix-sizes")
+def taken_words(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float, range_rows: int) -> DataFrame:
+    """The rows of staged sizes (source, doc_id, size, key and others) with source_size, target and taken."""
     targets = staged(source_targets(sizes, weights, share, most), "mix-targets")
     parts = F.greatest(F.ceil(F.col("rows") / range_rows), F.lit(1))
     keyed = sizes.join(targets.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own"))).drop("own").withColumn("part", F.floor(F.col("key") * parts / KEY_RANGE).cast("bigint"))
@@ -59,15 +56,30 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: f
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
     rest = budget - epochs * F.col("source_size").cast("bigint")
     part_taken = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("offset") - F.col("within"))).cast("bigint")
-    return placed.select("doc_id", "source", "size", F.col("source_size").cast("bigint").alias("source_size"), "target", (epochs * F.col("size") + part_taken).alias("taken"))
+    return placed.select(*sizes.columns, F.col("source_size").cast("bigint").alias("source_size"), "target", (epochs * F.col("size") + part_taken).alias("taken"))
+
+
+def size_columns(seed: str) -> list[Column]:
+    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint")
+    return [F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), random_key(seed=seed).alias("key")]
+
+
+def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, range_rows: int = 2048, seed: str = "mix") -> DataFrame:
+    """doc_id, source, size, source_size, target, taken: one row per document. The floor of each target is taken exactly."""
+    # One pass over the texts; all later steps read this narrow table.
+    sizes = staged(docs.select(*size_columns(seed)), "mix-sizes")
+    return taken_words(sizes, weights, share, most, range_rows).drop("key")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, range_rows: int = 2048, seed: str = "mix") -> DataFrame:
     """The mix itself: each document as often as it is taken, the one that a budget ends in cut to the words taken of it (its
-    words joined by blanks). Documents of which nothing is taken go. Needs distinct ids; columns are those of docs."""
-    taken = mix_sources(docs, **options).filter("taken > 0").select(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken"))
-    # the ids taken grow with the data, so they are never broadcast
-    joined = docs.join(taken.hint("merge"), F.col("doc_id").cast("bigint").eqNullSafe(F.col("_mix_id")))
+    words joined by blanks). Documents of which nothing is taken go; columns are those of docs. Ids may be null or repeat: rows
+    are told apart by a number that is given once, when they are staged."""
+    row = F.monotonically_increasing_id().alias("row")
+    rows = staged(docs.select(F.struct(*docs.columns).alias("doc"), F.struct(*size_columns(seed), row).alias("mix")), "mix-rows")
+    taken = taken_words(rows.select("mix.*"), weights, share, most, range_rows).filter("taken > 0").select("row", F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken"))
+    # the rows taken grow with the data, so they are never broadcast
+    joined = rows.select(F.col("mix.row").alias("_mix_row"), "doc.*").join(taken.withColumnRenamed("row", "_mix_own").hint("merge"), F.col("_mix_row") == F.col("_mix_own"))
     copies = joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_mix_taken") / F.col("_mix_size")))))
     kept = F.col("_mix_taken") - (F.col("_mix_copy") - 1) * F.col("_mix_size")
     text = F.when(kept >= F.col("_mix_size"), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, kept.cast("int")), " "))

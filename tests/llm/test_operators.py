@@ -250,6 +250,17 @@ def test_mixing_edges(spark, odd, empty):
     assert words == Counter({k: v for k, v in taken.items() if v})
 
 
+def test_mixed_rows_of_null_and_repeated_ids(spark):
+    documents = [(None, "a b c", "s"), (None, "d e", "s"), (None, "d e", "s"), (None, "f", "t"), (5, "g h i j", "s"), (5, "k", "t"), (5, "k", "t"), (6, "l m n", None)]
+    docs = spark.createDataFrame(documents, "doc_id long, text string, source string").repartition(3).cache()
+    words = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        words[r.source] += len(r.text.split())
+        assert any(r.doc_id == i and r.source == s and t.startswith(r.text) for i, t, s in documents)
+    _, _, target = mix_by_hand([(k, t, s) for k, (_, t, s) in enumerate(documents)])
+    assert all(abs(words[s] - target[s]) <= 1 for s in target) and set(words) == set(target)
+
+
 @pytest.mark.parametrize("counters", [1, 2, 1024])
 def test_exact_dedup(odd, empty, counters):
     found = exact_dedup.exact_duplicates(odd, counters=counters).collect()
