@@ -11,7 +11,6 @@ first; an empty table gives no rows. Only doc_id and text are read.
 
 from __future__ import annotations
 
-import gc
 import os
 import uuid
 import zlib
@@ -23,12 +22,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import shared_dir, utf8
+from cohortlake.llm.common import blocks, shared_dir, staged, utf8
 
-#: Words that a worker keeps at most.
-CACHE = 700_000
+#: Pieces that a worker keeps at most in each of two generations, and the longest one kept, in bytes.
+CACHE = 500_000
+KEPT_BYTES = 48
+#: Bytes of text that are taken apart at once.
+BLOCK = 12 << 20
 FILE_SCHEMA = "doc_id long, shard int, n_tokens int, ids array<int>"
 
+#: Kinds of bytes: blanks part words, runs of letters and of marks are pieces, every digit is one, and a word with any other byte is
+#: one piece as a whole.
+BLANK, LETTER, DIGIT, MARK, ODD = range(5)
+KINDS = np.array([BLANK if 9 <= b <= 13 or b == 32 else DIGIT if 48 <= b <= 57 else LETTER if 65 <= b <= 90 or 97 <= b <= 122 else MARK if 33 <= b <= 126 else ODD for b in range(256)], np.uint8)
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
 
 def byte_characters() -> str:
     """The character that stands for each byte in a byte-level vocabulary: itself if it prints, else the next one from 256 on."""
@@ -36,15 +44,49 @@ def byte_characters() -> str:
     return "".join(chr(b) if p else chr(256 + b - sum(prints[:b])) for b, p in enumerate(prints))
 
 
+def pieces(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of all texts, one after another, and where each text's pieces end. Letters of ASCII and of the first accented
+    block (lead byte 0xC3) are lowered. A word that holds anything else than them, digits and ASCII marks, an apostrophe before
+    a letter, or the start of a special token is left as it is, in one piece."""
+    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    kind, low = KINDS[raw], LOWER[raw]
+    lead = np.flatnonzero(raw == 0xC3)
+    second = raw[lead + 1]
+    lead = lead[(second >= 0x80) & (second != 0x97) & (second != 0xB7)]  # all but the signs of multiplication and division
+    kind[lead] = kind[lead + 1] = LETTER
+    capital = lead[raw[lead + 1] < 0x9F] + 1
+    low[capital] += 32
+    quote = np.flatnonzero(raw == 39)
+    kind[quote[(kind[quote + 1] == LETTER) | (kind[quote + 1] == ODD)]] = ODD
+    angle = np.flatnonzero(raw == 60)
+    kind[angle[raw[angle + 1] == 124]] = ODD
+    odd = np.flatnonzero(kind == ODD)
+    if len(odd):
+        blanks = np.flatnonzero(kind == BLANK)
+        word = np.unique(np.searchsorted(blanks, odd))
+        turns = np.zeros(len(raw) + 1, np.int8)
+        turns[np.where(word > 0, blanks[word - 1] + 1, 0)] += 1
+        turns[blanks[word]] -= 1
+        whole = np.cumsum(turns[:-1], dtype=np.int8).astype(bool)
+        kind[whole] = ODD
+        low[whole] = raw[whole]
+    filled = kind != BLANK
+    starts = filled.copy()
+    starts[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    data = low[filled]
+    offsets = np.append(np.flatnonzero(starts[filled]), len(data)).astype(np.int32)
+    ends = np.cumsum([len(x) + 1 for x in texts])
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]), np.searchsorted(np.flatnonzero(starts), ends)
+
+
 class WordEncoder:
-    """Ids of the tokenizers library, word by word.
-
-    For a tokenizer that splits at white space, a text's ids are those of its white-space-separated words laid end to end. Words
-    are encoded by the library, in batches, and their ids kept in a bounded cache. A last comma or full stop after a
-    letter or ASCII digit is a pre-token of its own, and the case of ASCII words plays no part, so both are taken off first.
-    A word of Latin letters only is one pre-token that normalisation leaves alone once it is lower-cased, and its last id alone
-    ends a word: many go through the library's model as one text, already in byte characters, and are cut there. All others
-    pass the file's whole pipeline.
+    """Ids of the tokenizers library, piece by piece.
+
+    The tokenizer drops white space and encodes runs of letters, single digits and runs of marks apart, so a text's ids are those
+    of its pieces laid end to end. A block of texts is taken apart in numpy and its distinct pieces are named by Arrow's
+    dictionary encoding; only they are looked up, and only new ones reach the library. A piece of Latin letters is one
+    pre-token that normalisation leaves alone once it is lowered, and its last id alone ends a word: many go through the library's
+    model as one text, already in byte characters, and are cut there. All others pass the file's whole pipeline.
     """
 
     def __init__(self, path: str):
@@ -55,22 +97,24 @@ class WordEncoder:
         self.model = Tokenizer.from_file(path)
         self.model.normalizer = None
         self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
-        self.cache: dict[bytes, bytes] = {}
-        self.waiting: list[tuple[bytes, bytes, bytes]] = []
-        self.tails = {ord(x): self._each([x])[0] for x in ",."}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.table = byte_characters()
         vocabulary = self.library.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
 
     def _each(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for at in range(0, len(texts), 1000):
+            out += [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts[at : at + 1000], add_special_tokens=False)]
+        return out
 
     def _letters(self, texts: list[str]) -> list[bytes]:
         """texts are in byte characters."""
         out: list[bytes] = []
-        for at in range(0, len(texts), 2000):
-            part = texts[at : at + 2000]
+        for at in range(0, len(texts), 500):
+            part = texts[at : at + 500]
             ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(part):
@@ -79,67 +123,46 @@ class WordEncoder:
             out += [data[a:b] for a, b in zip(bounds, bounds[1:])]
         return out
 
-    def learn(self, missing: set[bytes]) -> None:
-        """Put words into the cache; the simple shapes first, which are nearly all."""
-        cache = self.cache
-        self._known([w for w in missing if w.isalpha()])  # ASCII letters only
-        for tail, ids in self.tails.items():
-            # the stem of a word with a tail is learned like a word: others end in it
-            ended = [w for w in missing if w[-1] == tail and w[:-1].isalpha()]
-            stems = [w[:-1] for w in ended]
-            self._known(stems)
-            cache.update(zip(ended, [cache[x] + ids for x in stems]))
-        for w in missing:
-            if w not in cache:
-                self._shaped(w)
-        todo, self.waiting = self.waiting, []
-        keys = {k for _, k, _ in todo}
-        latin = {k: t.lower().encode().decode("latin-1").translate(self.table) for k in keys if (t := k.decode()).isalpha() and max(t) <= "\xff"}
-        rest = list(keys.difference(latin))
-        found = dict(zip(latin, self._letters(list(latin.values())), strict=True)) | dict(zip(rest, self._each([x.decode() for x in rest]), strict=True))
-        for w, key, tail in todo:
-            cache[w] = found[key] + tail
-
-    def _known(self, stems: list[bytes]) -> None:
-        """Words of ASCII letters, learned if they are new."""
-        need = list({x for x in stems if x not in self.cache})
-        # case plays no part in ASCII
-        self.cache.update(zip(need, self._letters([x.lower().decode() for x in need]), strict=True))
-
-    def _shaped(self, w: bytes) -> None:
-        """Any other word: its stem and tail, if a tail stands after a letter or digit, wait for the library."""
-        stem, tail = w, self.tails.get(w[-1], b"")
-        if tail:
-            stem = w[:-1]
-            if not (stem[-1:].isalnum() or stem[-1:] >= b"\x80" and stem.decode()[-1].isalpha()):
-                stem, tail = w, b""
-        key = stem.lower() if stem.isascii() and b"<|" not in stem else stem
-        ids = self.cache.get(key)
-        if ids is None:
-            self.waiting.append((w, key, tail))
-        else:
-            self.cache[w] = ids + tail
+    def learn(self, fresh: list[bytes]) -> list[bytes]:
+        """Ids of pieces by the library."""
+        plain = [x.isalpha() for x in fresh]  # ASCII letters only
+        table = self.table
+        latin = [x.decode() if p else t.lower().encode().decode("latin-1").translate(table) if (t := x.decode()).isalpha() and max(t) <= "\xff" else "" for x, p in zip(fresh, plain)]
+        letters = iter(self._letters([x for x in latin if x]))
+        others = iter(self._each([x.decode() for x, t in zip(fresh, latin) if not t]))
+        return [next(letters) if t else next(others) for t in latin]
+
+    def known(self, names: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces: from the young generation of the cache, from the old one, or new."""
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
+        found = list(map(self.young.get, names))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        for i in gaps:
+            found[i] = self.old.get(names[i])
+        fresh = [i for i in gaps if found[i] is None]
+        for i, ids in zip(fresh, self.learn([names[i] for i in fresh]), strict=True):
+            found[i] = ids
+        self.young.update((names[i], found[i]) for i in gaps if len(names[i]) <= KEPT_BYTES)
+        return found
+
+    def encode_block(self, texts: list[bytes], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, with `end` (ids too) after each, and the bounds of each text's ids."""
+        split, ends = pieces(texts)
+        coded = split.dictionary_encode()
+        found = [*self.known(coded.dictionary.to_pylist()), end]
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])
+        at = np.insert(coded.indices.to_numpy(), ends, len(found) - 1)
+        lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.frombuffer(b"".join(found), "<i4")))
+        laid = lists.take(pa.array(at))
+        last = ends + np.arange(1, len(texts) + 1)
+        return laid.values.to_numpy(), np.concatenate([[0], laid.offsets.to_numpy()[last]])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text. bytes.split() parts at ASCII white space only, which the tokenizer drops too."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        get, out, unknown = self.cache.get, [], []
-        missing: set[bytes] = set()
-        for text in texts:
-            parts = (text.lower() if text.isascii() and b"<|" not in text else text).split()
-            found = list(map(get, parts))
-            if None in found:
-                gaps = [i for i, x in enumerate(found) if x is None]
-                missing.update([parts[i] for i in gaps])
-                unknown.append((parts, found, gaps))
-            out.append(found)
-        if missing:
-            self.learn(missing)
-            for parts, found, gaps in unknown:
-                for i in gaps:
-                    found[i] = get(parts[i])
-        return [b"".join(x) for x in out]
+        """Little-endian 32-bit ids of each text."""
+        ids, bounds = self.encode_block(texts)
+        data = ids.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 @lru_cache(maxsize=2)
@@ -152,14 +175,12 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = encoder(tokenizer_file), np.array([end_id], "<u4").tobytes()
-        gc.disable()  # nothing here makes cycles, and passes over the large cache cost time
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = [x + end for x in own.encode(utf8(part, "text"))]
-                sizes = np.array([len(x) // 4 for x in found], np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(found), "<i4")))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), ids], names=["doc_id", "n_tokens", "ids"])
+            texts = utf8(batch, "text")
+            for a, b in blocks([len(x) for x in texts], BLOCK):
+                values, bounds = own.encode_block(texts[a:b], end)
+                ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(bounds).astype(np.int32)), ids], names=["doc_id", "n_tokens", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens int, ids array<int>")
 
@@ -220,7 +241,5 @@ def token_file_digests(docs: DataFrame, tokenizer_file: str, *, end_id: int = 2,
     """Write docs to token files in the shared folder, read them back: doc_id, start, n_tokens, ids_crc32."""
     path = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     write_token_files(docs, path, tokenizer_file, end_id=end_id, **options)
-    from cohortlake.llm.common import staged
-
     stored = staged(stored_documents(read_token_files(docs.sparkSession, path)), "token-rows")
     return document_starts(stored).select("doc_id", "start", "n_tokens", "ids_crc32")

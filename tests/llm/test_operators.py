@@ -429,6 +429,32 @@ def test_word_encoder_equals_the_library():
         assert np.frombuffer(own.encode([text.encode()])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_word_encoder_equals_the_library_on_random_strings():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path, rng = tokenizer_file("word_bpe_49k.json"), random.Random(5)
+    library, own = Tokenizer.from_file(path), token_files.WordEncoder(path)
+    # letters that change size when lowered, combining marks, digits and blanks of other scripts, marks, apostrophes and control characters
+    alphabet = "aAbBzéÉàÀßÿµªº×÷Ññ0159,.;:!?$%#'\"<>|-_=+/\\ \t\n\r\x0b\x0c\x1c\x00\x85\xa0\u3000\u200bİıΣςσК漢字カがあ한글\u0338\u0301\u0307\u030a😀①²Ⅳǅﬁ'sS'tTrRvVmMlLdD"
+    texts = ["İ. İstanbul, Aİ,"]
+    for _ in range(10_000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14)))
+        texts.append(text + rng.choice(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>"]) + rng.choice(["", "a", ".", " x"]) if rng.random() < 0.1 else text)
+    found = [x for at in range(0, len(texts), 100) for x in own.encode([t.encode() for t in texts[at : at + 100]])]
+    for text, ids in zip(texts, found, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_pieces_are_forgotten_in_generations(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE", 10)
+    own = token_files.WordEncoder(tokenizer_file("word_bpe_49k.json"))
+    texts = [f"word{i % 7} other {i} thing{i}, end".encode() for i in range(60)]
+    assert own.encode(texts) == [own.encode([t])[0] for t in texts]
+    assert len(own.young) < 300
+
+
 BASE = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
