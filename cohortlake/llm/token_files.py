@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from cohortlake.llm.common import blocks, shared_dir, staged, utf8
 
 #: Pieces that a worker keeps at most in each of two generations, and the longest one kept, in bytes.
-CACHE = 500_000
+CACHE = 250_000
 KEPT_BYTES = 48
 #: Bytes of text that are taken apart at once.
-BLOCK = 12 << 20
+BLOCK = 4 << 20
 FILE_SCHEMA = "doc_id long, shard int, n_tokens int, ids array<int>"
 
 #: Kinds of bytes: blanks part words, runs of letters and of marks are pieces, every digit is one, and a word with any other byte is
