@@ -8,8 +8,8 @@ a change of language costs a fixed penalty, labels its spans; the text's languag
 Texts of a block are advanced together, one word a step, so the path costs a few array operations a step whatever the number
 of texts.
 
-Defined cases: text that is null or has no letter is "und" with score 0, as is every text if no language was learned. Ties go to
-the first language by code point. Repeated rows give repeated results. Only doc_id and text are read for predictions.
+Defined cases: text that is null or has no letter is "und" with score 0, as is every text if no language was learned; a text in
+scripts of no learned language has score 0. Ties go to the first language by code point. Repeated rows give repeated results. Only doc_id and text are read for predictions.
 """
 
 from __future__ import annotations
@@ -105,8 +105,8 @@ class LanguageModel:
         scores[silent] = 0
         return np.where(allowed | silent[:, None], scores, scores + RULED_OUT)
 
-    def paths(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Per text: the language of each word, and each word's letters."""
+    def paths(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per text: the language of each word, each word's letters, and whether any learned language writes its script."""
         found = Words(texts)
         scores, k = self.word_scores(found), len(self.names)
         ends = np.cumsum(found.per_text)
@@ -137,27 +137,34 @@ class LanguageModel:
                 labels[first[:n] + t] = at[:n]
                 if t:
                     at[:n] = np.where(came[t, np.arange(n), at[:n]], winner[t, :n], at[:n])
-        return [(labels[a:b], found.sizes[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        heard = self.allowed[found.scripts].any(axis=1)
+        return [(labels[a:b], found.sizes[a:b], heard[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        """(language, its share of the letters)."""
-        out: list[tuple[str, float]] = []
+    def predict(self, texts: list[str]) -> list[tuple[str, float, str]]:
+        """(language, its share of the letters, spans). Words in a script of no learned language follow their neighbours in the path
+        but count for no language: a text of such words alone goes to the first language with score 0."""
+        out: list[tuple[str, float, str]] = []
         if not self.names:
-            return [(UNKNOWN, 0.0)] * len(texts)
+            return [(UNKNOWN, 0.0, "")] * len(texts)
         for a, b in blocks([len(x) for x in texts], 1 << 20):
-            for labels, sizes in self.paths(texts[a:b]):
+            for labels, sizes, heard in self.paths(texts[a:b]):
                 if not len(labels):
-                    out.append((UNKNOWN, 0.0))
+                    out.append((UNKNOWN, 0.0, ""))
                     continue
-                total = np.bincount(labels, sizes, minlength=len(self.names))
-                out.append((self.names[int(total.argmax())], float(total.max() / total.sum())))
+                total = np.bincount(labels, sizes * heard, minlength=len(self.names))
+                out.append((self.names[int(total.argmax())], float(total.max() / sizes.sum()), self._written(labels)))
         return out
 
+    def _written(self, labels: np.ndarray) -> str:
+        """language:first word:end word of each span, comma-joined; words from 0, end exclusive."""
+        bounds = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)]
+        return ",".join([f"{self.names[labels[a]]}:{a}:{b}" for a, b in zip(bounds, bounds[1:])])
+
     def spans(self, text: str) -> list[tuple[str, int]]:
         """Languages of consecutive spans and their letters."""
         out: list[tuple[str, int]] = []
         if self.names:
-            labels, sizes = self.paths([text])[0]
+            labels, sizes, _ = self.paths([text])[0]
             for x, n in zip(labels.tolist(), sizes.tolist(), strict=True):
                 if out and out[-1][0] == self.names[x]:
                     out[-1] = (self.names[x], out[-1][1] + n)
@@ -166,23 +173,24 @@ class LanguageModel:
         return out
 
 
-def train_language_model(docs: DataFrame, *, per_language: int = 1000, most_chars: int = 12_000) -> LanguageModel:
-    """Learn from rows with a language whose crc32(doc_id) mod 4 is not 2; at most per_language rows of each."""
+def train_language_model(docs: DataFrame, *, per_language: int = 1000) -> LanguageModel:
+    """Learn from rows with a language whose crc32(doc_id) mod 4 is not 2; at most per_language rows of each, with their whole texts."""
     some = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang").filter(id_remainder(4) != 2)
-    return LanguageModel.learn([(r["text"], r["lang"]) for r in training_rows(some, None, "lang", per_language, most_chars)])
+    return LanguageModel.learn([(r["text"] or "", r["lang"]) for r in training_rows(some, None, "lang", per_language)])
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """doc_id, held_out, lang_pred, score."""
+    """doc_id, held_out, lang_pred, score, spans."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows, one column per language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = shipped.value.predict([x or "" for x in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
+            names, scores, spans = ([x[k] for x in found] for k in range(3))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, pa.string())], names=["doc_id", "lang_pred", "score", "spans"])
 
-    out = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
-    return out.select("doc_id", (id_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+    out = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, spans string")
+    return out.select("doc_id", (id_remainder(4) == 2).alias("held_out"), "lang_pred", "score", "spans")
 
 
 def languages_of(docs: DataFrame, **options) -> DataFrame:

@@ -29,11 +29,12 @@ def sampled_ids(rows: DataFrame, label: str | None, most: int) -> list[int]:
     return [r[0] for r in ranked.select("doc_id").distinct().collect()]
 
 
-def training_rows(docs: DataFrame, labelled: DataFrame | None, label: str, per_label: int, most_chars: int) -> list:
-    """At most per_label rows of docs (doc_id, text, ...) for each value of `label`, of texts of 1 to most_chars characters. The
-    label is a column of docs, or of `labelled` by doc_id. Ids are chosen on narrow rows; texts of the chosen ones alone move."""
+def training_rows(docs: DataFrame, labelled: DataFrame | None, label: str, per_label: int) -> list:
+    """At most per_label rows of docs (doc_id, text, ...) for each value of `label`, with their whole texts. The label is a column of
+    docs, or of `labelled` by doc_id; rows without an id or a label do not serve. Ids are chosen on narrow rows; texts of the
+    chosen ones alone move."""
     own = [label] if labelled is None else []
-    narrow = docs.filter(F.col("doc_id").isNotNull() & F.length("text").between(1, most_chars)).select("doc_id", *own)
+    narrow = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", *own)
     if labelled is not None:
         narrow = narrow.join(labelled.select("doc_id", label), "doc_id")
     narrow = staged(narrow.filter(F.col(label).isNotNull()), "training-ids")
@@ -42,4 +43,6 @@ def training_rows(docs: DataFrame, labelled: DataFrame | None, label: str, per_l
     texts = docs.join(few, "doc_id")
     if labelled is not None:
         texts = texts.join(F.broadcast(labelled.join(few, "doc_id").select("doc_id", label).distinct()), "doc_id")
-    return texts.filter(F.length("text").between(1, most_chars)).dropDuplicates(["doc_id", label]).orderBy(id_hash(), "doc_id", label).collect()
+    rest = [c for c in texts.columns if c not in ("doc_id", label)]
+    one = texts.filter(F.col(label).isNotNull()).groupBy("doc_id", label).agg(F.min(F.struct(*rest)).alias("_row"))  # of a repeated id the least text
+    return one.select("doc_id", label, "_row.*").orderBy(id_hash(), "doc_id", label).collect()
