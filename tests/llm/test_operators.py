@@ -90,18 +90,59 @@ def test_license_scan(odd, empty):
 
 def test_matching_statistics_against_brute_force():
     rng = np.random.default_rng(3)
-    templates = {str(i): [b"%d" % x for x in rng.integers(0, 4, 30)] for i in range(3)}
-    automaton = license_scan.SuffixAutomaton(templates)
+    templates = [[b"%d" % x for x in rng.integers(0, 4, 30)] for _ in range(3)]
+    phrases = [[b"1", b"2"], [b"2", b"3", b"0"], [b"3"], [b"4", b"4"]]
+    automaton = license_scan.SuffixAutomaton(templates, phrases)
     text = [b"%d" % x for x in rng.integers(0, 5, 200)]
-    subs = {tuple(t[i:j]) for t in templates.values() for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+    subs = {tuple(t[i:j]) for t in templates + phrases for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
     longest = [max([n for n in range(0, e + 1) if n == 0 or tuple(text[e - n : e]) in subs]) for e in range(len(text) + 1)]
     expected = [(e, longest[e]) for e in range(1, len(text) + 1) if longest[e] and (e == len(text) or longest[e + 1] != longest[e] + 1)]
-    assert [(e, n) for e, n, _ in automaton.statistics(text)] == expected
+    ended = []
+    assert [(e, n) for e, n, _ in automaton.statistics(text, ended)] == expected
+    assert sorted(ended) == sorted((i, k) for k, p in enumerate(phrases) for i in range(len(text)) if text[i : i + len(p)] == p)
     for e, n, state in automaton.statistics(text):
-        places = {(k, j) for k, (_, t) in enumerate(templates.items()) for j in range(n, len(t) + 1) if t[j - n : j] == text[e - n : e]}
+        places = {(k, j) for k, t in enumerate(templates) for j in range(n, len(t) + 1) if t[j - n : j] == text[e - n : e]}
         assert set(automaton.places[state]) == places
 
 
+def test_chains_against_brute_force():
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        template = [b"%d" % x for x in rng.integers(0, 6, 40)]
+        text = []
+        for _ in range(6):
+            a = int(rng.integers(0, 36))
+            text += template[a : a + int(rng.integers(1, 8))] + [b"x"] * int(rng.integers(0, 5))
+        automaton = license_scan.SuffixAutomaton([template])
+        nodes = [(e, at, n) for e, n, state in automaton.statistics(text) if n >= 2 for _, at in automaton.places[state]]
+        gap = min(6, len(template) // 4 + 1)
+
+        def best_from(i):
+            """The best chain that begins with node i, by trying every continuation."""
+            e, at, n = nodes[i]
+            best = 0
+            for j, (e2, at2, n2) in enumerate(nodes):
+                if e2 > e and at2 > at and e2 - n2 - e <= gap and at2 - n2 - at <= gap:
+                    best = max(best, best_from(j) + min(n2, e2 - e, at2 - at) - n2)  # noqa: B023
+            return best + n
+
+        expected = max(map(best_from, range(len(nodes))), default=0)
+        found = license_scan.chains(automaton, automaton.statistics(text), 2, 6)
+        assert max((c[3] for c in found), default=0) == expected
+
+
+def test_license_lines(spark):
+    lines = {
+        1: ("Some words. Licensed under CC BY-NC 4.0. More words", "cc-by-nc", ""), 2: ("Released under the MIT License.", "mit", "mit"), 3: ("licensed under the GNU Lesser General Public License", "gpl,lgpl", "gpl"),
+        4: ("# SPDX-License-Identifier: Apache-2.0", "apache", ""), 5: ("licensed under the terms we agreed on", "", ""), 6: ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa", ""),
+        7: (license_scan.TEMPLATES["zlib"], "zlib", ""), 8: (license_scan.TEMPLATES["agpl"][:400], "agpl,gpl", "gpl"), 9: ("a program is provided as is in the hope that it will be useful to the general public", "", ""),
+    }
+    found = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame([(k, v[0]) for k, v in lines.items()], "doc_id long, text string")).collect()}
+    for k, (text, labels, base) in lines.items():
+        assert (found[k].labels, found[k].base_labels) == (labels, base), text
+        assert bool(found[k].spans) == bool(labels), text
+
+
 def test_toxicity(spark, odd, empty):
     labels = spark.createDataFrame([(k, 0, k % 2) for k in TEXTS], "doc_id long, quality int, toxic int")
     found = toxicity.toxicity_of(odd, labels).collect()
