@@ -1,13 +1,14 @@
 """Secret scan with DataFrame functions only: fixed patterns, and character Markov models of random strings and identifiers.
 
 Base spans: for each kind, the leftmost non-overlapping matches of its pattern that are long enough. Positions come from the text's
-parts between matches: the parts and the matches alternate, so starts are running sums of lengths.
+parts between matches: the parts and the matches alternate, so ends are running sums of lengths.
 
-Markov spans: runs of at least `least` key characters without base spans in them, whose log-likelihood ratio per character
-transition between a model of random strings and one of ordinary identifiers exceeds a threshold. Both models are transition
+Markov spans: runs of key characters, less what base spans cover of them; what is left of a run in one place and has at least LEAST
+characters is a span if its log-likelihood ratio per character transition, between a model of random strings and one of ordinary
+identifiers, exceeds a threshold. The ratio of every span is returned beside it (of an assignment, that of the assigned value). Both models are transition
 counts over character classes with add-one smoothing, trained by a group-by over labelled samples: random strings are digests of
 counters in several alphabets; identifiers are long words of a bounded sample of the documents that no base pattern touches,
-plain and joined. The trained table has a fixed number of cells and enters the plan as a literal array.
+plain and joined, and runs of one character. The trained table has a fixed number of cells and enters the plan as a literal array.
 
 Defined cases: null or empty text has no spans, counts 0 and the digest of the empty list; a table without ordinary words trains
 identifiers from the counters' ordinals alone; repeated rows give repeated results. Only doc_id and text are read.
@@ -15,9 +16,12 @@ identifiers from the counters' ordinals alone; repeated rows give repeated resul
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlake.llm.common import staged
 from cohortlake.llm.text_models import sampled_ids
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -36,20 +40,43 @@ RANDOM_STRINGS = 1500
 THRESHOLD = 0.55
 
 
+#: Elements of an array that a running total takes at once.
+BLOCK = 64
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of an array of whole numbers from zero on. Blocks are run through apart and then raised by what stands before
+    them, since appending to one array copies it at each step."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
+    through = lambda a: F.aggregate(a, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), x))))
+    inner = F.transform(blocks, through)
+    before = through(F.transform(inner, lambda x: F.element_at(x, -1)))
+    raised = F.transform(F.arrays_zip(inner.alias("x"), F.slice(before, 1, F.size(inner)).alias("o")), lambda p: F.transform(F.slice(p["x"], 2, F.lit(BLOCK)), lambda v: combine(v, p["o"])))
+    return F.when(F.size(values) > 0, F.flatten(raised)).otherwise(F.array().cast("array<int>"))
+
+
+def added(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<s, e, m>>: start, end (code points) and text of the leftmost non-overlapping matches."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.split(text, pattern, -1)
-    walk = F.aggregate(
-        F.arrays_zip(found.alias("m"), F.slice(parts, 1, F.size(found)).alias("g")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["g"])).alias("s"), (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("e"), x["m"].alias("m")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.size(found) > 0, walk).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
+    lengths = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
+    placed = F.zip_with(running(lengths, added), found, lambda e, m: F.struct((e - F.length(m)).alias("s"), e.alias("e"), m.alias("m")))
+    # texts without a match, nearly all of them, are spared the walk
+    return F.when(F.size(found) > 0, placed).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
+
+
+def uncovered(runs: Column, base: Column) -> Column:
+    """array<struct<s, e, m>>: the parts of the runs (s, e, m) outside the base spans (s, ..., e), of LEAST characters and more."""
+    ordered = F.array_sort(base)
+    reach = running(F.transform(ordered, lambda b: b["e"]), lambda a, b: F.greatest(a, b))
+    open_ = F.zip_with(F.concat(F.array(F.lit(0)), reach), F.concat(F.transform(ordered, lambda b: b["s"]), F.array(F.lit((1 << 31) - 1))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    part = lambda x, g: F.struct(F.greatest(x["s"], g["a"]).alias("s"), F.least(x["e"], g["b"]).alias("e"))
+    cut = lambda x: F.filter(F.transform(open_, lambda g: part(x, g)), lambda p: p["e"] - p["s"] >= LEAST)
+    named = lambda x: F.transform(cut(x), lambda p: F.struct(p["s"].alias("s"), p["e"].alias("e"), F.substring(x["m"], p["s"] - x["s"] + 1, p["e"] - p["s"]).alias("m")))
+    return F.flatten(F.transform(runs, named))
 
 
 def codes(token: Column) -> Column:
@@ -71,12 +98,16 @@ def training_samples(docs: DataFrame) -> DataFrame:
     random = ordinal.select(F.explode(F.array(base64, F.regexp_replace(base64, "[+/]", ""), F.substring("h", 1, 40), F.upper(F.regexp_replace(base64, "[+/]", "")))).alias("token"), F.lit(1).alias("label"))
     word = F.explode(F.filter(F.split(F.col("text"), r"[^A-Za-z0-9_]+"), lambda w: F.length(w).between(5, 40)))
     chosen = sampled_ids(docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).filter("doc_id is not null"), None, SAMPLE_DOCUMENTS)
-    few = F.broadcast(spark.createDataFrame([(x,) for x in chosen], "_id long"))
-    some = docs.join(few, F.col("doc_id").cast("bigint") == F.col("_id")).filter(~F.coalesce(F.col("text"), F.lit("")).rlike(f"{ASSIGN}|{ACCESS}|{HEX}")).select("text")
+    few = F.broadcast(spark.createDataFrame([(x,) for x in chosen], "doc_id long"))
+    # the chosen texts alone are searched for secrets
+    some = staged(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(few, "doc_id").select("text"), "secret-sample")
+    some = some.filter(~F.col("text").rlike(f"{ASSIGN}|{ACCESS}|{HEX}"))
     words = some.select(word.alias("w")).distinct().orderBy(F.xxhash64("w"), "w").limit(SAMPLE_WORDS)
     ordinary = words.select(F.explode(F.array("w", F.concat_ws("_", "w", F.lower("w")), F.concat("w", F.initcap("w")), F.concat_ws("-", F.lower("w"), "w"))).alias("token"), F.lit(0).alias("label"))
     counted = spark.range(200).select(F.concat_ws("_", F.lit("item"), F.col("id").cast("string")).alias("token"), F.lit(0).alias("label"))
-    return random.unionByName(ordinary).unionByName(counted)
+    # rules drawn with one character are ordinary
+    drawn = spark.range(len(CLASSES)).select(F.repeat(F.substring(F.lit(CLASSES), F.col("id").cast("int") + 1, F.lit(1)), F.lit(30)).alias("token"), F.lit(0).alias("label"))
+    return random.unionByName(ordinary).unionByName(counted).unionByName(drawn)
 
 
 def ratio_table(samples: DataFrame) -> list[float]:
@@ -95,25 +126,28 @@ def likelihood_ratio(token: Column, table: list[float]) -> Column:
     return F.aggregate(transitions(token), F.lit(0.0), lambda acc, i: acc + F.element_at(cells, i.cast("int") + 1)) / F.greatest(F.length(token) - 1, F.lit(1))
 
 
-def named(kind: str, spans: Column) -> Column:
-    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e")))
+def named(kind: str, spans: Column, table: list[float], value: Callable[[Column], Column] = lambda m: m) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e"), likelihood_ratio(value(x["m"]), table).alias("r")))
 
 
 def written(spans: Column) -> Column:
-    """kind:start:end by start, then kind as listed, comma-joined."""
+    """kind:start:end of sorted spans, comma-joined."""
     kinds = F.array(*map(F.lit, KINDS))
-    return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.element_at(kinds, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(kinds, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
 def scan_secrets(docs: DataFrame, table: list[float] | None = None, *, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, ratios."""
     table = table or ratio_table(training_samples(docs))
-    value = F.regexp_extract
+    assigned = lambda m: F.regexp_extract(m, ASSIGN, 2)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
-    # texts without a match, nearly all of them, are spared the walk
-    rows = rows.select("doc_id", F.filter(matches(F.col("text"), ASSIGN), lambda x: F.length(value(x["m"], ASSIGN, 2)) >= 8).alias("assign"), matches(F.col("text"), ACCESS).alias("access"), matches(F.col("text"), HEX).alias("hex"), matches(F.col("text"), CANDIDATE).alias("found"))
-    rows = rows.select("doc_id", "assign", "access", "hex", "found", F.concat(named("assign", F.col("assign")), named("access", F.col("access")), named("hex", F.col("hex"))).alias("base"))
-    free = F.filter("found", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])) & (likelihood_ratio(x["m"], table) > threshold))
+    rows = rows.select("doc_id", F.filter(matches(F.col("text"), ASSIGN), lambda x: F.length(assigned(x["m"])) >= 8).alias("assign"), matches(F.col("text"), ACCESS).alias("access"), matches(F.col("text"), HEX).alias("hex"), matches(F.col("text"), CANDIDATE).alias("runs"))
+    base = F.concat(named("assign", F.col("assign"), table, assigned), named("access", F.col("access"), table), named("hex", F.col("hex"), table))
     size = lambda c: F.size(c).cast("bigint")
-    return rows.select("doc_id", size("assign").alias("n_assign"), size("access").alias("n_access"), size("hex").alias("n_hex"), F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.concat("base", named("markov", free))).alias("spans"))
+    rows = rows.select("doc_id", size("assign").alias("n_assign"), size("access").alias("n_access"), size("hex").alias("n_hex"), "runs", F.array_sort(base).alias("base"))
+    left = F.when(F.size("base") > 0, uncovered(F.col("runs"), F.col("base"))).otherwise(F.col("runs"))
+    random = F.filter(named("markov", left, table), lambda x: x["r"] > threshold)
+    rows = rows.select("doc_id", "n_assign", "n_access", "n_hex", "base", F.array_sort(F.concat("base", random)).alias("all"))
+    ratios = F.array_join(F.transform("all", lambda x: F.round(x["r"], 3).cast("string")), ",")
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.col("all")).alias("spans"), ratios.alias("ratios"))
