@@ -89,8 +89,9 @@ def exact_duplicates(docs: DataFrame, *, counters: int = 1024) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame, *, counters: int = 1024) -> DataFrame:
-    """The rows of docs that stay, one of each group of equal texts; columns are those of docs. Ids may be null or repeat: of the
-    group's rows with the winning id the one with the least text key stays."""
+    """The rows of docs that stay, one of each group of equal texts; columns are those of docs. Null and empty texts are equal. Ids may be
+    null (a null id loses against any other) or repeat: of the group's rows with the winning id the one with the least text key
+    stays. An empty table stays empty; columns may have any names."""
     rows = grouped(staged(text_digests(docs, keyed=True), "dedup-digests"), counters).filter(F.col("doc_id").eqNullSafe(F.col("top")))
-    kept = rows.groupBy("digest").agg(F.min("top").alias("_kept_id"), F.min("text_key").alias("_kept_key"), F.count(F.lit(1)).alias("_kept_rows"))
+    kept = rows.groupBy("digest").agg(F.min("top").alias("id"), F.min("text_key").alias("key"), F.count(F.lit(1)).alias("rows"))
     return rows_of(docs, staged(kept.drop("digest"), "dedup-kept"))

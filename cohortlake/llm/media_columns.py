@@ -1,8 +1,9 @@
 """Media columns: payloads in a lossless container, content-defined chunks, and reconstruction from a deduplicated chunk store.
 
 A payload is a text's UTF-8 bytes, padded with blanks to a positive multiple of the frame size, stored as 8-bit mono samples after a
-fixed header (RIFF/WAVE). A rolling gear hash over 32 bytes cuts the stored form into chunks; a cut depends on nothing but the
-bytes around it, so copies and shared passages give equal chunks wherever they stand. Media keep ordered lists of chunk digests.
+fixed header (RIFF/WAVE). A rolling gear hash over 32 bytes cuts the stored form into chunks; a candidate cut depends on nothing but
+the bytes around it, and the least and greatest chunk sizes on the cut before, so copies give equal chunks and shared passages do
+from the first common cut on. Media keep ordered lists of chunk digests.
 The store has one row per digest; a join of the lists with the store and a group per medium rebuild every stored form, whose
 SHA-256 is verified before its samples are read.
 
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import staged, utf8
+from cohortlake.llm.common import hot_join, staged, utf8
 
 FRAME = 192
 RATE = 8000
@@ -198,7 +199,7 @@ def hot_digests(media: DataFrame) -> dict[bytes, int]:
 def media_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_chunks."""
     listed = staged(media_lists(docs), "media-lists", compression="zstd")
-    media = listed.groupBy("medium").agg(F.first("digests").alias("digests"))
+    media = listed.groupBy("medium").agg(F.first("digests").alias("digests"), F.count(F.lit(1)).alias("copies"))
     media = staged(media, "media-distinct", compression="zstd")
     hot = hot_digests(media)
     dictionary = compression_dictionary(docs)
@@ -209,5 +210,7 @@ def media_digests(docs: DataFrame) -> DataFrame:
     entries = entries.select("medium", "pos", "digest", (F.crc32("medium") % F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
     parts = entries.join(store, ["digest", "salt"]).groupBy("medium").agg(F.collect_list(F.struct("pos", "z")).alias("parts"))
     read = staged(rebuild(parts, dictionary), "media-read", compression="zstd")
+    # many rows may share one medium
+    read = staged(read.join(media.select("medium", F.col("copies").alias("_rows")), "medium"), "media-counted", compression="zstd")
     hexed = lambda c: F.lower(F.hex(c))
-    return listed.select("doc_id", "n_bytes", "medium").join(read, "medium").select("doc_id", "n_bytes", "payload_bytes", hexed("payload").alias("payload_sha256"), "tail_crc32", "media_bytes", hexed("media").alias("media_sha256"), "feature", "n_chunks")
+    return hot_join(listed.select("doc_id", "n_bytes", "medium"), read, "medium").select("doc_id", "n_bytes", "payload_bytes", hexed("payload").alias("payload_sha256"), "tail_crc32", "media_bytes", hexed("media").alias("media_sha256"), "feature", "n_chunks")

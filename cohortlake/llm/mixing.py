@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import staged
+from cohortlake.llm.common import staged, whole_row
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -73,14 +73,16 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: f
 
 def mixed_documents(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, range_rows: int = 2048, seed: str = "mix") -> DataFrame:
     """The mix itself: each document as often as it is taken, the one that a budget ends in cut to the words taken of it (its
-    words joined by blanks). Documents of which nothing is taken go; columns are those of docs. Ids may be null or repeat: rows
-    are told apart by a number that is given once, when they are staged."""
+    words joined by blanks). Documents of which nothing is taken go, so those without words do; columns are those of docs, of any
+    names. Ids may be null or repeat: rows are told apart by a number that is given once, when they are staged. An empty table
+    stays empty."""
     row = F.monotonically_increasing_id().alias("row")
-    rows = staged(docs.select(F.struct(*docs.columns).alias("doc"), F.struct(*size_columns(seed), row).alias("mix")), "mix-rows")
-    taken = taken_words(rows.select("mix.*"), weights, share, most, range_rows).filter("taken > 0").select("row", F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken"))
+    rows = staged(docs.select(whole_row(docs).alias("doc"), F.struct(*size_columns(seed), row).alias("mix")), "mix-rows")
+    taken = taken_words(rows.select("mix.*"), weights, share, most, range_rows).filter("taken > 0").select(F.col("row").alias("own"), "size", "taken")
     # the rows taken grow with the data, so they are never broadcast
-    joined = rows.select(F.col("mix.row").alias("_mix_row"), "doc.*").join(taken.withColumnRenamed("row", "_mix_own").hint("merge"), F.col("_mix_row") == F.col("_mix_own"))
-    copies = joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_mix_taken") / F.col("_mix_size")))))
-    kept = F.col("_mix_taken") - (F.col("_mix_copy") - 1) * F.col("_mix_size")
-    text = F.when(kept >= F.col("_mix_size"), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, kept.cast("int")), " "))
-    return copies.select(*[(text.alias("text") if c == "text" else F.col(c)) for c in docs.columns])
+    joined = rows.select("doc", F.col("mix.row").alias("row")).join(taken.hint("merge"), F.col("row") == F.col("own"))
+    copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")))))
+    kept = F.col("taken") - (F.col("copy") - 1) * F.col("size")
+    whole = F.col("doc")["text"]
+    text = F.when(kept >= F.col("size"), whole).otherwise(F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)), 1, kept.cast("int")), " "))
+    return copies.select(*[text.alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])

@@ -132,7 +132,7 @@ def codec(model_file: str) -> PieceCodec:
     return PieceCodec(model_file)
 
 
-DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_source_bytes long"
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_source_bytes long, spans_sha256 string"
 
 
 def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
@@ -154,7 +154,7 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
 
 def encoding_digests(docs: DataFrame, model_file: str) -> DataFrame:
     """The same encoding and spans, reduced to digests where it runs: n_source_bytes is the length of the union of the spans,
-    which are consecutive."""
+    which are consecutive; spans_sha256 that of all spans' bounds as little-endian 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_file)
@@ -165,9 +165,9 @@ def encoding_digests(docs: DataFrame, model_file: str) -> DataFrame:
                 text = text or ""
                 ids = own.encode(text)
                 spans = own.spans(text, ids)
-                rows.append((len(ids), sha(own.written(ids)), sha(own.decode(ids)), int(spans[-1, 1]) if len(ids) else 0))
-            columns = [list(x) for x in zip(*rows, strict=True)] if rows else [[]] * 4
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_source_bytes"])
+                rows.append((len(ids), sha(own.written(ids)), sha(own.decode(ids)), int(spans[-1, 1]) if len(ids) else 0, hashlib.sha256(spans.astype("<u4").tobytes()).hexdigest()))
+            columns = [list(x) for x in zip(*rows, strict=True)] if rows else [[]] * 5
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_source_bytes", "spans_sha256"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, DIGESTS)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import rows_of, staged, text_key, utf8
+from cohortlake.llm.common import hot_join, rows_of, staged, text_key, utf8
 
 BITS = 64
 SEED = 42
@@ -111,25 +111,42 @@ def stars(nodes: DataFrame, radius: int) -> DataFrame:
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 1 + radius).distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, label: str) -> DataFrame:
-    """fp, root: the least fp that the undirected edges (a, b) reach. Each round takes the least root around a node and then
-    that root's root; roots of the stars at hand settle in a few rounds. Narrow rows only, and counts to the driver."""
+def components(edges: DataFrame, label: str) -> DataFrame:
+    """fp, root: for every end of the undirected edges (a, b) the least one they reach.
+
+    Each round every node takes its least neighbour, if that is below it, and then that one's choice; the edges are drawn between
+    what was chosen, and those within go. So each round works on a smaller graph, and the choices of all rounds, one after the
+    other, lead to the root. Narrow rows only; joins on what many share go through hot_join."""
     both = staged(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), f"{label}-edges")
-    touched = both.select(F.col("a").alias("fp")).distinct()
-    state = staged(touched.select("fp", F.col("fp").alias("root")), f"{label}-roots")
-    while True:
-        around = both.join(state, F.col("b") == F.col("fp")).groupBy("a").agg(F.min("root").alias("near"))
-        near = state.join(around, F.col("fp") == F.col("a"), "left").select("fp", "root", F.least("root", "near").alias("near"))
-        # hooking: a root takes the least of what its members see, so whole trees move at once
-        near = staged(near, f"{label}-near")
-        hooks = staged(near.groupBy(F.col("root").alias("tree")).agg(F.min("near").alias("least")), f"{label}-hooks")
-        moved = staged(near.join(hooks, F.col("root") == F.col("tree")).select("fp", F.least("near", "least").alias("root"), (F.least("near", "least") < F.col("root")).alias("moved")), f"{label}-roots")
-        # pointer jump
-        up = moved.select(F.col("fp").alias("up_fp"), F.col("root").alias("up_root"))
-        if moved.filter("moved").isEmpty():
-            break
-        state = staged(moved.join(up, F.col("root") == F.col("up_fp")).select("fp", F.least("root", "up_root").alias("root")), f"{label}-roots")
-    return nodes.join(moved.select("fp", "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    rounds: list[DataFrame] = []
+    while not both.isEmpty():
+        least = staged(both.groupBy("a").agg(F.min("b").alias("b"), F.count(F.lit(1)).alias("degree")).select(F.col("a").alias("fp"), F.least("a", "b").alias("root"), "degree"), f"{label}-least")
+        followers = least.groupBy("root").agg(F.count(F.lit(1)).alias("_rows"))
+        up = staged(followers.join(least.select(F.col("fp").alias("root"), F.col("root").alias("top")), "root"), f"{label}-up")
+        chosen = staged(hot_join(least, up, "root").select("fp", F.col("top").alias("root"), "degree"), f"{label}-chosen")
+        rounds.append(chosen.select("fp", "root"))
+        for end in ("a", "b"):
+            named = chosen.select(F.col("fp").alias(end), F.col("root").alias(f"root_{end}"), F.col("degree").alias("_rows"))
+            both = hot_join(both, named, end)
+        both = staged(both.filter("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), f"{label}-edges")
+    if not rounds:
+        return both.select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    out = rounds[0]
+    for later in rounds[1:]:
+        out = followed(staged(out, f"{label}-out"), later, label)
+    return out
+
+
+def followed(rows: DataFrame, later: DataFrame, label: str) -> DataFrame:
+    """rows (fp, root) with the root of each root in later (fp, root), which holds some of them; only those roots change."""
+    counts = rows.groupBy("root").agg(F.count(F.lit(1)).alias("_rows"))
+    table = staged(counts.join(later.select(F.col("fp").alias("root"), F.col("root").alias("top")), "root", "left").select("root", F.coalesce("top", "root").alias("top"), "_rows"), f"{label}-tops")
+    return hot_join(rows, table, "root").select("fp", F.col("top").alias("root"))
+
+
+def everywhere(nodes: DataFrame, rooted: DataFrame) -> DataFrame:
+    """fp, root of all nodes: those without a link are their own root."""
+    return nodes.join(rooted, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def compared(placed: DataFrame) -> DataFrame:
@@ -138,7 +155,7 @@ def compared(placed: DataFrame) -> DataFrame:
     one = placed.filter("root <> base").select("key", F.col("fp").alias("a"), F.col("root").alias("ra"))
     other = placed.select("key", F.col("fp").alias("b"), F.col("root").alias("rb"))
     met = one.join(other, "key").filter((F.col("ra") != F.col("rb")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return met.select("a", "b", F.col("ra").alias("root_a"), F.col("rb").alias("root_b"))
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -147,10 +164,11 @@ def spread(rows: DataFrame) -> DataFrame:
 
 
 def near_links(nodes: DataFrame) -> DataFrame:
-    """fp, root of the distinct fingerprints: components under distance 3."""
+    """fp, root of the distinct fingerprints: components under distance 3. The wide links join components of the close ones, so only
+    those components are solved again, not the fingerprints."""
     nodes = spread(nodes)
     close = staged(stars(nodes, 1), "simhash-close")
-    rooted = staged(spread(components(nodes, close, "simhash-close")), "simhash-rooted")
+    rooted = staged(spread(everywhere(nodes, components(close, "simhash-near"))), "simhash-rooted")
     keys = punctured("fp")
     reached = rooted.select("root", F.explode(keys).alias("key")).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     doubtful = staged(reached.filter("low < high").select("key"), "simhash-doubtful")
@@ -160,17 +178,23 @@ def near_links(nodes: DataFrame) -> DataFrame:
     placed = staged(members.join(staged(sizes, "simhash-sizes"), "key"), "simhash-placed")
     few = F.col("outside") <= PAIRED
     crowded = placed.filter(~few).select("fp").distinct()
-    wide = staged(compared(placed.filter(few)).unionByName(stars(spread(crowded), 2)).distinct(), "simhash-wide")
-    return components(nodes, close.unionByName(wide), "simhash-all")
+    direct = compared(placed.filter(few)).select("root_a", "root_b")
+    # a root is a fingerprint, so the ends of a ball's links have theirs in rooted, once each
+    balls = stars(spread(crowded), 2)
+    for end in ("a", "b"):
+        balls = balls.join(rooted.select(F.col("fp").alias(end), F.col("root").alias(f"root_{end}")), end)
+    wide = staged(direct.unionByName(balls.select("root_a", "root_b")).filter("root_a <> root_b").distinct(), "simhash-wide")
+    tops = components(wide.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), "simhash-far")
+    return followed(rooted, tops, "simhash-far")
 
 
 def placed_prints(prints: DataFrame) -> DataFrame:
     """The rows of staged prints with root and component_id, the least fp and the least id of their component."""
-    nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "simhash-nodes")
     rooted = staged(near_links(nodes.select("fp")).join(nodes, "fp"), "simhash-components")
-    least = staged(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
-    named = staged(rooted.join(least, "root").select("fp", "root", "component_id"), "simhash-named")
-    return prints.join(named, "fp")
+    least = staged(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("_rows")), "simhash-least")
+    named = staged(hot_join(rooted, least, "root").select("fp", "root", "component_id", F.col("copies").alias("_rows")), "simhash-named")
+    return hot_join(prints, named, "fp")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
@@ -180,8 +204,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
-    """One row of each component; columns are those of docs. Ids may be null or repeat, so components are told apart by their root:
-    of a component's rows with its least id the one with the least fingerprint and then text key stays."""
+    """One row of each component; columns are those of docs. Null and empty texts have fingerprint zero. Ids may be null or repeat, so
+    components are told apart by their root: of a component's rows with its least id (null if it has no other) the one with the
+    least fingerprint and then text key stays. An empty table stays empty; columns may have any names."""
     rows = placed_prints(staged(fingerprints(docs, shingle, keyed=True), "simhash-prints")).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = rows.groupBy("root").agg(F.min("component_id").alias("_kept_id"), F.min(F.struct("fp", "text_key"))["text_key"].alias("_kept_key"), F.count(F.lit(1)).alias("_kept_rows"))
+    kept = rows.groupBy("root").agg(F.min("component_id").alias("id"), F.min(F.struct("fp", "text_key"))["text_key"].alias("key"), F.count(F.lit(1)).alias("rows"))
     return rows_of(docs, staged(kept.drop("root"), "simhash-kept"))

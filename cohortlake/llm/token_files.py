@@ -12,7 +12,6 @@ first; an empty table gives no rows. Only doc_id and text are read.
 from __future__ import annotations
 
 import os
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import blocks, shared_dir, staged, utf8
+from cohortlake.llm.common import blocks, new_folder, staged, utf8
 
 #: Pieces that a worker keeps at most in each of two generations, and the longest one kept, in bytes.
 CACHE = 250_000
@@ -239,7 +238,7 @@ def stored_documents(files: DataFrame) -> DataFrame:
 
 def token_file_digests(docs: DataFrame, tokenizer_file: str, *, end_id: int = 2, **options) -> DataFrame:
     """Write docs to token files in the shared folder, read them back: doc_id, start, n_tokens, ids_crc32."""
-    path = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    path = new_folder(docs.sparkSession, "tokens")
     write_token_files(docs, path, tokenizer_file, end_id=end_id, **options)
     stored = staged(stored_documents(read_token_files(docs.sparkSession, path)), "token-rows")
     return document_starts(stored).select("doc_id", "start", "n_tokens", "ids_crc32")

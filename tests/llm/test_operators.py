@@ -362,6 +362,54 @@ def test_stages_keep_texts_of_null_and_repeated_ids(spark):
     assert texts == Counter([("None", "alpha"), ("None", "beta"), ("5", "gamma"), ("5", "delta"), ("7", ""), ("None", near[:1000])])
 
 
+def piece_spans(library, text):
+    """Source bytes of each piece, by walking the escaped text; the model's character map is empty."""
+    source = [(0, 0)] + [(i, i + 1) for i in range(len(text.encode()))]
+    escaped, owner = "▁".encode(), [0, 0, 0]
+    at = 0
+    for c in text:
+        raw = c.encode()
+        mark = "▁".encode() if c == " " else raw
+        # a blank's mark is three bytes for one
+        owner += [at] * 3 if c == " " else list(range(at, at + len(raw)))
+        escaped += mark
+        at += len(raw)
+    owner.append(at)
+    assert len(source) == at + 1 and len(owner) == len(escaped) + 1
+    out, place = [], 0
+    for i in library.encode(text) if text else []:
+        place += 1 if library.is_byte(i) else len(library.id_to_piece(i).encode())
+        out.append((out[-1][1] if out else 0, owner[place]))
+    return out
+
+
+def test_columns_that_clash(spark, odd):
+    names = ["_id", "_kept_id", "_kept_key", "_mix_id", "_rows", "doc", "own_id", "own_key", "row", "rows", "copy", "id", "own", "mix", "top", "n", "least", "copies", "text_key", "a.b"]
+    docs = odd.select("*", *(F.lit(k).alias(x) for k, x in enumerate(names)))
+    labels = spark.createDataFrame([(k, 0, k % 2, 5) for k in TEXTS], "doc_id long, quality int, toxic int, _id int")
+    for found in (exact_dedup.distinct_documents(docs), simhash.one_of_each(docs), mixing.mixed_documents(docs), toxicity.clean_documents(docs, labels)):
+        assert found.columns == docs.columns
+        rows = found.collect()
+        assert rows and all(r[x] == k for r in rows for k, x in enumerate(names))
+
+
+def test_hot_join_and_clean_up(spark, monkeypatch):
+    from cohortlake.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rows = spark.createDataFrame([(k, 7 if k % 3 else k) for k in range(90)], "v long, key long").repartition(4)
+    before = len(common.STAGED)
+    table = common.staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("_rows"), F.min("v").alias("first")), "hot-test")
+    found = common.hot_join(rows, table, "key")
+    assert "Union" in found._jdf.queryExecution().optimizedPlan().toString()
+    firsts = {r.key: r.first for r in table.collect()}
+    assert sorted((r.v, r.first) for r in found.collect()) == [(k, firsts[7 if k % 3 else k]) for k in range(90)]
+    common.remove_staged(spark, before)
+    assert len(common.STAGED) == before
+    with pytest.raises(Exception, match="(?i)not_found|does not exist|not exist"):
+        spark.read.parquet(*table.inputFiles()).count()
+
+
 def test_piece_codec(odd, empty):
     import sentencepiece
 
@@ -372,7 +420,9 @@ def test_piece_codec(odd, empty):
     for r in found:
         ids = library.encode(text_of(TEXTS[r.doc_id]))
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())
-        assert r.n_source_bytes == len(text_of(TEXTS[r.doc_id]).encode())
+        data = text_of(TEXTS[r.doc_id]).encode()
+        assert r.n_source_bytes == len(data)
+        assert r.spans_sha256 == hashlib.sha256(np.array(piece_spans(library, text_of(TEXTS[r.doc_id])), "<u4").tobytes()).hexdigest()
     assert piece_codec.encoding_digests(empty, path).count() == 0
     full = piece_codec.encode_documents(odd.filter("doc_id = 9"), path).first()
     data = TEXTS[9].encode()
