@@ -123,6 +123,17 @@ def employers(items: DataFrame, rank: int = 3) -> DataFrame:
     return top.groupBy("id", "yr").agg(*columns, F.max(F.when(F.col("k") == 1, F.col("amount"))).alias("amount1"), F.sum("amount").alias("amount_all"))
 
 
+def paid_jobs(items: DataFrame, selfinc: DataFrame, rank: int = 3) -> DataFrame:
+    """id, yr, ein1.., wage1.., wage, labor, selfinc: the best-paid employers of a person-year (id, yr, ein, amount), all its wages, and
+    labor income with two thirds of self-employment income (id, yr, selfinc)."""
+    sums = items.groupBy("id", "yr", "ein").agg(F.round(F.sum("amount"), 2).alias("amount"))
+    top = sums.withColumn("k", F.row_number().over(Window.partitionBy("id", "yr").orderBy(F.desc("amount"), "ein")))
+    at = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
+    ranks = range(1, rank + 1)
+    out = top.groupBy("id", "yr").agg(*[at("ein", k).alias(f"ein{k}") for k in ranks], *[at("amount", k).alias(f"wage{k}") for k in ranks], F.sum("amount").alias("wage"))
+    return out.join(selfinc, ["id", "yr"]).select("*", (F.col("wage") + F.col("selfinc") * 2 / 3).alias("labor")).select(*out.columns, "labor", "selfinc")
+
+
 def stayers(jobs: DataFrame, method: str = "any") -> DataFrame:
     """stayer: the main employer of yr is also one of the employers of the years around it.
     any: among the employers of yr - 1 and yr + 1; strict: the main one in both; share: as any, with half of all pay from it."""
@@ -135,6 +146,54 @@ def stayers(jobs: DataFrame, method: str = "any") -> DataFrame:
     return both.withColumn("stayer", F.when(known, F.coalesce(test, F.lit(False)).cast("int"))).drop("all_", "all__b", "all__a", "ein1_b", "ein1_a")
 
 
+def pair_stayers(jobs: DataFrame, method: str, floor: float = 0.0) -> DataFrame:
+    """stay of the pair (yr, yr + 1), where both years have a main employer. jobs: id, yr, ein1..3 and wage1..3 in order of pay, wage
+    (all), labor, selfinc.
+
+    I: a switcher has another main employer, each paying half of its year's wages or more, and each absent from the other year's
+    next two employers or paying there less than a quarter of the other's main wage; all others stay. II: one main employer from
+    yr - 1 to yr + 2. IIv2: the same main employer, paying four fifths of labor income in both years, among the three of yr - 1 and
+    of yr + 2, with self-employment income below the floor or a tenth of labor income."""
+    names = [*(f"ein{k}" for k in (1, 2, 3)), *(f"wage{k}" for k in (1, 2, 3)), "wage", "labor", "selfinc"]
+    out = calendar_shift(calendar_shift(calendar_shift(jobs, names, 1, "_n"), names[:3], -1, "_b"), names[:3], 2, "_a")
+    c = F.col
+
+    def apart(own: str, other: str) -> Column:
+        """The main employer of one side against the second and third of the other."""
+        main, pay = c(f"ein1{own}"), c(f"wage1{own}")
+        among = [c(f"ein{k}{other}") for k in (2, 3)]
+        neither = ~main.eqNullSafe(among[0]) & ~main.eqNullSafe(among[1])
+        little = [main.eqNullSafe(e) & F.coalesce(c(f"wage{k}{other}") < 0.25 * pay, F.lit(False)) for k, e in zip((2, 3), among)]
+        return neither | little[0] | little[1]
+
+    same = c("ein1") == c("ein1_n")
+    if method == "I":
+        half = (c("wage1") / c("wage") >= 0.5) & (c("wage1_n") / c("wage_n") >= 0.5)
+        test = ~(~same & F.coalesce(half, F.lit(False)) & apart("", "_n") & apart("_n", ""))
+    elif method == "II":
+        test = same & (c("ein1_b") == c("ein1")) & (c("ein1_n") == c("ein1_a"))
+    else:
+        most = (c("wage1") / c("labor") >= 0.8) & (c("wage1_n") / c("labor_n") >= 0.8)
+        seen = F.array_contains(F.array("ein1_b", "ein2_b", "ein3_b"), c("ein1")) & F.array_contains(F.array("ein1_a", "ein2_a", "ein3_a"), c("ein1_n"))
+        paid = (c("selfinc") < F.greatest(F.lit(floor), 0.1 * c("labor"))) & (c("selfinc_n") < F.greatest(F.lit(floor), 0.1 * c("labor_n")))
+        test = same & most & seen & paid
+    known = c("ein1").isNotNull() & c("ein1_n").isNotNull()
+    return out.withColumn("stay", F.when(known, F.coalesce(test, F.lit(False)).cast("int"))).select(*jobs.columns, "stay")
+
+
+def growth_blocks(panel: DataFrame, blocks: Sequence[tuple[int, int]], value: str = "y", id_: str = "id", age: str = "age") -> DataFrame:
+    """id and g_<from>_<to>: the log growth between the first and the last age of each block, null where either is missing."""
+    at = lambda k: F.max(F.when(F.col(age) == k, F.col(value)))
+    return panel.groupBy(id_).agg(*[(F.ln(at(b)) - F.ln(at(a))).alias(f"g_{a}_{b}") for a, b in blocks])
+
+
+def lifetime_at_ages(panel: DataFrame, ages: Sequence[int], floor: float, least: int, value: str = "y", id_: str = "id", age: str = "age") -> DataFrame:
+    """id, lt, emp and y<age> at chosen ages, with the floor put under them; persons below `least` years are left out."""
+    at = [F.max(F.when(F.col(age) == k, F.greatest(F.col(value), F.lit(floor)))).alias(f"y{k}") for k in ages]
+    sums = panel.groupBy(id_).agg(F.avg(F.greatest(F.col(value), F.lit(floor))).alias("lt"), F.count(F.when(F.col(value) >= floor, 1)).alias("emp"), *at)
+    return sums.filter(F.col("emp") >= least)
+
+
 def lifetime_income(panel: DataFrame, floor: float, least: int, value: str = "y", id_: str = "id") -> DataFrame:
     """id, lt, emp: mean of max(value, floor) and years at or above it; lt is null with fewer than `least`."""
     out = panel.groupBy(id_).agg(F.avg(F.greatest(F.col(value), F.lit(floor))).alias("lt"), F.count(F.when(F.col(value) >= floor, 1)).alias("emp"))

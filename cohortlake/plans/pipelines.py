@@ -14,29 +14,35 @@ from cohortlake.functions.scalar import age_bin, arc_change
 from cohortlake.operators import panel as pn
 
 
-def change_statistics(panel: DataFrame, base_years: Sequence[int], horizons: Sequence[int] = (1, 5), floor: float = 0.0, least: int = 3, groups: int = 100, measure: str = "arc", percentiles: Sequence[float] = qu.FIFTEEN, bin_column: Column | None = None) -> DataFrame:
-    """horizon, agebin, bin, moments and percentiles of income changes by recent-income group, averaged over base years.
-    panel: id, yr, age, y. measure: arc (income over its age mean) or log (log income less its mean by age and year; the mean is
-    taken before the sample rule)."""
-    recent = pn.recent_income(panel, "y", floor, 5, least)
+def base_rows(panel: DataFrame, base_years: Sequence[int], ahead: Sequence[int], floor: float, least: int, bins: Column | None = None) -> DataFrame:
+    """One row per person and base year t, at yr = t - 1: recent income re over t-5..t-1 (which the change after t does not touch), the
+    age group, y0 (income in t) and y<h> (in t + h)."""
     w = pn.history()
-    if measure == "log":
-        value = F.when(F.col("y") >= floor / 3, F.ln("y"))
-        means = panel.groupBy("age", "yr").agg(F.avg(F.when(F.col("y") >= floor, F.ln("y"))).alias("_m"))
-    else:
-        value = F.col("y")
-        means = panel.groupBy("age").agg(F.avg("y").alias("_m"))
-    keys = [c for c in means.columns if c != "_m"]
-    rows = recent.join(F.broadcast(means), keys, "left")
-    rows = rows.withColumn("_v", value - F.col("_m") if measure == "log" else value / F.col("_m"))
+    at = lambda k: F.max("y").over(w.rangeBetween(k, k))
+    rows = pn.recent_income(panel, "y", floor, 5, least).withColumns({"y0": at(1)} | {f"y{h}": at(1 + h) for h in ahead})
+    rows = rows.filter((F.col("yr") + 1).isin(list(base_years)) & F.col("re").isNotNull())
+    return rows.withColumn("agebin", bins if bins is not None else age_bin(F.col("age")))
+
+
+def change_statistics(panel: DataFrame, base_years: Sequence[int], horizons: Sequence[int] = (1, 5), floor: float = 0.0, least: int = 3, groups: int = 100, measure: str = "arc", percentiles: Sequence[float] = qu.FIFTEEN, bin_column: Column | None = None) -> DataFrame:
+    """horizon, agebin, bin, moments and percentiles of income changes from t to t + horizon, averaged over base years t.
+
+    panel: id, yr, age, y. Persons are grouped within year and age group by the log of recent income before t less the log of
+    its mean at their age. measure: arc (both incomes over their means at the age, where either reaches the floor) or log (the log
+    change less its mean at the age, where the income in t reaches the floor and the later one a third of it)."""
+    rows = base_rows(panel, base_years, horizons, floor, least, bin_column)
+    ages = ["yr", "age"]
+    changes = {h: F.when((F.col("y0") > 0) & (F.col(f"y{h}") > 0), F.ln(F.col(f"y{h}") / F.col("y0"))) for h in horizons}
+    means = [F.avg("re").alias("m_re"), F.avg("y0").alias("m0"), *[F.avg(f"y{h}").alias(f"m{h}") for h in horizons], *[F.avg(c).alias(f"c{h}") for h, c in changes.items()]]
+    rows = rows.join(rows.groupBy(*ages).agg(*means), ages).withColumn("residual", F.ln("re") - F.ln("m_re"))
     for h in horizons:
-        ahead = w.rangeBetween(h, h)
-        then, later = F.max("_v").over(ahead), F.max("y").over(ahead)
-        change = then - F.col("_v") if measure == "log" else F.when((F.col("y") >= floor) | (later >= floor), arc_change(then, F.col("_v")))
-        rows = rows.withColumn(f"g{h}", change)
-    bins = bin_column if bin_column is not None else age_bin(F.col("age"))
-    base = rows.filter(F.col("yr").isin(list(base_years)) & F.col("re").isNotNull()).withColumn("agebin", bins)
-    binned = qu.xtile(base, ["yr", "agebin"], "re", groups, "bin")
+        then = F.col(f"y{h}")
+        if measure == "log":
+            value = F.when((then >= floor / 3) & (F.col("y0") >= floor), changes[h] - F.col(f"c{h}"))
+        else:
+            value = F.when((then >= floor) | (F.col("y0") >= floor), arc_change(then / F.col(f"m{h}"), F.col("y0") / F.col("m0")))
+        rows = rows.withColumn(f"g{h}", value)
+    binned = qu.xtile(rows, ["yr", "agebin"], "residual", groups, "bin")
     long = binned.unpivot(["yr", "agebin", "bin"], [f"g{h}" for h in horizons], "_h", "g").filter("g is not null").withColumn("horizon", F.substring("_h", 2, 3).cast("long"))
     cell = ["horizon", "yr", "agebin", "bin"]
     ranked = qu.ranked(long, cell, ["g"])
@@ -46,24 +52,39 @@ def change_statistics(panel: DataFrame, base_years: Sequence[int], horizons: Seq
     return by_year.groupBy("horizon", "agebin", "bin").agg(*[F.avg(k).alias(k) for k in stats])
 
 
-def impulse_statistics(panel: DataFrame, base_years: Sequence[int], floor: float, income_edges: Sequence[int] = (1, 6, 11, 31, 51, 71, 91, 96, 101), shocks: int = 20, horizons: Sequence[int] = (1, 2, 3, 5), mass: float = -1.99, young: int = 34) -> DataFrame:
-    """agebin, inc, chg, n, impact and the mean change at each horizon: recent-income rank bins, then a bin of the mass point
-    (shock <= mass) and quantile groups of the others."""
-    recent = pn.recent_income(panel, "y", floor, 5, 2)
-    means = panel.groupBy("age").agg(F.avg("y").alias("_m"))
-    rows = recent.join(F.broadcast(means), "age", "left").withColumn("_v", F.col("y") / F.col("_m"))
-    w = pn.history()
-    before = F.max("_v").over(w.rangeBetween(-1, -1))
-    rows = rows.withColumn("shock", arc_change(F.col("_v"), before))
-    for h in horizons:
-        rows = rows.withColumn(f"f{h}", arc_change(F.max("_v").over(w.rangeBetween(h, h)), before))
-    lagged = F.max("re").over(w.rangeBetween(-1, -1))
-    base = rows.withColumn("re", lagged).filter(F.col("yr").isin(list(base_years)) & F.col("re").isNotNull() & F.col("shock").isNotNull()).withColumn("agebin", F.when(F.col("age") <= young, 1).otherwise(2).cast("long"))
-    ranked = qu.rank_bins(base, ["yr", "agebin"], ["re", "id"], income_edges, "inc")
-    hit = ranked.filter(F.col("shock") <= mass).withColumn("chg", F.lit(1).cast("long"))
-    others = qu.xtile(ranked.filter(F.col("shock") > mass), ["yr", "agebin", "inc"], "shock", shocks, "_x").withColumn("chg", F.col("_x") + 1).drop("_x")
-    both = hit.unionByName(others)
-    return both.groupBy("agebin", "inc", "chg").agg(F.count(F.lit(1)).alias("n"), F.avg("shock").alias("impact"), *[F.avg(f"f{h}").alias(f"f{h}") for h in horizons], F.min("shock").alias("min"), F.max("shock").alias("max"))
+#: Last percentiles of the income groups, and of the shock groups after the mass point.
+INCOME_EDGES = (5, 10, 30, 50, 70, 90, 95, 100)
+SHOCK_EDGES = (2, 5, 10, 15, 20, 25, 30, 35, 40, 45, 50, 55, 60, 65, 70, 75, 80, 85, 90, 95, 98, 100)
+
+
+def edge_group(fine: Column, edges: Sequence[float]) -> Column:
+    """Place (from 1) of the first edge that a percentile does not exceed."""
+    return (F.size(F.filter(F.array(*map(F.lit, edges[:-1])), lambda e: e < fine)) + 1).cast("long")
+
+
+def impulse_statistics(panel: DataFrame, base_years: Sequence[int], floor: float, income_edges: Sequence[float] = INCOME_EDGES, shock_edges: Sequence[float] = SHOCK_EDGES, horizons: Sequence[int] = (1, 2, 3, 5, 10), mass: float = -1.99, young: int = 34, least: int = 3, centre: str = "mean", fine: int = 100) -> DataFrame:
+    """agebin, inc, chg, n, impact, f<h>, min, max: shocks are arc changes from t - 1 to t, responses those from t - 1 to t + h, of
+    incomes over their mean or median (centre) at the age. Income groups are percentile groups within year and age group of the
+    log of recent income less the log of its age profile (mean incomes by age, over the same five ages); shock group 1 is the
+    mass point, the others are percentile groups of the rest, over all base years."""
+    profile = panel.groupBy("age").agg(F.avg("y").alias("m"))  # one row per age
+    trailing = profile.select("age", F.ln(F.avg("m").over(Window.orderBy("age").rangeBetween(-4, 0))).alias("profile"))
+    bins = F.when(F.col("age") <= young, 1).otherwise(2).cast("long")
+    rows = base_rows(panel, base_years, horizons, floor, least, bins).filter("y > 0").join(trailing, "age").withColumn("residual", F.ln("re") - F.col("profile"))
+    values = ["y", "y0", *[f"y{h}" for h in horizons]]
+    ages = ["yr", "age"]
+    if centre == "mean":
+        centres = rows.groupBy(*ages).agg(*[F.avg(v).alias(f"m_{v}") for v in values])
+    else:
+        long = rows.unpivot(ages, values, "_v", "_x").filter("_x is not null")
+        middle = qu.group_percentiles(long, [*ages, "_v"], "_x", (50,))
+        centres = middle.groupBy(*ages).agg(*[F.max(F.when(F.col("_v") == v, F.col("p50"))).alias(f"m_{v}") for v in values])
+    over = lambda v: F.col(v) / F.col(f"m_{v}")
+    rows = rows.join(centres, ages).withColumns({"shock": arc_change(over("y0"), over("y"))} | {f"f{h}": arc_change(over(f"y{h}"), over("y")) for h in horizons})
+    rows = qu.xtile(rows, ["yr", "agebin"], "residual", fine, "_fine").withColumn("inc", edge_group(F.col("_fine") * 100 / fine, income_edges)).filter("shock is not null")
+    rows = rows.withColumn("_left", F.when(F.col("shock") > mass, F.col("shock")))
+    rows = qu.xtile(rows, ["agebin", "inc"], "_left", fine, "_fine").withColumn("chg", F.when(F.col("shock") <= mass, F.lit(1)).otherwise(1 + edge_group(F.col("_fine") * 100 / fine, shock_edges)).cast("long"))
+    return rows.groupBy("agebin", "inc", "chg").agg(F.count(F.lit(1)).alias("n"), F.avg("shock").alias("impact"), *[F.avg(f"f{h}").alias(f"f{h}") for h in horizons], F.min("shock").alias("min"), F.max("shock").alias("max"))
 
 
 def representative_changes(panel: DataFrame, keys: Sequence[str], k: int, value: str = "y") -> DataFrame:

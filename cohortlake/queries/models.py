@@ -23,15 +23,16 @@ RECENT = """re as (select id, yr, y, avg(greatest(y, 50000.0)) over x as r, coun
 ok as (select id, yr, y, r from re where y >= 50000.0 and nv >= 2), rk as (select *, row_number() over (partition by yr order by r, id) - 1 as k, count(*) over (partition by yr) as n from ok), bin as (select id, yr, y, """ + PLACE + """ as b from rk)"""
 
 
-@query(f"""with {RECENT}, mu as (select yr, avg(y) as d from p group by yr), g as (select b.b, 2 * (f.y / mf.d - b.y / mb.d) / (f.y / mf.d + b.y / mb.d) as g from bin b join p f on f.id = b.id and f.yr = b.yr + 1 join mu mb on mb.yr = b.yr join mu mf on mf.yr = f.yr),
+@query(f"""with {RECENT}, mu as (select yr, avg(y) as d from p group by yr), g as (select b.b, 2 * (f.y / mf.d - c.y / mc.d) / (f.y / mf.d + c.y / mc.d) as g from bin b join p c on c.id = b.id and c.yr = b.yr + 1 join p f on f.id = b.id and f.yr = b.yr + 2 join mu mc on mc.yr = c.yr join mu mf on mf.yr = f.yr),
 c as (select b, avg(g) as m from g group by b) select g.b::bigint as re_bin, count(*) as n, round(avg(g.g), 6) as mean, round(stddev_samp(g.g), 6) as sd, round(avg(power(g.g - c.m, 3)) / power(avg(power(g.g - c.m, 2)), 1.5), 5) as skew, round(avg(power(g.g - c.m, 4)) / power(avg(power(g.g - c.m, 2)), 2), 5) as kurt
 from g join c on c.b = g.b group by g.b""", "panel")
 def m00_change_by_recent_income(spark, d):
+    """Changes from t to t + 1 by recent income over t-5..t-1."""
     p = panel(spark, d)
     means = p.groupBy("yr").agg(F.avg("y").alias("mean"))
-    changed = pn.arc_changes(pn.recent_income(p, "y", FLOOR, 5, 2), "y", 1, "g", means)
-    binned = qu.rank_bins(changed.filter("re is not null"), ["yr"], ["re", "id"], RE, "re_bin").filter("g is not null")
-    return rounded(mo.group_stats(binned, ["re_bin"], "g", extremes=False), 6, skew=5, kurt=5)
+    changed = pn.calendar_shift(pn.arc_changes(pn.recent_income(p, "y", FLOOR, 5, 2), "y", 1, "g", means), ["g"], 1, "_next")
+    binned = qu.rank_bins(changed.filter("re is not null"), ["yr"], ["re", "id"], RE, "re_bin").filter("g_next is not null")
+    return rounded(mo.group_stats(binned, ["re_bin"], "g_next", extremes=False), 6, skew=5, kurt=5)
 
 
 # --- simulation and moments of simulated panels
@@ -110,11 +111,14 @@ def _toolbox_frame(spark, d):
     return g.select(F.col("id").alias("ID"), F.col("y").alias("REAL_WAGE"), F.when(F.col("y") >= FLOOR, F.ln("y")).alias("LOG_WAGE"), F.col("yr").alias("YEAR"), F.col("age").alias("AGE"), F.col("yob").alias("COHORT"), (F.col("id") % 2).alias("SEX"))
 
 
-@query(f"""with x as (select id as i, y, case when y >= 50000 then ln(y) end as l, age, yob, id % 2 as sex from g where yob in (1950, 1955, 1960)), r as (select *, row_number() over (partition by yob, age, sex order by y) as k, count(*) over (partition by yob, age, sex) as n from x)
-select yob as "COHORT", age as "AGE", sex as "SEX", count(*) as n, round(avg(y), 4) as mean, round(stddev_samp(y), 4) as sd, round(avg(l), 6) as mean_log, {', '.join(f'round(max(case when k = greatest(ceil(round(n * {p} / 100, 9)), 1) then y end), 4) as p{p}' for p in (10, 50, 90))} from r group by 1, 2, 3""", "aged")
+@query(f"""with x as (select id as i, y, case when y >= 50000 then ln(y) end as l, age, yob, id % 2 as sex from g), r as (select *, row_number() over z as k, count(*) over (partition by yob, age, sex) as n, avg(l) over (partition by yob, age, sex) as mu from x window z as (partition by yob, age, sex order by y))
+select yob as "COHORT", age as "AGE", sex as "SEX", count(*) as n, round(avg(y), 4) as mean, round(stddev_samp(y), 4) as sd, round(avg(l), 6) as mean_log, round(stddev_samp(l), 6) as sd_log,
+case when count(l) > 2 and max(l) > min(l) then round(avg(power(l - mu, 3)) / power(avg(power(l - mu, 2)), 1.5) * sqrt(count(l) * (count(l) - 1.0)) / (count(l) - 2.0), 3) + 0.0 end as skew_log,
+case when count(l) > 3 and max(l) > min(l) then round(((count(l) + 1.0) * (avg(power(l - mu, 4)) / power(avg(power(l - mu, 2)), 2) - 3) + 6) * (count(l) - 1.0) / ((count(l) - 2.0) * (count(l) - 3.0)), 3) + 0.0 end as kurt_log, {', '.join(f'round(max(case when k = greatest(ceil(round(n * {p} / 100, 9)), 1) then y end), 4) as p{p}' for p in (10, 25, 50, 75, 90, 98))} from r group by 1, 2, 3""", "aged")
 def m12_toolbox(spark, d):
-    out = pl.toolbox(_toolbox_frame(spark, d), [1950, 1955, 1960], range(20, 70), [0, 1])
-    return rounded(out.select("COHORT", "AGE", "SEX", "n", "mean", "sd", "mean_log", "p10", "p50", "p90"), 4, mean_log=6)
+    """All cohorts, ages and sexes of the panel."""
+    out = rounded(pl.toolbox(_toolbox_frame(spark, d), range(1940, 1976), range(20, 70), [0, 1]), 4, mean_log=6, sd_log=6, skew_log=3, kurt_log=3)
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c) + 0.0) for c in ("skew_log", "kurt_log")})
 
 
 @query("""with a as (select id, age, yob, id % 2 as sex, 200 * (y - lag(y, 1) over w) / (y + lag(y, 1) over w) as a1, 200 * (y - lag(y, 5) over w) / (y + lag(y, 5) over w) as a5 from g window w as (partition by id order by yr)), u as (select yob, age, sex, 1 as h, a1 as arc from a union all select yob, age, sex, 5, a5 from a)
@@ -139,9 +143,47 @@ def m15_six_panel(spark, d):
     return rounded(c.groupBy("age").agg(F.count("*").alias("n"), mo.population(F.col("g"))["sd"].alias("sd")))
 
 
-@query()
+IMPULSE_EDGES = ((20, 60, 100), (30, 70, 100))
+
+
+def _impulse_sql(centre: str) -> str:
+    """Impulse responses with 10 fine groups, in three income and four shock groups."""
+    cuts = lambda v: ", ".join(f"{type2(10 * i, v)} as c{i}" for i in range(1, 10))
+    fine = lambda v: "10 * (1 + " + " + ".join(f"({v} > c{i})::int" for i in range(1, 10)) + ")"
+    group = lambda x, edges: f"(1 + ({x} > {edges[0]})::int + ({x} > {edges[1]})::int)"
+    values = ("y", "y0", "y1", "y2")
+    # the median of an even number of values is the mean of the middle two
+    centres = ", ".join(f"{'avg' if centre == 'mean' else 'median'}({v}) as m_{v}" for v in values)
+    arc = lambda a, b: f"2 * ({a} / m_{a} - {b} / m_{b}) / ({a} / m_{a} + {b} / m_{b})"
+    return f"""with w as (select *, avg(greatest(y, 50000.0)) over x as re, count(case when y >= 50000 then 1 end) over x as nv from g window x as (partition by id order by yr range between 4 preceding and current row)),
+am as (select age, avg(y) as m from g group by age), tr as (select age, ln(avg(m) over (order by age range between 4 preceding and current row)) as profile from am),
+s as (select w.id, w.yr, w.age, w.y, b.y as y0, c.y as y1, e.y as y2, ln(w.re) - profile as residual, case when w.age <= 34 then 1 else 2 end as agebin from w join tr using (age) left join g b on b.id = w.id and b.yr = w.yr + 1 left join g c on c.id = w.id and c.yr = w.yr + 2 left join g e on e.id = w.id and e.yr = w.yr + 3 where w.y >= 50000 and nv >= 2 and w.yr + 1 between 1997 and 1999),
+ce as (select yr, age, {centres} from s group by 1, 2), v as (select s.*, {arc("y0", "y")} as shock, {arc("y1", "y")} as f1, {arc("y2", "y")} as f2 from s join ce using (yr, age)),
+k as (select *, row_number() over (partition by yr, agebin order by residual) as k, count(*) over (partition by yr, agebin) as n from v), q as (select yr, agebin, {cuts("residual")} from k group by 1, 2),
+b as (select v.*, {group(fine("residual"), IMPULSE_EDGES[0])} as inc from v join q using (yr, agebin) where shock is not null),
+k2 as (select *, row_number() over (partition by agebin, inc order by shock) as k, count(*) over (partition by agebin, inc) as n from b where shock > -1.99), q2 as (select agebin, inc, {cuts("shock")} from k2 group by 1, 2),
+h as (select b.*, case when shock <= -1.99 then 1 else 1 + {group(fine("shock"), IMPULSE_EDGES[1])} end as chg from b left join q2 using (agebin, inc))
+select agebin::bigint as agebin, inc::bigint as inc, chg::bigint as chg, count(*) as n, round(avg(shock), 6) as impact, round(avg(f1), 6) as f1, round(avg(f2), 6) as f2, round(min(shock), 6) as min, round(max(shock), 6) as max from h group by 1, 2, 3"""
+
+
+def _impulse(spark, d, centre):
+    return rounded(pl.impulse_statistics(aged(spark, d), range(1997, 2000), FLOOR, *IMPULSE_EDGES, horizons=(1, 2), least=2, centre=centre, fine=10))
+
+
+@query(_impulse_sql("mean"), "aged")
 def m16_impulse_quantile(spark, d):
-    return rounded(pl.impulse_statistics(aged(spark, d), range(1997, 2001), FLOOR, shocks=10, horizons=(1, 2)))
+    return _impulse(spark, d, "mean")
+
+
+@query(_impulse_sql("median"), "aged")
+def m16_impulse_median(spark, d):
+    return _impulse(spark, d, "median")
+
+
+@query()
+def m16_impulse_full(spark, d):
+    """All 2 x 8 x 23 cells and five horizons."""
+    return rounded(pl.impulse_statistics(aged(spark, d), range(1997, 2002), FLOOR, least=2))
 
 
 @query("select a.age, count(*) as n, round(ln(avg(b.y)) - ln(avg(a.y)), 6) as rep from g a join g b on b.id = a.id and b.yr = a.yr + 2 group by a.age", "aged")
@@ -149,16 +191,36 @@ def m17_rep_agent(spark, d):
     return rounded(pl.representative_changes(aged(spark, d), ["age"], 2))
 
 
-CUTS = ", ".join(f"{type2(20 * i, 'r')} as c{i}" for i in range(1, 5))
+def _cross_sql(measure: str) -> str:
+    cuts = ", ".join(f"{type2(20 * i, 'r')} as c{i}" for i in range(1, 5))
+    change = {
+        "arc": "case when y1 >= 50000 or y0 >= 50000 then 2 * (y1 / m1 - y0 / m0) / (y1 / m1 + y0 / m0) end",
+        "log": "case when y1 >= 50000 / 3.0 and y0 >= 50000 then ln(y1 / y0) - ml end",
+    }[measure]
+    points = ", ".join(f"{type2(p, 'g')} as p{p}" for p in (10, 50, 90))
+    means = ", ".join(f"round(avg({c}), 6) as {c}" for c in ("n", "mean", "sd", "min", "max", "p10", "p50", "p90"))
+    return f"""with w as (select *, avg(greatest(y, 50000.0)) over x as re, count(case when y >= 50000 then 1 end) over x as nv from g window x as (partition by id order by yr range between 4 preceding and current row)),
+s as (select w.id, w.yr, w.age, w.re, b.y as y0, f.y as y1, least(floor((w.age - 25) / 5.0) + 1, 7) as agebin from w left join g b on b.id = w.id and b.yr = w.yr + 1 left join g f on f.id = w.id and f.yr = w.yr + 2 where w.y >= 50000 and nv >= 2 and w.yr + 1 in (1997, 1998, 1999)),
+m as (select yr, age, avg(re) as mre, avg(y0) as m0, avg(y1) as m1, avg(ln(y1 / y0)) as ml from s group by 1, 2), v as (select s.*, ln(re) - ln(mre) as r, {change} as g from s join m using (yr, age)),
+k as (select *, row_number() over (partition by yr, agebin order by r) as k, count(*) over (partition by yr, agebin) as n from v), q as (select yr, agebin, {cuts} from k group by 1, 2), b as (select v.*, 1 + (r > c1)::int + (r > c2)::int + (r > c3)::int + (r > c4)::int as bin from v join q using (yr, agebin)),
+o as (select yr, agebin, bin, g, row_number() over z as k, count(*) over (partition by yr, agebin, bin) as n, avg(g) over (partition by yr, agebin, bin) as mu from b where g is not null window z as (partition by yr, agebin, bin order by g)),
+t as (select yr, agebin, bin, count(*) as n, avg(g) as mean, stddev_samp(g) as sd, case when max(g) > min(g) then avg(power(g - mu, 3)) / power(avg(power(g - mu, 2)), 1.5) end as skew, case when max(g) > min(g) then avg(power(g - mu, 4)) / power(avg(power(g - mu, 2)), 2) end as kurt, min(g) as min, max(g) as max, {points} from o group by 1, 2, 3)
+select 1::bigint as horizon, agebin::bigint as agebin, bin::bigint as bin, {means}, round(avg(skew), 4) + 0.0 as skew, round(avg(kurt), 4) as kurt from t group by 2, 3"""
 
 
-@query(f"""with w as (select *, avg(greatest(y, 50000.0)) over x as r, count(case when y >= 50000 then 1 end) over x as nv from g window x as (partition by id order by yr range between 4 preceding and current row)), m as (select age, avg(y) as m from g group by age),
-v as (select w.id, w.yr, w.age, w.y, w.r, w.nv, w.y / m as v from w join m using (age)), s as (select *, least(floor((age - 25) / 5.0) + 1, 7) as agebin from v where y >= 50000 and nv >= 2 and yr in (1997, 1998, 1999)), k as (select *, row_number() over (partition by yr, agebin order by r) as k, count(*) over (partition by yr, agebin) as n from s),
-q as (select yr, agebin, {CUTS} from k group by 1, 2), b as (select s.*, 1 + (r > c1)::int + (r > c2)::int + (r > c3)::int + (r > c4)::int as bin from s join q using (yr, agebin)), c as (select b.yr, b.agebin, b.bin, 2 * (f.v - b.v) / (f.v + b.v) as g from b join v f on f.id = b.id and f.yr = b.yr + 1),
-t as (select yr, agebin, bin, count(*) as n, avg(g) as mean, stddev_samp(g) as sd, min(g) as min, max(g) as max from c group by 1, 2, 3) select 1::bigint as horizon, agebin::bigint as agebin, bin::bigint as bin, round(avg(n), 6) as n, round(avg(mean), 6) as mean, round(avg(sd), 6) as sd, round(avg(min), 6) as min, round(avg(max), 6) as max from t group by 2, 3""", "aged")
+def _cross(spark, d, measure):
+    out = rounded(pl.change_statistics(aged(spark, d), [1997, 1998, 1999], (1,), FLOOR, 2, 5, measure, (10, 50, 90)), 6, skew=4, kurt=4)
+    return out.withColumn("skew", F.col("skew") + 0.0)  # no negative zero
+
+
+@query(_cross_sql("arc"), "aged")
 def m18_cross_pipeline(spark, d):
-    out = pl.change_statistics(aged(spark, d), [1997, 1998, 1999], (1,), FLOOR, 2, 5, percentiles=(50,))
-    return rounded(out.select("horizon", "agebin", "bin", "n", "mean", "sd", "min", "max"))
+    return _cross(spark, d, "arc")
+
+
+@query(_cross_sql("log"), "aged")
+def m18_cross_log(spark, d):
+    return _cross(spark, d, "log")
 
 
 @query("""with t as (select 'm' as grp, yr as i, avg(y) as m from p group by yr), d as (select yr as i, avg(y) * 1.1 + yr % 3 as d from p group by yr), q as (select quantile_cont(abs(m), 0.1) as psi, count(*) as size from t) select grp, i, round(m, 4) as value, round(d, 4) as d, round((d - m) / ((abs(d) + abs(m)) / 2 + psi), 6) as f, round(1.0 / size, 8) as w from t join d using (i), q""", "panel")

@@ -192,6 +192,47 @@ _stayers("w25_stayers_strict", "strict", "(b.e1 = c.e1 and f.e1 = c.e1)")
 _stayers("w25_stayers_share", "share", f"({INSIDE} and c.a1 >= 0.5 * c.a)")
 
 
+FULL_JOBS_SQL = """i as (select o_custkey as id, year(o_orderdate)::bigint as yr, l_suppkey % 4 as ein, l_extendedprice as amount from orders join lineitem on l_orderkey = o_orderkey), j as (select id, yr, ein, round(sum(amount), 2) as amount from i where ein <> 3 group by 1, 2, 3), u as (select id, yr, round(sum(case when ein = 3 then amount else 0 end), 2) as selfinc from i group by 1, 2),
+t as (select *, row_number() over (partition by id, yr order by amount desc, ein) as k from j), e as (select id, yr, max(case when k = 1 then ein end) as e1, max(case when k = 2 then ein end) as e2, max(case when k = 3 then ein end) as e3, max(case when k = 1 then amount end) as w1, max(case when k = 2 then amount end) as w2, max(case when k = 3 then amount end) as w3, sum(amount) as w, sum(amount) + selfinc * 2 / 3 as labor, selfinc from t join u using (id, yr) group by id, yr, selfinc)"""
+
+
+def _full_jobs(spark, d):
+    """Suppliers in four groups; the last one is self-employment."""
+    o = readers.table(spark, d, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
+    i = readers.table(spark, d, "lineitem", ["l_orderkey", "l_suppkey", "l_extendedprice"])
+    rows = o.join(i, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("id"), big(F.year("o_orderdate")).alias("yr"), (F.col("l_suppkey") % 4).alias("ein"), F.col("l_extendedprice").alias("amount"))
+    return pn.paid_jobs(rows.filter("ein <> 3"), rows.groupBy("id", "yr").agg(F.round(F.sum(F.when(F.col("ein") == 3, F.col("amount")).otherwise(0.0)), 2).alias("selfinc")))
+
+
+def _pair(name: str, method: str, test: str) -> None:
+    def run(spark, d):
+        return pn.pair_stayers(_full_jobs(spark, d), method, FLOOR).filter("stay is not null").select("id", "yr", big("stay").alias("stay"))
+
+    run.__name__ = name
+    query(f"with {FULL_JOBS_SQL} select c.id, c.yr, coalesce({test}, false)::int::bigint as stay from e c join e f on f.id = c.id and f.yr = c.yr + 1 left join e b on b.id = c.id and b.yr = c.yr - 1 left join e a on a.id = c.id and a.yr = c.yr + 2")(run)
+
+
+def _apart(x: str, y: str) -> str:
+    little = " or ".join(f"({x}.e1 = {y}.e{k} and {y}.w{k} < 0.25 * {x}.w1)" for k in (2, 3))
+    return f"(({x}.e1 is distinct from {y}.e2 and {x}.e1 is distinct from {y}.e3) or {little})"
+
+
+_pair("w25_method_1", "I", f"not (c.e1 <> f.e1 and c.w1 / c.w >= 0.5 and f.w1 / f.w >= 0.5 and coalesce({_apart('c', 'f')}, false) and coalesce({_apart('f', 'c')}, false))")
+_pair("w25_method_2", "II", "(c.e1 = f.e1 and b.e1 = c.e1 and a.e1 = f.e1)")
+_pair("w25_method_2v2", "IIv2", "(c.e1 = f.e1 and c.w1 / c.labor >= 0.8 and f.w1 / f.labor >= 0.8 and c.e1 in (b.e1, coalesce(b.e2, -1), coalesce(b.e3, -1)) and f.e1 in (a.e1, coalesce(a.e2, -1), coalesce(a.e3, -1)) and c.selfinc < greatest(50000.0, 0.1 * c.labor) and f.selfinc < greatest(50000.0, 0.1 * f.labor))")
+
+
+@query("select id, " + ", ".join(f"round(ln(max(case when age = {b} then y end)) - ln(max(case when age = {a} then y end)), 6) as g_{a}_{b}" for a, b in ((25, 29), (35, 39), (40, 44))) + " from g group by id", "aged")
+def w24_age_blocks(spark, d):
+    """Five-year blocks: the panel is seven years long."""
+    return rounded(pn.growth_blocks(aged(spark, d), ((25, 29), (35, 39), (40, 44))))
+
+
+@query("select id, round(avg(greatest(y, 50000.0)), 4) as lt, count(case when y >= 50000 then 1 end) as emp, " + ", ".join(f"max(case when age = {a} then greatest(y, 50000.0) end) as y{a}" for a in range(25, 61, 5)) + " from g group by id having count(case when y >= 50000 then 1 end) >= 3", "aged")
+def w23_lifetime_ages(spark, d):
+    return rounded(pn.lifetime_at_ages(aged(spark, d), range(25, 61, 5), FLOOR, 3), 4)
+
+
 @query("select a.id, a.yr, case when b.y is not null then (b.y < 50000 and a.y >= 50000)::int::bigint end as entry, case when b.y is not null then (b.y >= 50000 and a.y < 50000)::int::bigint end as exit from p a left join p b on b.id = a.id and b.yr = a.yr - 1", "panel")
 def w26_transitions(spark, d):
     p = panel(spark, d).withColumn("emp", (F.col("y") >= FLOOR).cast("int"))
