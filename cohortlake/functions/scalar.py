@@ -73,6 +73,19 @@ def md5_uniform(seed: str, *keys: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *[k.cast("string") for k in keys])), 1, 12), 16, 10).cast("bigint") / float(1 << 48)
 
 
+def md5_normal(seed: str, other: str, *keys: Column) -> Column:
+    """A standard normal number from two such digests, by the polar transform."""
+    return F.sqrt(-2 * F.ln(1 - md5_uniform(seed, *keys))) * F.cos(2 * F.pi() * md5_uniform(other, *keys))
+
+
+def topcode_features(x: Column, cap: Column, floor: Column, name: str) -> dict[str, Column]:
+    """Regressors for imputing capped incomes: top (at the cap), zero (below the floor), the log of income (zero below the floor, and
+    of half the floor at least), and that log cut at the cap's."""
+    zero = x < floor
+    log = F.when(zero, F.lit(0.0)).otherwise(F.ln(F.greatest(x, 0.5 * floor)))
+    return {"top": (x >= cap).cast("int"), "zero": zero.cast("int"), f"ln_{name}": log, "ln_top": F.least(log, F.ln(cap))}
+
+
 def polynomial(columns: Sequence[str]) -> dict[str, Column]:
     """Linear, squared and cross terms of the columns."""
     out = {c: F.col(c) for c in columns}

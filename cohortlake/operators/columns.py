@@ -33,6 +33,20 @@ def labelled(df: DataFrame, labels: Mapping[str, str]) -> DataFrame:
     return df.select(*[F.col(c).alias(c, metadata={"label": labels[c]}) if c in labels else F.col(c) for c in df.columns])
 
 
+def compressed(df: DataFrame) -> DataFrame:
+    """Whole-number columns in the narrowest type that holds their extremes (one pass, one row to the driver)."""
+    whole = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("smallint", "int", "bigint")]
+    if not whole:
+        return df
+    ends = df.agg(*[x for c in whole for x in (F.min(c), F.max(c))]).first()
+    kinds = {"tinyint": 7, "smallint": 15, "int": 31, "bigint": 63}
+    out = {}
+    for k, c in enumerate(whole):
+        low, high = ends[2 * k] or 0, ends[2 * k + 1] or 0
+        out[c] = F.col(c).cast(next(name for name, bits in kinds.items() if -(1 << bits) <= low and high < 1 << bits))
+    return df.withColumns(out)
+
+
 def waves(frames: Mapping[int, DataFrame], names: Mapping[int, Mapping[str, str]], year: str = "year") -> DataFrame:
     """One table of several waves: each with its own codes renamed to common names, its year, and nulls for what it lacks."""
     out = None

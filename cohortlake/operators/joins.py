@@ -42,6 +42,11 @@ def interpolated(df: DataFrame, x: str, knots: DataFrame, name: str, knot_x: str
     return out.withColumn(name, F.when(F.col("_v").isNotNull(), value)).drop("_knots", "_v")
 
 
+def distinct_knots(knots: DataFrame, x: str, y: str) -> DataFrame:
+    """One knot for each value y, the one with the least x: a step function's first points, as an inverse lookup needs them."""
+    return knots.groupBy(y).agg(F.min(x).alias(x)).select(x, y)
+
+
 def bilinear(df: DataFrame, x: str, y: str, grid: DataFrame, name: str) -> DataFrame:
     """Interpolation on a full rectangular grid (gx, gy, gz), clamped at its edges. The grid is one bounded map of corners."""
     axes = grid.agg(F.array_sort(F.collect_set("gx")).alias("_xs"), F.array_sort(F.collect_set("gy")).alias("_ys"), F.map_from_entries(F.collect_list(F.struct(F.struct("gx", "gy"), "gz"))).alias("_z"))

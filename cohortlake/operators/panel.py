@@ -208,6 +208,13 @@ def autocovariances(panel: DataFrame, value: str, key: str, max_lag: int | None
     return pairs.groupBy("key_a", "key_b").agg(F.count(F.lit(1)).alias("n"), F.covar_samp("a", "b").alias("cov"), F.corr("a", "b").alias("corr"))
 
 
+def leading(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, k: int) -> DataFrame:
+    """keys, leading: the values at the first k places of each group. Only they leave the sort, which keeps k rows a group."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    first = df.withColumn("_k", place).filter(F.col("_k") <= k)
+    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", value))), lambda x: x[value]).alias("leading"))
+
+
 def rank_matched(left: DataFrame, right: DataFrame, value: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
     """Each left row gets the right value of its own rank (1 is the least) within keys."""
     from cohortlake.functions.quantiles import ranked
