@@ -21,27 +21,31 @@ FIFTEEN = (1, 2.5, 5, 10, 12.5, 25, 37.5, 50, 62.5, 75, 87.5, 90, 95, 97.5, 99)
 NINE = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 
 
-def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], parts: int = 1) -> DataFrame:
+#: Value ranges that each group is ranked in, so that no group of any size is sorted in one task.
+PARTS = 8
+
+
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], parts: int | None = None) -> DataFrame:
     """df with _k (from 1) and _n: the place in the group by `order` and the group's size.
 
-    With parts > 1, values of the first order column are cut into so many ranges per group by approximate quantiles (a bounded
+    parts is PARTS unless given; 1 sorts each group in one task. Otherwise values of the first order column are cut into so many ranges per group by approximate quantiles (a bounded
     table); each range is ranked alone and offset by the sizes of those before it, so a group of any size is ranked by many
     tasks. Equal first values share a range, so the ranks are exact whatever the cuts.
     """
-    keys = list(keys)
+    keys, parts = list(keys), PARTS if parts is None else parts
     if parts <= 1:
         by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
         return df.withColumn("_k", F.row_number().over(by.orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(by))
     first = order[0] if isinstance(order[0], Column) else F.col(order[0])
-    keyed = df.withColumn("_v", first.cast("double"))
+    keyed = df.withColumn("_ranked_v", first.cast("double"))
     probabilities = [i / parts for i in range(1, parts)]
-    cuts = keyed.groupBy(*keys).agg(F.percentile_approx("_v", probabilities, 1000).alias("_cuts")) if keys else keyed.agg(F.percentile_approx("_v", probabilities, 1000).alias("_cuts"))
-    placed = (keyed.join(cuts, keys) if keys else keyed.crossJoin(F.broadcast(cuts))).withColumn("_part", F.size(F.filter("_cuts", lambda c: F.col("_v") > c))).drop("_cuts")
-    sizes = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"))
+    cuts = keyed.groupBy(*keys).agg(F.percentile_approx("_ranked_v", probabilities, 1000).alias("_ranked_cuts")) if keys else keyed.agg(F.percentile_approx("_ranked_v", probabilities, 1000).alias("_ranked_cuts"))
+    placed = (keyed.join(cuts, keys) if keys else keyed.crossJoin(F.broadcast(cuts))).withColumn("_ranked_part", F.size(F.filter("_ranked_cuts", lambda c: F.col("_ranked_v") > c))).drop("_ranked_cuts")
+    sizes = placed.groupBy(*keys, "_ranked_part").agg(F.count(F.lit(1)).alias("_ranked_size"))
     over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    offsets = sizes.select(*keys, "_part", (F.sum("_size").over(over.orderBy("_part")) - F.col("_size")).alias("_before"), F.sum("_size").over(over).alias("_n"))
-    local = placed.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
-    return local.join(offsets, [*keys, "_part"]).withColumn("_k", F.col("_local") + F.col("_before")).drop("_v", "_part", "_local", "_before")
+    offsets = sizes.select(*keys, "_ranked_part", (F.sum("_ranked_size").over(over.orderBy("_ranked_part")) - F.col("_ranked_size")).alias("_ranked_before"), F.sum("_ranked_size").over(over).alias("_n"))
+    local = placed.withColumn("_ranked_local", F.row_number().over(Window.partitionBy(*keys, "_ranked_part").orderBy(*order)))
+    return local.join(offsets, [*keys, "_ranked_part"]).withColumn("_k", F.col("_ranked_local") + F.col("_ranked_before")).drop("_ranked_v", "_ranked_part", "_ranked_local", "_ranked_before")
 
 
 def at(rank: Column, value: Column) -> Column:
@@ -71,27 +75,27 @@ def name_of(p: float) -> str:
     return "p" + f"{p:g}".replace(".", "_")
 
 
-def group_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float] = FIFTEEN, rule: str = "averaged", parts: int = 1) -> DataFrame:
+def group_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float] = FIFTEEN, rule: str = "averaged", parts: int | None = None) -> DataFrame:
     """Percentile columns by group from one sort of each group."""
     rows = ranked(df.filter(F.col(value).isNotNull()), keys, [value], parts)
     columns = [percentile(F.col(value), p, rule).alias(name_of(p)) for p in probs]
     return rows.groupBy(*keys).agg(*columns) if keys else rows.agg(*columns)
 
 
-def smoothed_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], reach: int = 5, parts: int = 1) -> DataFrame:
+def smoothed_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], reach: int = 5, parts: int | None = None) -> DataFrame:
     """Means of the order statistics within `reach` places of the floor-rule rank."""
     rows = ranked(df.filter(F.col(value).isNotNull()), keys, [value], parts)
     rank = lambda p: F.least(F.col("_n"), F.floor(F.round(F.col("_n") * F.lit(float(p)) / 100, 9)) + 1)
     return rows.groupBy(*keys).agg(*[F.avg(F.when(F.abs(F.col("_k") - rank(p)) <= reach, F.col(value))).alias(name_of(p)) for p in probs])
 
 
-def top_shares(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], parts: int = 1) -> DataFrame:
+def top_shares(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], parts: int | None = None) -> DataFrame:
     """The share of the total above each percentile."""
     rows = ranked(df.filter(F.col(value).isNotNull()), keys, [value], parts)
     return rows.groupBy(*keys).agg(*[(F.sum(F.when(F.col("_k") >= F.floor(F.round(F.col("_n") * F.lit(float(p)) / 100, 9)) + 1, F.col(value)).otherwise(0.0)) / F.sum(value)).alias("top" + name_of(p)[1:]) for p in probs])
 
 
-def cut_points(df: DataFrame, keys: Sequence[str], value: str, groups: int, rule: str = "averaged", parts: int = 1) -> DataFrame:
+def cut_points(df: DataFrame, keys: Sequence[str], value: str, groups: int, rule: str = "averaged", parts: int | None = None) -> DataFrame:
     """keys, cuts: the inner percentiles that part a value into so many groups."""
     probs = [100 * i / groups for i in range(1, groups)]
     rows = ranked(df.filter(F.col(value).isNotNull()), keys, [value], parts)
@@ -99,14 +103,14 @@ def cut_points(df: DataFrame, keys: Sequence[str], value: str, groups: int, rule
     return rows.groupBy(*keys).agg(agg) if keys else rows.agg(agg)
 
 
-def xtile(df: DataFrame, keys: Sequence[str], value: str, groups: int, name: str = "bin", rule: str = "averaged", parts: int = 1) -> DataFrame:
+def xtile(df: DataFrame, keys: Sequence[str], value: str, groups: int, name: str = "bin", rule: str = "averaged", parts: int | None = None) -> DataFrame:
     """Quantile groups by cut point: equal values stay together. The cut table has one row per group and is planned by size."""
     cuts = cut_points(df, keys, value, groups, rule, parts)
     joined = df.join(cuts, list(keys), "left") if keys else df.crossJoin(F.broadcast(cuts))
     return joined.withColumn(name, F.when(F.col(value).isNotNull(), 1 + F.size(F.filter("cuts", lambda c: F.col(value) > c))).cast("long")).drop("cuts")
 
 
-def rank_bins(df: DataFrame, keys: Sequence[str], order: Sequence[str], edges: Sequence[float], name: str = "bin", parts: int = 1) -> DataFrame:
+def rank_bins(df: DataFrame, keys: Sequence[str], order: Sequence[str], edges: Sequence[float], name: str = "bin", parts: int | None = None) -> DataFrame:
     """Bins by rank: with 1-based percentile edges e, bin j holds the 0-based places in [floor(n (e_j - 1) / 100), floor(n (e_j+1 - 1) / 100)).
     Bins are disjoint; ties part by the order columns. Rows with a null first order column get no bin."""
     rows = ranked(df.filter(F.col(order[0]).isNotNull()), keys, order, parts)
@@ -118,8 +122,9 @@ def rank_bins(df: DataFrame, keys: Sequence[str], order: Sequence[str], edges: S
     return rows.withColumn(name, out.otherwise(F.lit(len(edges) - 1)).cast("long")).drop("_k", "_n")
 
 
-def percent_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "pct") -> DataFrame:
-    """Average-tie ranks over the group's size."""
-    by = Window.partitionBy(*keys)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    return df.withColumn(name, (F.rank().over(by.orderBy(value)) + (ties - 1) / 2) / F.count(F.lit(1)).over(by))
+def percent_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "pct", parts: int | None = None) -> DataFrame:
+    """Average-tie ranks over the group's size; null values get none. Ranks are made range by range, and those of equal values are
+    averaged by an aggregate and a join."""
+    rows = ranked(df.filter(F.col(value).isNotNull()), keys, [value], parts)
+    ties = rows.groupBy(*keys, value).agg((F.avg("_k") / F.max("_n")).alias(name))
+    return df.join(ties, [*keys, value], "left")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.functions.quantiles import ranked
+from cohortlake.functions.quantiles import group_percentiles, ranked
 
 
 def histogram(df: DataFrame, value: str, bins: int, cutoff: float = 0.01, parts: int = 16) -> DataFrame:
@@ -25,19 +25,25 @@ def histogram(df: DataFrame, value: str, bins: int, cutoff: float = 0.01, parts:
 
 def kernel_density(df: DataFrame, value: str, points: int = 500, merge_digits: int | None = None) -> DataFrame:
     """i, at, density on an even grid from min - h to max + h: kernel 3/4 (1 - z^2 / 5) / sqrt(5) within sqrt(5) bandwidths,
-    h = 0.9 min(sd, IQR / 1.349) n^(-1/5). Equal values (after rounding to merge_digits, if given) are merged with their counts
-    before they meet the grid."""
+    h = 0.9 min(sd, IQR / 1.349) n^(-1/5), with quartiles by the averaged rule. Equal values (after rounding to merge_digits, if
+    given) are merged with their counts, and each meets only the grid points within its reach."""
     x = F.col(value).cast("double")
     x = x if merge_digits is None else F.round(x, merge_digits)
     merged = df.filter(F.col(value).isNotNull()).groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("c"))
     raw = df.select(F.col(value).cast("double").alias("x")).filter("x is not null")
-    s = raw.agg(F.stddev_samp("x").alias("sd"), (F.percentile("x", 0.75) - F.percentile("x", 0.25)).alias("iqr"), F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    s = s.withColumn("h", 0.9 * F.least("sd", F.col("iqr") / 1.349) * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-    grid = s.select("h", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("lo") - F.col("h") + i * (F.col("hi") - F.col("lo") + 2 * F.col("h")) / (points - 1))).alias("i", "at"))
-    z = (F.col("x") - F.col("at")) / F.col("h")
-    kernel = F.when(F.abs(z) < F.sqrt(F.lit(5.0)), 0.75 * (1 - z * z / 5) / F.sqrt(F.lit(5.0))).otherwise(0.0)
-    met = merged.crossJoin(F.broadcast(grid))  # a grid of fixed size
-    return met.groupBy("i", "at").agg((F.sum(F.col("c") * kernel) / (F.max("n") * F.max("h"))).alias("density")).select(F.col("i").cast("bigint").alias("i"), "at", "density")
+    s = raw.agg(F.stddev_samp("x").alias("sd"), F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    s = s.crossJoin(F.broadcast(group_percentiles(raw, [], "x", (25, 75)))).withColumn("h", 0.9 * F.least("sd", (F.col("p75") - F.col("p25")) / 1.349) * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
+    s = s.select("h", "n", (F.col("lo") - F.col("h")).alias("start"), ((F.col("hi") - F.col("lo") + 2 * F.col("h")) / (points - 1)).alias("step"))  # one row
+    at = lambda i: F.col("start") + i * F.col("step")
+    reach, root = F.sqrt(F.lit(5.0)) * F.col("h"), F.sqrt(F.lit(5.0))
+    near = lambda edge, f, end: F.least(F.greatest(f((edge - F.col("start")) / F.col("step")), F.lit(0)), F.lit(end)).cast("int")
+    first, last = near(F.col("x") - reach, F.floor, points - 1), near(F.col("x") + reach, F.ceil, points - 1)
+    met = merged.crossJoin(F.broadcast(s)).withColumn("i", F.explode(F.sequence(first, last)))
+    z = (F.col("x") - at(F.col("i"))) / F.col("h")
+    kernel = F.when(F.abs(z) < root, 0.75 * (1 - z * z / 5) / root).otherwise(0.0)
+    sums = met.groupBy("i").agg((F.sum(F.col("c") * kernel) / (F.max("n") * F.max("h"))).alias("density"))
+    grid = s.select(F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"), "start", "step").select("i", at(F.col("i")).alias("at"))
+    return grid.join(F.broadcast(sums), "i", "left").select(F.col("i").cast("bigint").alias("i"), "at", F.coalesce("density", F.lit(0.0)).alias("density"))
 
 
 def density_moments(grid: DataFrame, x: str, f: str, tail: float) -> DataFrame:

@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions.moments import unbiased
 from cohortlake.functions.quantiles import rank_bins
+from cohortlake.session import staged
 
+#: Rows that one value range of a ranking may hold.
+ROWS_A_RANGE = 2_000_000
 # 1-based percentile edges of the bins.
 RECENT_EDGES = (1, 2, 11, 21, 31, 41, 51, 61, 71, 81, 91, 96, 100, 101)
 IMPULSE_INCOME_EDGES = (1, 6, 11, 31, 51, 71, 91, 96, 101)
@@ -81,7 +84,7 @@ def banded(rows: DataFrame, bands: Sequence[tuple[int, int]], name: str) -> Data
     return rows.withColumn(name, out).filter(F.col(name).isNotNull())
 
 
-def cross_section(rows: DataFrame, excess: bool = True, parts: int = 1) -> DataFrame:
+def cross_section(rows: DataFrame, excess: bool = True, parts: int | None = None) -> DataFrame:
     """grp (ssk_l1, ssk_l5), i age group, j recent-income bin, k (sd, skew, kurt), value: means of the two sub-bins."""
     binned = rank_bins(banded(rows, SUB_BINS, "sub"), ["sub"], ["re", "id", "h"], RECENT_EDGES, "bin", parts)
     stats = []
@@ -94,7 +97,7 @@ def cross_section(rows: DataFrame, excess: bool = True, parts: int = 1) -> DataF
     return by_age.select(F.split("_n", r"\|")[0].alias("grp"), "i", "j", F.split("_n", r"\|")[1].cast("long").alias("k"), F.lit(0).cast("long").alias("l"), "value")
 
 
-def impulses(rows: DataFrame, parts: int = 1) -> DataFrame:
+def impulses(rows: DataFrame, parts: int | None = None) -> DataFrame:
     """grp ir, i age, j income bin, k shock bin, l horizon, value: means of the changes."""
     by_income = rank_bins(banded(rows, IMPULSE_AGES, "age"), ["age"], ["re", "id", "h"], IMPULSE_INCOME_EDGES, "inc", parts)
     by_shock = rank_bins(by_income, ["age", "inc"], ["ir0", "re", "id", "h"], IMPULSE_SHOCK_EDGES, "chg", parts)
@@ -103,7 +106,7 @@ def impulses(rows: DataFrame, parts: int = 1) -> DataFrame:
     return means.unpivot(["age", "inc", "chg"], names, "_l", "value").select(F.lit("ir").alias("grp"), F.col("age").cast("long").alias("i"), (F.col("inc") - 1).alias("j"), (F.col("chg") - 1).alias("k"), F.col("_l").cast("long").alias("l"), "value")
 
 
-def lifetime(panel: DataFrame, parts: int = 1) -> tuple[DataFrame, DataFrame]:
+def lifetime(panel: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(incgrowth cells, years-employed distribution in percent)."""
     floored = F.transform("y", lambda v: F.greatest(v, F.lit(FLOOR)))
     people = panel.select("id", F.size("y").alias("steps"), F.size(F.filter("y", lambda v: v >= FLOOR)).alias("emp"), floored.alias("f"))
@@ -126,11 +129,14 @@ def years_employed(people: DataFrame, steps: int = 36) -> DataFrame:
     return below.crossJoin(F.broadcast(total)).select(F.lit("emp_cdf").alias("grp"), "i", zero.alias("j"), zero.alias("k"), zero.alias("l"), value.alias("value"))
 
 
-def all_moments(panel: DataFrame, excess: bool = True, parts: int = 1) -> DataFrame:
+def all_moments(panel: DataFrame, excess: bool = True, parts: int | None = None) -> DataFrame:
     """Tidy (grp, i, j, k, l, value) of every moment."""
     profile = age_profile(panel)
     zero = F.lit(0).cast("long")
-    rows = long_panel(panel, _values(profile))
+    # 28 rows a person, which several rankings read
+    rows = staged(long_panel(panel, _values(profile)), "panel-rows")
+    # a count of stored rows reads file footers alone
+    parts = parts or 1 + rows.count() // ROWS_A_RANGE
     variance = profile.select(F.lit("var_lny").alias("grp"), F.col("h").cast("long").alias("i"), zero.alias("j"), zero.alias("k"), zero.alias("l"), F.col("var_lny").alias("value"))
     growth, employed = lifetime(panel, parts)
     return reduce(DataFrame.unionByName, [cross_section(rows, excess, parts), impulses(rows, parts), growth, variance, employed])

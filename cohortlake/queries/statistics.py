@@ -166,7 +166,7 @@ def a23_histogram(spark, d):
     return rounded(ds.histogram(panel(spark, d), "y", bins=20, cutoff=1.0), 8)
 
 
-@query("""with s as (select avg(x) as m, stddev_samp(x) as sd, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) as iqr, count(*) as n, min(x) as lo, max(x) as hi from (select l_quantity::double as x from lineitem)),
+@query(f"""with r as (select l_quantity::double as x, row_number() over (order by l_quantity) as k, count(*) over () as n from lineitem), s as (select stddev_samp(x) as sd, {type2(75, 'x')} - {type2(25, 'x')} as iqr, count(*) as n, min(x) as lo, max(x) as hi from r),
 h as (select *, 0.9 * least(sd, iqr / 1.349) * power(n, -0.2) as h from s), g as (select i::bigint as i, lo - h + i * (hi - lo + 2 * h) / 49 as x_at, h, n from h, range(0, 50) t(i)), v as (select l_quantity::double as x, count(*) as c from lineitem group by 1)
 select i, round(x_at, 6) as at, round(sum(case when abs((x - x_at) / h) < sqrt(5.0) then c * 0.75 * (1 - power((x - x_at) / h, 2) / 5) / sqrt(5.0) else 0 end) / (max(n) * max(h)), 8) as density from g, v group by i, x_at""")
 def a24_kdensity(spark, d):

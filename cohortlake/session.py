@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Used only where a local session names no shared folder.
+LOCAL_FOLDER = "/tmp/checkpoints/cohortlake"
 
 
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -14,3 +19,15 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g", **con
     for k, v in (settings | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """df written as Parquet below spark.checkpoint.dir and read back: evaluated once, with a lineage that outlives executors. A
+    cluster must name that folder; a local session may go without."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{(root or LOCAL_FOLDER).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
