@@ -159,7 +159,8 @@ def chunk_rows(docs: DataFrame, hot: dict[bytes, int], dictionary: bytes) -> Dat
 
 
 def rebuild(lists: DataFrame, dictionary: bytes) -> DataFrame:
-    """Per medium, from its ordered chunks: the verified figures of what was read back."""
+    """Per medium, from its ordered chunks: the verified figures of what was read back. _rows, the number of rows that have the medium,
+    is passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor(dict_data=shared_prefix(dictionary))
@@ -171,12 +172,12 @@ def rebuild(lists: DataFrame, dictionary: bytes) -> DataFrame:
                 if (whole := digest(stored))[:16] != medium:
                     raise ValueError(f"medium {medium.hex()} differs from its chunks")
                 samples = from_media(stored)
-                rows.append((medium, len(samples), digest(samples), zlib.crc32(samples[-16:]), len(stored), whole, feature(samples), len(parts)))
-            columns = [list(x) for x in zip(*rows, strict=True)] if rows else [[]] * 8
-            kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["medium", "payload_bytes", "payload", "tail_crc32", "media_bytes", "media", "feature", "n_chunks"])
+                rows.append((medium, len(samples), digest(samples), zlib.crc32(samples[-16:]), len(stored), whole, feature(samples), len(parts), batch.column("_rows")[i].as_py()))
+            columns = [list(x) for x in zip(*rows, strict=True)] if rows else [[]] * 9
+            kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["medium", "payload_bytes", "payload", "tail_crc32", "media_bytes", "media", "feature", "n_chunks", "_rows"])
 
-    return lists.mapInArrow(run, "medium binary, payload_bytes long, payload binary, tail_crc32 long, media_bytes long, media binary, feature string, n_chunks long")
+    return lists.mapInArrow(run, "medium binary, payload_bytes long, payload binary, tail_crc32 long, media_bytes long, media binary, feature string, n_chunks long, _rows long")
 
 
 def compression_dictionary(docs: DataFrame) -> bytes:
@@ -199,18 +200,17 @@ def hot_digests(media: DataFrame) -> dict[bytes, int]:
 def media_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_chunks."""
     listed = staged(media_lists(docs), "media-lists", compression="zstd")
-    media = listed.groupBy("medium").agg(F.first("digests").alias("digests"), F.count(F.lit(1)).alias("copies"))
+    media = listed.groupBy("medium").agg(F.first("digests").alias("digests"), F.count(F.lit(1)).alias("_rows"))
     media = staged(media, "media-distinct", compression="zstd")
     hot = hot_digests(media)
     dictionary = compression_dictionary(docs)
     store = chunk_rows(docs, hot, dictionary).groupBy("digest", "salt").agg(F.first("z").alias("z"))
 
     salts = F.broadcast(docs.sparkSession.createDataFrame([(k, n) for k, n in hot.items()], "digest binary, salts int"))
-    entries = media.select("medium", F.posexplode("digests").alias("pos", "digest")).join(salts, "digest", "left")
-    entries = entries.select("medium", "pos", "digest", (F.crc32("medium") % F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
-    parts = entries.join(store, ["digest", "salt"]).groupBy("medium").agg(F.collect_list(F.struct("pos", "z")).alias("parts"))
+    entries = media.select("medium", "_rows", F.posexplode("digests").alias("pos", "digest")).join(salts, "digest", "left")
+    entries = entries.select("medium", "_rows", "pos", "digest", (F.crc32("medium") % F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    parts = entries.join(store, ["digest", "salt"]).groupBy("medium").agg(F.first("_rows").alias("_rows"), F.collect_list(F.struct("pos", "z")).alias("parts"))
     read = staged(rebuild(parts, dictionary), "media-read", compression="zstd")
     # many rows may share one medium
-    read = staged(read.join(media.select("medium", F.col("copies").alias("_rows")), "medium"), "media-counted", compression="zstd")
     hexed = lambda c: F.lower(F.hex(c))
     return hot_join(listed.select("doc_id", "n_bytes", "medium"), read, "medium").select("doc_id", "n_bytes", "payload_bytes", hexed("payload").alias("payload_sha256"), "tail_crc32", "media_bytes", hexed("media").alias("media_sha256"), "feature", "n_chunks")
