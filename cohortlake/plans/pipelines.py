@@ -111,6 +111,17 @@ def toolbox_changes(panel: DataFrame, horizons: Sequence[int] = (1, 5)) -> DataF
     return long.groupBy("COHORT", "AGE", "SEX", "h").agg(F.count("arc").alias("n"), *[c.alias(k) for k, c in mo.arc(F.col("arc")).items()])
 
 
+def age_changes(panel: DataFrame, horizons: Sequence[int] = (1, 5), least: int = 3) -> DataFrame:
+    """h, age, n, sd, skew, kurt: population moments of arc changes over h calendar years of income over its mean at the age, for ages
+    with at least `least` changes."""
+    v = pn.normalised(panel, "y", ["age"], "v")
+    for h in horizons:
+        v = pn.calendar_shift(v, ["v"], h, f"_{h}").withColumn(f"g{h}", arc_change(F.col(f"v_{h}"), F.col("v")))
+    long = v.unpivot(["age"], [f"g{h}" for h in horizons], "_h", "g").filter("g is not null").withColumn("h", F.substring("_h", 2, 3).cast("long"))
+    stats = [F.count("g").alias("n"), *[c.alias(k) for k, c in mo.population(F.col("g")).items()]]
+    return long.groupBy("h", "age").agg(*stats).filter(F.col("n") >= least)
+
+
 def lifecycle_profile(panel: DataFrame, edges: Sequence[float], ages: Sequence[int], floor: float, least: int = 1) -> DataFrame:
     """le_group, age, n, mean: persons in groups of lifetime income by the rank's share of 100, and mean income at chosen ages."""
     life = pn.lifetime_income(panel, floor, least).filter("lt is not null")

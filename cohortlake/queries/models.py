@@ -143,6 +143,15 @@ def m15_six_panel(spark, d):
     return rounded(c.groupBy("age").agg(F.count("*").alias("n"), mo.population(F.col("g"))["sd"].alias("sd")))
 
 
+@query("""with m as (select age, avg(y) as m from g group by age), q as (select g.id, g.yr, g.age, g.y / m as v from g join m using (age)),
+c as (select hs.h, a.age, 2 * (b.v - a.v) / (b.v + a.v) as g from (values (1), (5)) hs(h), q a join q b on b.id = a.id where b.yr = a.yr + hs.h), mu as (select h, age, avg(g) as mu from c group by 1, 2)
+select h::bigint as h, age, count(*) as n, round(stddev_pop(g), 6) as sd, round(avg(power(g - mu, 3)) / power(avg(power(g - mu, 2)), 1.5), 4) + 0.0 as skew, round(avg(power(g - mu, 4)) / power(avg(power(g - mu, 2)), 2), 4) as kurt from c join mu using (h, age) group by 1, 2 having count(*) >= 3""", "aged")
+def m15_six_panel_shape(spark, d):
+    """Standard deviation, skewness and kurtosis of one- and five-year changes by age."""
+    out = rounded(pl.age_changes(aged(spark, d)), 6, skew=4, kurt=4)
+    return out.withColumn("skew", F.col("skew") + 0.0)  # no negative zero
+
+
 IMPULSE_EDGES = ((20, 60, 100), (30, 70, 100))
 
 
@@ -295,7 +304,17 @@ def m04_cohorts(spark, d):
     return rounded(cohorts.projected(cohorts.projected(start)).groupBy("age").agg(F.count("*").alias("n"), F.avg("income").alias("mean")))
 
 
-@query()
+def _toolbox_impulse_sql() -> str:
+    cuts = lambda v, k: ", ".join(f"quantile_cont({v}, {i / k}) as c{i}" for i in range(1, k))
+    group = lambda v, k: "1 + " + " + ".join(f"({v} > c{i})::int" for i in range(1, k))
+    arc = lambda a, b: f"200 * ({a} - {b}) / ({a} + {b})"
+    return f"""with f as (select id, age, avg(greatest(y, 50000.0)) over (partition by id order by yr rows between 4 preceding and current row) as re, {arc("y", "lag(y) over w")} as past, {arc("lead(y, 1) over w", "y")} as g1, {arc("lead(y, 2) over w", "y")} as g2 from g window w as (partition by id order by yr)),
+s as (select *, case when age <= 34 then 1 else 2 end as age_group from f where past is not null), c as (select age_group, {cuts("re", 4)} from s group by 1), b as (select s.*, {group("re", 4)} as inc from s join c using (age_group)),
+e as (select age_group, inc, {cuts("past", 5)} from b group by 1, 2), k as (select b.*, {group("past", 5)} as chg from b join e using (age_group, inc)), u as (select age_group, inc, chg, 1 as h, g1 as g from k union all select age_group, inc, chg, 2, g2 from k)
+select age_group::bigint as age_group, inc::bigint as inc, chg::bigint as chg, h::bigint as h, count(g) as n, round(avg(g), 4) as response from u group by 1, 2, 3, 4"""
+
+
+@query(_toolbox_impulse_sql(), "aged")
 def m13_toolbox_impulse(spark, d):
     return rounded(pl.toolbox_impulse(_toolbox_frame(spark, d), (1, 2), FLOOR, income_groups=4, shock_groups=5), 4)
 

@@ -333,7 +333,10 @@ def e10_polynomial_profile(spark, d):
     return rounded(rg.polynomial_by_group(a, ["one"], "x", "m", 4), 2)
 
 
-@query()
+@query("""with a as (select age as x, avg(y) as m from g group by age), c as (select count(*) as points, greatest(2, ceil(0.4 * count(*))) as near from a),
+d as (select p.x as x0, q.x - p.x as u, q.m, row_number() over (partition by p.x order by abs(q.x - p.x)) as r from a p, a q), h as (select x0, max(case when r = least(near, points) then abs(u) end) as reach from d, c group by x0),
+w as (select x0, u, m, power(greatest(1 - power(abs(u) / case when reach = 0 then 1.0 else reach end, 3), 0), 3) as w from d join h using (x0)), s as (select x0, sum(w) as sw, sum(w * u) as sx, sum(w * u * u) as sxx, sum(w * m) as sy, sum(w * u * m) as sxy from w group by x0)
+select 1 as one, x0::double as x, round(case when abs(sw * sxx - sx * sx) > 1e-12 then (sxx * sy - sx * sxy) / (sw * sxx - sx * sx) else sy / sw end, 3) as smooth from s""", "aged")
 def e11_loess(spark, d):
     a = aged(spark, d).groupBy("age").agg(F.avg("y").alias("m")).withColumn("one", F.lit(1)).withColumn("x", F.col("age").cast("double"))
     return rounded(rg.loess(a, ["one"], "x", "m"), 3)
