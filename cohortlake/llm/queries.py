@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortlake.llm import exact_dedup, language_id, license_scan, media_columns, mixing, piece_codec, secret_scan, simhash, token_files, toxicity
+from cohortlake.llm import exact_dedup, hard_negatives, language_id, license_scan, media_columns, mixing, piece_codec, secret_scan, simhash, token_files, toxicity
 from cohortlake.llm.common import documents
 
 
@@ -56,6 +57,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), label)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -63,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_license_scan, op2_toxicity, op3_language_id, op4_media_columns, op5_mix_sources, op6_exact_dedup, op7_piece_codec, op8_token_files, op9_secret_scan, op10_simhash, pipeline)
+    own = (op1_license_scan, op2_toxicity, op3_language_id, op4_media_columns, op5_mix_sources, op6_exact_dedup, op7_piece_codec, op8_token_files, op9_secret_scan, op10_simhash, op12_hard_negatives, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -90,6 +96,19 @@ with n as (select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOP
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc_id is not distinct from max(doc_id) over g as kept, text_sha256 from n window g as (partition by text_sha256)
 """
 
+HARD_NEGATIVES_SQL = """
+with v as (select row_number() over () as row_id, vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as q
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.row_id, a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, cast(list_inner_product(a.q, b.q) as bigint) as score
+  from v a join v b on a.row_id <> b.row_id where a.vec_id % 50 = 0),
+p as (select row_id, anchor_id, other_id as positive_id, score as positive_score, row_number() over (partition by row_id order by score desc, other_id nulls last) as place from s where same
+  qualify place <= 5),
+n as (select p.*, s.other_id as negative_id, s.score as negative_score, row_number() over (partition by p.row_id, p.place order by s.score desc, s.other_id nulls last) as rank
+  from p join s on p.row_id = s.row_id and not s.same and 50 * p.positive_score <= 100 * s.score and 100 * s.score <= 95 * p.positive_score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 3
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": MIX_SQL, "op6_exact_dedup": DEDUP_SQL}
+    return {"op5_mix_sources": MIX_SQL, "op6_exact_dedup": DEDUP_SQL, "op12_hard_negatives": HARD_NEGATIVES_SQL}
