@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import exact_dedup, hard_negatives, language_id, license_scan, media_columns, mixing, piece_codec, secret_scan, simhash, token_files, toxicity
+from cohortlake.llm import exact_dedup, hard_negatives, language_id, license_scan, media_columns, mixing, ngram_model, piece_codec, secret_scan, simhash, token_files, toxicity
 from cohortlake.llm.common import documents
 
 
@@ -57,6 +57,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_model.score_texts(documents(spark, sf_dir))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), label)
@@ -69,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_license_scan, op2_toxicity, op3_language_id, op4_media_columns, op5_mix_sources, op6_exact_dedup, op7_piece_codec, op8_token_files, op9_secret_scan, op10_simhash, op12_hard_negatives, pipeline)
+    own = (op1_license_scan, op2_toxicity, op3_language_id, op4_media_columns, op5_mix_sources, op6_exact_dedup, op7_piece_codec, op8_token_files, op9_secret_scan, op10_simhash, op11_lm_scoring, op12_hard_negatives, pipeline)
     return {f.__name__: f for f in own}
 
 
