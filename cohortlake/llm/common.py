@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -60,10 +61,15 @@ def remove_staged(spark: SparkSession, before: int = 0) -> None:
 
 @atexit.register
 def _remove_at_exit() -> None:
+    """Remove what still stands. A session that was stopped before leaves local folders only to remove; those of a shared store that
+    outlive their session are the cluster's to clear."""
     spark = SparkSession.getActiveSession()
     if STAGED and spark is not None and spark.sparkContext._jsc is not None:
         with contextlib.suppress(Exception):  # the JVM may be gone
             remove_staged(spark)
+    for path in STAGED:
+        if "://" not in path.removeprefix("file://"):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
 def hot_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:

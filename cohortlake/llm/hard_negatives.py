@@ -286,7 +286,9 @@ def meet(blocks: DataFrame, anchors: DataFrame, find, groups: int, row_groups: i
     numbers = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     left = blocks.select("*", F.pmod(F.xxhash64("block"), F.lit(row_groups)).cast("int").alias("rows_at"), numbers(groups, "anchors_at"))
     right = anchors.select("*", F.pmod(F.xxhash64("block", "place"), F.lit(groups)).cast("int").alias("anchors_at"), numbers(row_groups, "rows_at"))
-    return left.groupBy("rows_at", "anchors_at").cogroup(right.groupBy("rows_at", "anchors_at")).applyInArrow(run, FOUND_SCHEMA)
+    # work is much larger than bytes here, so tasks are counted and not merged by size
+    keys, tasks = ("rows_at", "anchors_at"), max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups * row_groups // 4)
+    return left.repartition(tasks, *keys).groupBy(*keys).cogroup(right.repartition(tasks, *keys).groupBy(*keys)).applyInArrow(run, FOUND_SCHEMA)
 
 
 def first_of(found: DataFrame, k: int) -> DataFrame:
