@@ -7,8 +7,10 @@ Markov spans: runs of key characters, less what base spans cover of them; what i
 characters is a span if its log-likelihood ratio per character transition, between a model of random strings and one of ordinary
 identifiers, exceeds a threshold. The ratio of every span is returned beside it (of an assignment, that of the assigned value). Both models are transition
 counts over character classes with add-one smoothing, trained by a group-by over labelled samples: random strings are digests of
-counters in several alphabets; identifiers are long words of a bounded sample of the documents that no base pattern touches,
-plain and joined, and runs of one character. The trained table has a fixed number of cells and enters the plan as a literal array.
+counters in several alphabets; identifiers are words of a bounded sample of the documents that no base pattern touches, plain, in
+capitals, and joined as names, constants, paths and slugs are, and beside them rules, table borders, alphabets and numbers in order.
+Four fifths of the samples train the tables, the last fifth sets the threshold between its identifiers and its random strings.
+The trained table has a fixed number of cells and enters the plan as a literal array.
 
 Defined cases: null or empty text has no spans, counts 0 and the digest of the empty list; a table without ordinary words trains
 identifiers from the counters' ordinals alone; repeated rows give repeated results. Only doc_id and text are read.
@@ -17,8 +19,9 @@ identifiers from the counters' ordinals alone; repeated rows give repeated resul
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlake.llm.common import staged
@@ -37,7 +40,13 @@ N = len(CLASSES) + 1
 SAMPLE_DOCUMENTS = 300
 SAMPLE_WORDS = 4000
 RANDOM_STRINGS = 1500
-THRESHOLD = 0.55
+#: Least threshold of the ratio, and the shares of held-out identifiers and random strings that calibration leaves aside.
+THRESHOLD = 0.6
+FALSE_SHARE = 0.001
+MISSED_SHARE = 0.01
+#: Strings in an order that people write; each is drawn out and turned as far as its length.
+ORDERED = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "qwertyuiopasdfghjklzxcvbnm", "zyxwvutsrqponmlkjihgfedcba", "9876543210")
+BORDERS = ("+-", "+--", "+---", "+-----", "+=====", "-=", "=-", "_-", "/-", "+=", "-_", "=_", "//--", "--==", "-+-", "/=", "__--", "0/", "+-+")
 
 
 #: Elements of an array that a running total takes at once.
@@ -59,12 +68,15 @@ def added(a: Column, b: Column) -> Column:
     return a + b
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, m>>: start, end (code points) and text of the leftmost non-overlapping matches."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def match_lengths(text: Column, pattern: str, found: Column) -> Column:
+    """The length of each match with the text before it, from the parts between matches; texts without a match are not taken apart."""
     lengths = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
+    return F.when(F.size(found) > 0, lengths).otherwise(F.array().cast("array<int>"))
+
+
+def matches(lengths: Column, found: Column) -> Column:
+    """array<struct<s, e, m>>: start, end (code points) and text of the leftmost non-overlapping matches."""
     placed = F.zip_with(running(lengths, added), found, lambda e, m: F.struct((e - F.length(m)).alias("s"), e.alias("e"), m.alias("m")))
-    # texts without a match, nearly all of them, are spared the walk
     return F.when(F.size(found) > 0, placed).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
 
 
@@ -85,9 +97,9 @@ def codes(token: Column) -> Column:
 
 
 def transitions(token: Column) -> Column:
-    """The cell of each pair of neighbouring characters."""
-    c = codes(token)
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 1, F.lit(1))), lambda i: F.coalesce(F.try_element_at(c, i) * N + F.try_element_at(c, i + 1), F.lit(0)))
+    """The cell of each pair of neighbouring characters: the classes and the same from the second on, side by side."""
+    pairs = F.zip_with(codes(F.left(token, F.length(token) - 1)), codes(F.substring(token, 2, 1 << 30)), lambda a, b: a * N + b)
+    return F.when(F.length(token) > 1, pairs).otherwise(F.array(F.lit(0)))
 
 
 def training_samples(docs: DataFrame) -> DataFrame:
@@ -103,11 +115,41 @@ def training_samples(docs: DataFrame) -> DataFrame:
     some = staged(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(few, "doc_id").select("text"), "secret-sample")
     some = some.filter(~F.col("text").rlike(f"{ASSIGN}|{ACCESS}|{HEX}"))
     words = some.select(word.alias("w")).distinct().orderBy(F.xxhash64("w"), "w").limit(SAMPLE_WORDS)
-    ordinary = words.select(F.explode(F.array("w", F.concat_ws("_", "w", F.lower("w")), F.concat("w", F.initcap("w")), F.concat_ws("-", F.lower("w"), "w"))).alias("token"), F.lit(0).alias("label"))
-    counted = spark.range(200).select(F.concat_ws("_", F.lit("item"), F.col("id").cast("string")).alias("token"), F.lit(0).alias("label"))
-    # rules drawn with one character are ordinary
-    drawn = spark.range(len(CLASSES)).select(F.repeat(F.substring(F.lit(CLASSES), F.col("id").cast("int") + 1, F.lit(1)), F.lit(30)).alias("token"), F.lit(0).alias("label"))
-    return random.unionByName(ordinary).unionByName(counted).unionByName(drawn)
+    # neighbours in the order of the hash make the words of a joined name
+    named_words = words.withColumn("at", F.row_number().over(Window.orderBy(F.xxhash64("w"), "w")))
+    each = [F.lead("w", k).over(Window.orderBy("at")) for k in range(1, 5)]
+    five = named_words.select(F.filter(F.array(F.col("w"), *each), lambda x: x.isNotNull()).alias("five"))
+    low, high, title = (F.transform("five", f) for f in (F.lower, F.upper, F.initcap))
+    some_of = lambda a, n: F.slice(a, 1, F.lit(n))
+    forms = [F.col("five")[0], F.upper(F.col("five")[0]), *[F.array_join(some_of(a, n), sep) for n in (3, 5) for a, sep in ((low, "_"), (high, "_"), (title, ""), (low, "-"), (low, "/"), (title, "/"), (high, "-"), (low, ""))]]
+    ordinary = five.select(F.explode(F.array(*forms)).alias("token"), F.lit(0).alias("label"))
+    # numbered names, dates, times and versions
+    day = lambda step, form: F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), (F.col("id") * step).cast("int")), form)
+    number = F.col("id").cast("string")
+    numbered = [F.concat_ws("_", F.lit("item"), number), F.concat(day(97, "yyyy-MM-dd"), F.lit("_"), day(131, "yyyy-MM-dd")), F.concat(day(89, "yyyyMMdd"), F.lit("_"), F.lpad((F.col("id") * 311 % 240000).cast("string"), 6, "0")), F.concat(F.lit("backup-"), day(101, "yyyy-MM-dd"), F.lit("-v"), number), F.concat(day(61, "yyyy/MM/dd"), F.lit("/"), number)]
+    counted = spark.range(200).select(F.explode(F.array(*numbered)).alias("token"), F.lit(0).alias("label"))
+    turned = spark.createDataFrame([(x[k:] + x[:k],) for x in ORDERED for k in range(len(x))], "x string").select(F.explode(F.array(F.repeat("x", 3), F.repeat("x", 6))).alias("token"), F.lit(0).alias("label"))
+    # rules of one character, and borders, weigh as much as they are long
+    drawn = spark.range(len(CLASSES)).select(F.repeat(F.substring(F.lit(CLASSES), F.col("id").cast("int") + 1, F.lit(1)), F.lit(500)).alias("token"), F.lit(0).alias("label"))
+    borders = spark.createDataFrame([(x,) for x in BORDERS], "x string").select(F.repeat("x", 100).alias("token"), F.lit(0).alias("label"))
+    return reduce(DataFrame.unionByName, [random, ordinary, counted, turned, drawn, borders])
+
+
+def calibrated(samples: DataFrame, table: list[float]) -> float:
+    """The threshold half-way between what all but FALSE_SHARE of the ordinary samples of LEAST characters and more stay below and
+    what all but MISSED_SHARE of the random ones exceed, and not below THRESHOLD."""
+    r, label = likelihood_ratio(F.col("token"), table), F.col("label")
+    ordinary, random = F.percentile(F.when(label == 0, r), 1 - FALSE_SHARE), F.percentile(F.when(label == 1, r), MISSED_SHARE)
+    low, high = samples.filter(F.length("token") >= LEAST).agg(ordinary, random).first()
+    return max(THRESHOLD, (float(low or 0.0) + float(high or 0.0)) / 2)
+
+
+def trained(docs: DataFrame) -> tuple[list[float], float]:
+    """The table of ratios and the threshold."""
+    samples = staged(training_samples(docs).filter("length(token) > 1"), "secret-training")
+    held = F.pmod(F.xxhash64("token"), F.lit(5)) == 0
+    table = ratio_table(samples.filter(~held))
+    return table, calibrated(samples.filter(held), table)
 
 
 def ratio_table(samples: DataFrame) -> list[float]:
@@ -136,13 +178,19 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(kinds, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, table: list[float] | None = None, *, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, ratios."""
-    table = table or ratio_table(training_samples(docs))
+def scan_secrets(docs: DataFrame, table: list[float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, ratios. Without a table, one and its threshold are trained on docs."""
+    if table is None:
+        table, threshold = trained(docs)
     assigned = lambda m: F.regexp_extract(m, ASSIGN, 2)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", F.filter(matches(F.col("text"), ASSIGN), lambda x: F.length(assigned(x["m"])) >= 8).alias("assign"), matches(F.col("text"), ACCESS).alias("access"), matches(F.col("text"), HEX).alias("hex"), matches(F.col("text"), CANDIDATE).alias("runs"))
+    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "runs": CANDIDATE}
+    rows = rows.select("doc_id", "text", *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(f"_{k}") for k, p in patterns.items()])
+    # each step is a projection of its own, since what an expression names twice is worked out twice
+    rows = rows.select("doc_id", *[f"_{k}" for k in patterns], *[match_lengths(F.col("text"), p, F.col(f"_{k}")).alias(f"_{k}_n") for k, p in patterns.items()])
+    rows = rows.select("doc_id", *[matches(F.col(f"_{k}_n"), F.col(f"_{k}")).alias(k) for k in patterns])
+    rows = rows.withColumn("assign", F.filter("assign", lambda x: F.length(assigned(x["m"])) >= 8))
     base = F.concat(named("assign", F.col("assign"), table, assigned), named("access", F.col("access"), table), named("hex", F.col("hex"), table))
     size = lambda c: F.size(c).cast("bigint")
     rows = rows.select("doc_id", size("assign").alias("n_assign"), size("access").alias("n_access"), size("hex").alias("n_hex"), "runs", F.array_sort(base).alias("base"))

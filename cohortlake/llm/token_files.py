@@ -5,8 +5,10 @@ Spark's Parquet writer: one list column of ids with dictionary pages, the narrow
 groups and pages of bounded size, and page indexes, so that a reader of few documents or of the metadata alone skips the rest.
 The writer's commit protocol makes lost tasks harmless. Document starts are distributed prefix sums over the files' shards.
 
-Defined cases: null or empty text is the end id alone; repeated ids are kept, in an order fixed by their tokens; null ids come
-first; an empty table gives no rows. Only doc_id and text are read.
+Each row carries its place in its shard, written beside its ids, so that readers follow the order of the files also where ids repeat.
+
+Defined cases: null or empty text is the end id alone; repeated ids are kept, in an order fixed by their texts' checksums; null ids
+come first; an empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ CACHE = 250_000
 KEPT_BYTES = 48
 #: Bytes of text that are taken apart at once.
 BLOCK = 4 << 20
-FILE_SCHEMA = "doc_id long, shard int, n_tokens int, ids array<int>"
+FILE_SCHEMA = "doc_id long, shard int, place long, n_tokens int, ids array<int>"
 
 #: Kinds of bytes: blanks part words, runs of letters and of marks are pieces, every digit is one, and a word with any other byte is
 #: one piece as a whole.
@@ -170,18 +172,20 @@ def encoder(path: str) -> WordEncoder:
 
 
 def encode_documents(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens, ids of each row, in the partitions and order of docs."""
+    """doc_id, place (in the partition, from 0), n_tokens, ids of each row, in the partitions and order of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = encoder(tokenizer_file), np.array([end_id], "<u4").tobytes()
+        own, end, place = encoder(tokenizer_file), np.array([end_id], "<u4").tobytes(), 0
         for batch in batches:
             texts = utf8(batch, "text")
             for a, b in blocks([len(x) for x in texts], BLOCK):
                 values, bounds = own.encode_block(texts[a:b], end)
                 ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(bounds).astype(np.int32)), ids], names=["doc_id", "n_tokens", "ids"])
+                places = pa.array(np.arange(place, place + b - a))
+                place += b - a
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), places, pa.array(np.diff(bounds).astype(np.int32)), ids], names=["doc_id", "place", "n_tokens", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens int, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, place long, n_tokens int, ids array<int>")
 
 
 def range_of(x: Column, cuts: list[int]) -> Column:
@@ -204,8 +208,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, *, end_id
     # cuts from the ids alone: n - 1 numbers, where a range partitioner would read the texts once more
     cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 10 * n)).alias("cuts")).first()["cuts"] if n > 1 else None
     ordered = rows.repartitionById(n, range_of(F.col("doc_id"), sorted(set(cuts or [])))).sortWithinPartitions("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    encoded = encode_documents(ordered, tokenizer_file, end_id).select("doc_id", F.spark_partition_id().alias("shard"), "n_tokens", "ids")
-    options = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#n_tokens": "false", "compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
+    encoded = encode_documents(ordered, tokenizer_file, end_id).select("doc_id", F.spark_partition_id().alias("shard"), "place", "n_tokens", "ids")
+    options = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#place": "false", "parquet.enable.dictionary#n_tokens": "false", "compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
     encoded.write.options(**{k: str(v) for k, v in options.items()}).parquet(path)
 
 
@@ -218,12 +222,12 @@ def document_starts(files: DataFrame) -> DataFrame:
     few shards, and running sums within each."""
     totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     before = totals.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("before"))
-    within = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("doc_id", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    within = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return files.withColumn("within", within).join(before, "shard").withColumn("start", (F.col("before") + F.col("within") - F.col("n_tokens")).cast("bigint"))
 
 
 def stored_documents(files: DataFrame) -> DataFrame:
-    """doc_id, shard, place (order of rows with equal ids), n_tokens, ids_crc32, from the files."""
+    """doc_id, shard, place, n_tokens, ids_crc32, from the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,9 +235,9 @@ def stored_documents(files: DataFrame) -> DataFrame:
             values, bounds = ids.values.to_numpy(), ids.offsets.to_numpy()
             values = np.ascontiguousarray(values, "<i4")  # the same bytes as unsigned ids
             found = [zlib.crc32(values[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("shard"), pa.array(np.diff(bounds), pa.int64()), pa.array(found, pa.int64())], names=["doc_id", "shard", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ("doc_id", "shard", "place")), pa.array(np.diff(bounds), pa.int64()), pa.array(found, pa.int64())], names=["doc_id", "shard", "place", "n_tokens", "ids_crc32"])
 
-    return files.select("doc_id", "shard", "ids").mapInArrow(run, "doc_id long, shard int, n_tokens long, ids_crc32 long").withColumn("place", F.col("ids_crc32"))
+    return files.select("doc_id", "shard", "place", "ids").mapInArrow(run, "doc_id long, shard int, place long, n_tokens long, ids_crc32 long")
 
 
 def token_file_digests(docs: DataFrame, tokenizer_file: str, *, end_id: int = 2, **options) -> DataFrame:

@@ -491,6 +491,27 @@ def test_token_files(spark, odd, empty):
     assert token_files.token_file_digests(empty, path).count() == 0
 
 
+def test_starts_follow_the_files_for_repeated_ids(spark, tmp_path):
+    path = tokenizer_file("word_bpe_49k.json")
+    texts = [(5, "one"), (5, "four words of text"), (5, None), (5, "two words"), (5, "and a few more words here"), (None, "x y"), (None, "z"), (1, "first"), (9, "last one"), (5, "one")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    token_files.write_token_files(docs, str(tmp_path / "t"), path, end_id=2, shards=3)
+    files = token_files.read_token_files(spark, str(tmp_path / "t"))
+    # the stream as the files hold it: shards in order, rows as they lie
+    stream = [i for f in sorted((tmp_path / "t").glob("part-*"), key=lambda f: f.name) for ids in pq_rows(f) for i in ids]
+    rows = token_files.document_starts(token_files.stored_documents(files)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        own = np.array(stream[r.start : r.start + r.n_tokens], "<u4")
+        assert zlib.crc32(own.tobytes()) == r.ids_crc32 and own[-1] == 2
+
+
+def pq_rows(file):
+    import pyarrow.parquet as pq
+
+    return pq.read_table(file).column("ids").to_pylist()
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 9, 10, 50])
 def test_range_of(spark, n):
     cuts = sorted({int(x) for x in np.random.default_rng(n).integers(0, 200, n)})
@@ -576,10 +597,33 @@ def test_secret_scan(spark, odd, empty):
 
 def test_markov_ratio_separates(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    table = secret_scan.ratio_table(secret_scan.training_samples(docs))
+    table, threshold = secret_scan.trained(docs)
     tokens = [("Zx9Kq2Lm8Vb4Nt7Rp1Ws5Yd3Hf", 1), ("aB3dE5gH7jK9mN1pQ2rS4tU6vW", 1), ("theInternationalisation", 0), ("the_thing_and_the_others", 0)]
     scored = spark.createDataFrame(tokens, "t string, y int").select("t", "y", secret_scan.likelihood_ratio(F.col("t"), table).alias("r")).collect()
-    assert all((r.r > secret_scan.THRESHOLD) == bool(r.y) for r in scored), scored
+    assert all((r.r > threshold) == bool(r.y) for r in scored), scored
+
+
+def test_ordinary_text_is_no_secret_and_keys_are(spark):
+    """False spans on rules, tables, constants, names, paths, dates and alphabets, and recall on random keys of eight forms."""
+    import random
+    import string
+
+    table, threshold = secret_scan.trained(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rng = random.Random(11)
+    names = ["MAXIMUM_ALLOWED_CONNECTIONS_PER_HOST", "getInternationalizationPropertiesFactory", "src/main/java/org/example/project/ServiceManager", "very-long-css-class-name-for-button", "DEFAULT_CONNECTION_TIMEOUT_MILLISECONDS", "test_that_the_parser_returns_nothing_for_empty_input", "AbstractSingletonProxyFactoryBean", "HTTP_STATUS_INTERNAL_SERVER_ERROR", "internationalization_and_localization", "content-security-policy-report-only"]
+    rules = [c * n for c in "-=_+/" for n in (20, 24, 40, 80)] + ["+-----" * 6 + "+", "+--------+-------------+----+", "=-" * 15, "---/" * 8]
+    orders = [string.ascii_uppercase, string.ascii_lowercase, string.ascii_letters + string.digits, "0123456789" * 3, "2024-01-01_2024-12-31", "backup-2023-11-05-v12"]
+    plain = names + rules + orders
+    alphabets = [string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits, string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits]
+    keys = ["".join(rng.choice(a) for _ in range(n)) for a in alphabets for n in (20, 32) for _ in range(100)]
+    df = spark.createDataFrame([(t, 0) for t in plain] + [(t, 1) for t in keys], "t string, y int")
+    scored = df.select("t", "y", (secret_scan.likelihood_ratio(F.col("t"), table) > threshold).alias("hit")).collect()
+    assert [r.t for r in scored if not r.y and r.hit] == []
+    assert sum(r.hit for r in scored if r.y) >= 0.98 * len(keys)
+    prose = spark.createDataFrame([(k, "\n".join(["A table of things", x, "and more prose below, with", x, "at the end."])) for k, x in enumerate(plain)], "doc_id long, text string")
+    assert secret_scan.scan_secrets(prose, table, threshold).filter("spans <> ''").count() == 0
+    code = spark.createDataFrame([(1, "def scan_secrets(docs, table):\n    return threshold_of_the_ratio_between_models\n" * 50)], "doc_id long, text string")
+    assert secret_scan.scan_secrets(code, table, threshold).first().spans == ""
 
 
 def slow_ratio(token, table):
