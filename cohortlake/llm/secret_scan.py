@@ -8,7 +8,7 @@ characters is a span if its log-likelihood ratio per character transition, betwe
 identifiers, exceeds a threshold. The ratio of every span is returned beside it (of an assignment, that of the assigned value). Both models are transition
 counts over character classes with add-one smoothing, trained by a group-by over labelled samples: random strings are digests of
 counters in several alphabets; identifiers are words of a bounded sample of the documents that no base pattern touches, plain, in
-capitals, and joined as names, constants, paths and slugs are, and beside them rules, table borders, alphabets and numbers in order.
+capitals, and joined as names, constants, paths and slugs are, with a list of words that programs use, and beside them rules, table borders, alphabets and numbers in order.
 Four fifths of the samples train the tables, the last fifth sets the threshold between its identifiers and its random strings.
 The trained table has a fixed number of cells and enters the plan as a literal array.
 
@@ -46,6 +46,24 @@ FALSE_SHARE = 0.001
 MISSED_SHARE = 0.01
 #: Strings in an order that people write; each is drawn out and turned as far as its length.
 ORDERED = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "qwertyuiopasdfghjklzxcvbnm", "zyxwvutsrqponmlkjihgfedcba", "9876543210")
+#: Words that programs are written with, whatever language the documents are in; each counts CODE_WEIGHT times.
+CODE_WORDS = (
+    "access account action active adapter address after allow analysis array async available backend backup balance batch before binary block boolean border browser buffer build button bytes cache callback "
+    "category change channel character check child class client cluster code collection column command common complete component config connection constant container content context control convert copy "
+    "count create current custom database date debug decimal default delete depth device dialog directory disk display document domain download driver dynamic edit element email empty enable encoding end "
+    "engine entity error event example exception execute expected export expression extension external factory failure feature field file filter final find first fixed flag float folder font format forward "
+    "frame function future gateway generic global graph group handler hash header height helper hidden host icon identifier image implementation import index info initial inner input insert instance integer "
+    "interface internal invalid item iterator java job json key kernel keyword label language last layer layout left length level library limit line link list listener local location lock logger lookup loop "
+    "major manager mapping mask master match matrix maximum member memory menu message metadata method minimum mode model module mouse multi name native network next node normal null number object offset "
+    "open operation option order output override owner package padding page parameter parent parse partition path pattern payload permission pixel platform player plugin point pool port position prefix "
+    "previous primary print priority private process profile program project property protocol provider public python quality query queue quick random range raw read record recovery redirect reference "
+    "register release remote remove render replace report repository request require reset resource response result retry return right role root route row runtime sample scale schedule schema scope screen "
+    "script search section segment select send sequence serializer server service session setting shared simple single size socket sort source space split stack standard start state static status step "
+    "storage stream string struct style submit success suffix support switch symbol sync syntax system table target task template temporary test text thread threshold timeout title toggle tool top total "
+    "trace track transaction transform tree trigger type undefined unique unit update upload url user utility valid value variable vector verbose version view virtual visible wait warning weight widget "
+    "width window worker wrapper write xml yaml year zone zoom"
+)
+CODE_WEIGHT = 5
 BORDERS = ("+-", "+--", "+---", "+-----", "+=====", "-=", "=-", "_-", "/-", "+=", "-_", "=_", "//--", "--==", "-+-", "/=", "__--", "0/", "+-+")
 
 
@@ -115,8 +133,10 @@ def training_samples(docs: DataFrame) -> DataFrame:
     some = staged(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(few, "doc_id").select("text"), "secret-sample")
     some = some.filter(~F.col("text").rlike(f"{ASSIGN}|{ACCESS}|{HEX}"))
     words = some.select(word.alias("w")).distinct().orderBy(F.xxhash64("w"), "w").limit(SAMPLE_WORDS)
+    code = spark.createDataFrame([(CODE_WORDS,)], "x string").select(F.explode(F.split("x", " ")).alias("w")).select("w", F.explode(F.sequence(F.lit(1), F.lit(CODE_WEIGHT))).alias("turn"))
+    words = words.select("w", F.lit(0).alias("turn")).unionByName(code)
     # neighbours in the order of the hash make the words of a joined name
-    named_words = words.withColumn("at", F.row_number().over(Window.orderBy(F.xxhash64("w"), "w")))
+    named_words = words.withColumn("at", F.row_number().over(Window.orderBy(F.xxhash64("w", "turn"), "w")))
     each = [F.lead("w", k).over(Window.orderBy("at")) for k in range(1, 5)]
     five = named_words.select(F.filter(F.array(F.col("w"), *each), lambda x: x.isNotNull()).alias("five"))
     low, high, title = (F.transform("five", f) for f in (F.lower, F.upper, F.initcap))
@@ -130,7 +150,7 @@ def training_samples(docs: DataFrame) -> DataFrame:
     counted = spark.range(200).select(F.explode(F.array(*numbered)).alias("token"), F.lit(0).alias("label"))
     turned = spark.createDataFrame([(x[k:] + x[:k],) for x in ORDERED for k in range(len(x))], "x string").select(F.explode(F.array(F.repeat("x", 3), F.repeat("x", 6))).alias("token"), F.lit(0).alias("label"))
     # rules of one character, and borders, weigh as much as they are long
-    drawn = spark.range(len(CLASSES)).select(F.repeat(F.substring(F.lit(CLASSES), F.col("id").cast("int") + 1, F.lit(1)), F.lit(500)).alias("token"), F.lit(0).alias("label"))
+    drawn = spark.range(len(CLASSES)).select(F.repeat(F.substring(F.lit(CLASSES), F.col("id").cast("int") + 1, F.lit(1)), F.lit(2000)).alias("token"), F.lit(0).alias("label"))
     borders = spark.createDataFrame([(x,) for x in BORDERS], "x string").select(F.repeat("x", 100).alias("token"), F.lit(0).alias("label"))
     return reduce(DataFrame.unionByName, [random, ordinary, counted, turned, drawn, borders])
 
