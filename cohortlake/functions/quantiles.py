@@ -1,4 +1,4 @@
-"""Order statistics under five percentile rules, over ranks that no single task has to produce for a whole large group.
+"""Order statistics under five percentile rules, by selection: no group is sorted by row, and none has to fit one task.
 
 With k0 = n p for a probability p, and sorted values v_1..v_n:
 averaged   v_k with k = ceil(k0), or the mean of v_k0 and v_(k0+1) where k0 is whole
@@ -6,46 +6,70 @@ floor      v_min(n, floor(k0) + 1)
 linear     between neighbours at 1 + (n - 1) p
 inverted   v_max(1, ceil(k0))
 exclusive  between neighbours at (n + 1) p, clipped to the ends
+
+Groups are compared null-safely: rows with null keys form groups like others. Null values have no rank; a group without values has null
+percentiles. Rows are staged once, narrow, and the largest group is counted. Groups of at most `most` values become one sorted array
+each. Larger ones are cut into buckets by approximate quantiles (a bounded summary); exact bucket counts, added up in the map tasks, say
+which bucket holds each wanted rank, and only distinct values of those buckets are gathered, so a mass point is one value with a count.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlake.session import staged
+
 RULES = ("averaged", "floor", "linear", "inverted", "exclusive")
 #: Percentiles of the robust statistics.
 FIFTEEN = (1, 2.5, 5, 10, 12.5, 25, 37.5, 50, 62.5, 75, 87.5, 90, 95, 97.5, 99)
 NINE = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 
+#: Rows of a group that one task sorts, or one array holds.
+GROUP_ROWS = 1_000_000
+#: Wanted number of values in a bucket of a larger group.
+BUCKET_ROWS = 100_000
+BUCKETS = 4096
+
+
+def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """left joined with right on equal keys, where null equals null; the keys appear once."""
+    if not keys:
+        # an aggregate without keys is one row
+        return left.join(F.broadcast(right), how="left" if how == "left" else "inner")
+    renamed = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys])
+    return left.join(renamed, on, how).drop(*[f"_same_{k}" for k in keys])
 
-#: Value ranges that each group is ranked in, so that no group of any size is sorted in one task.
-PARTS = 8
 
+def largest(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Rows of the largest group, and of all."""
+    found = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows"), F.sum("_rows")).first()
+    return found[0] or 0, found[1] or 0
 
-def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], parts: int | None = None) -> DataFrame:
-    """df with _k (from 1) and _n: the place in the group by `order` and the group's size.
 
-    parts is PARTS unless given; 1 sorts each group in one task. Otherwise values of the first order column are cut into so many ranges per group by approximate quantiles (a bounded
-    table); each range is ranked alone and offset by the sizes of those before it, so a group of any size is ranked by many
-    tasks. Equal first values share a range, so the ranks are exact whatever the cuts.
-    """
-    keys, parts = list(keys), PARTS if parts is None else parts
-    if parts <= 1:
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], most: int = GROUP_ROWS) -> DataFrame:
+    """df with _k (from 1) and _n: the place in the group by `order` (nulls first, as Spark sorts them) and the group's size.
+
+    Where no group has more than `most` rows each is ranked by one task. Otherwise rows are dealt by ranges of keys and order, ties
+    by where they were read, and sorted in their range; places are counted on from the sizes of each group's earlier ranges."""
+    keys = list(keys)
+    rows = staged(df, "ranked")
+    top, total = largest(rows, keys)
+    if top <= most:
         by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-        return df.withColumn("_k", F.row_number().over(by.orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(by))
-    first = order[0] if isinstance(order[0], Column) else F.col(order[0])
-    keyed = df.withColumn("_ranked_v", first.cast("double"))
-    probabilities = [i / parts for i in range(1, parts)]
-    cuts = keyed.groupBy(*keys).agg(F.percentile_approx("_ranked_v", probabilities, 1000).alias("_ranked_cuts")) if keys else keyed.agg(F.percentile_approx("_ranked_v", probabilities, 1000).alias("_ranked_cuts"))
-    placed = (keyed.join(cuts, keys) if keys else keyed.crossJoin(F.broadcast(cuts))).withColumn("_ranked_part", F.size(F.filter("_ranked_cuts", lambda c: F.col("_ranked_v") > c))).drop("_ranked_cuts")
-    sizes = placed.groupBy(*keys, "_ranked_part").agg(F.count(F.lit(1)).alias("_ranked_size"))
+        return rows.withColumn("_k", F.row_number().over(by.orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(by))
+    place = [*keys, *order, "_row"]
+    sorted_ = rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(max(2, -(-total // most)), *place).sortWithinPartitions(*place)
+    # within a task the id counts rows from 0 in its low 33 bits
+    numbered = staged(sorted_.withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).drop("_row"), "ranked")
+    ranges = numbered.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_first"))
     over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    offsets = sizes.select(*keys, "_ranked_part", (F.sum("_ranked_size").over(over.orderBy("_ranked_part")) - F.col("_ranked_size")).alias("_ranked_before"), F.sum("_ranked_size").over(over).alias("_n"))
-    local = placed.withColumn("_ranked_local", F.row_number().over(Window.partitionBy(*keys, "_ranked_part").orderBy(*order)))
-    return local.join(offsets, [*keys, "_ranked_part"]).withColumn("_k", F.col("_ranked_local") + F.col("_ranked_before")).drop("_ranked_v", "_ranked_part", "_ranked_local", "_ranked_before")
+    before = ranges.select(*keys, "_range", (F.sum("_size").over(over.orderBy("_range")) - F.col("_size") - F.col("_first")).alias("_shift"), F.sum("_size").over(over).alias("_n"))
+    return null_safe(numbered, before, [*keys, "_range"]).withColumn("_k", F.col("_at") + F.col("_shift") + 1).drop("_at", "_shift", "_range")
 
 
 def at(rank: Column, value: Column) -> Column:
@@ -53,78 +77,182 @@ def at(rank: Column, value: Column) -> Column:
     return F.max(F.when(F.col("_k") == rank, value))
 
 
-def percentile(value: Column, p: float, rule: str) -> Column:
-    """An aggregate over ranked rows; p in percent."""
-    n, k = F.col("_n"), F.col("_k")
-    # n p / 100 is cut to nine digits, so that a whole product stays whole
-    place = F.round(n * F.lit(float(p)) / 100, 9)
+def share_of(n: Column, p: float) -> Column:
+    """n p / 100, cut to nine digits so that a whole product stays whole."""
+    return F.round(n * F.lit(float(p)) / 100, 9)
+
+
+def weighted_ranks(n: Column, p: float, rule: str) -> list[tuple[Column, Column]]:
+    """One or two (rank, weight) whose weighted values are the percentile."""
+    one, place = F.lit(1.0), share_of(n, p)
     if rule == "averaged":
         low = F.greatest(F.ceil(place), F.lit(1))
-        high = F.when(place == F.floor(place), F.least(F.floor(place) + 1, n)).otherwise(low)
-        return F.avg(F.when((k == low) | (k == F.greatest(high, F.lit(1))), value))
+        high = F.greatest(F.when(place == F.floor(place), F.least(F.floor(place) + 1, n)).otherwise(low), F.lit(1))
+        return [(low, one / 2), (high, one / 2)]
     if rule == "floor":
-        return F.max(F.when(k == F.least(n, F.floor(place) + 1), value))
+        return [(F.least(n, F.floor(place) + 1), one)]
     if rule == "inverted":
-        return F.max(F.when(k == F.greatest(F.ceil(place), F.lit(1)), value))
-    h = F.round((n - 1) * F.lit(float(p)) / 100, 9) + 1 if rule == "linear" else F.least(F.greatest(F.round((n + 1) * F.lit(float(p)) / 100, 9), F.lit(1.0)), n.cast("double"))
-    low, part = F.floor(h), h - F.floor(h)
-    return F.sum(F.when(k == low, value * (1 - part)).when(k == low + 1, value * part))
+        return [(F.greatest(F.ceil(place), F.lit(1)), one)]
+    h = F.round((n - 1) * F.lit(float(p)) / 100, 9) + 1 if rule == "linear" else F.least(F.greatest(F.round((n + 1) * F.lit(float(p)) / 100, 9), one), n.cast("double"))
+    return [(F.floor(h), 1 - (h - F.floor(h))), (F.least(F.floor(h) + 1, n), h - F.floor(h))]
+
+
+def percentile(value: Column, p: float, rule: str) -> Column:
+    """An aggregate over ranked rows; p in percent."""
+    k = F.col("_k")
+    parts = weighted_ranks(F.col("_n"), p, rule)
+    if rule == "averaged":
+        return F.avg(F.when((k == parts[0][0]) | (k == parts[1][0]), value))
+    if len(parts) == 1:
+        return F.max(F.when(k == parts[0][0], value))
+    (low, a), (_, b) = parts
+    return F.sum(F.when(k == low, value * a).when((k == low + 1) & (b > 0), value * b))
 
 
 def name_of(p: float) -> str:
     return "p" + f"{p:g}".replace(".", "_")
 
 
-def group_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float] = FIFTEEN, rule: str = "averaged", parts: int | None = None) -> DataFrame:
-    """Percentile columns by group from one sort of each group."""
-    rows = ranked(df.filter(F.col(value).isNotNull()), keys, [value], parts)
-    columns = [percentile(F.col(value), p, rule).alias(name_of(p)) for p in probs]
-    return rows.groupBy(*keys).agg(*columns) if keys else rows.agg(*columns)
+Ranks = Callable[[Column], list[Column]]
+
+
+def selected(df: DataFrame, keys: Sequence[str], value: str, ranks: Ranks, most: int = GROUP_ROWS, extra: Sequence[Column] = ()) -> DataFrame:
+    """keys, _n (values of the group) and _at: the values at the ranks (functions of the group's size, from 1; null beyond the ends),
+    in their order. extra: further aggregates of the value, from the same pass."""
+    keys = list(keys)
+    rows = staged(df.select(*keys, value), "selected")
+    top, _ = largest(rows, keys)
+    grouped = rows.groupBy(*keys)
+    v = F.col(value)
+    pick = lambda r: F.when((r >= 1) & (r <= F.col("_n")), F.get("_sorted", (r - 1).cast("int")))
+    if top <= most:
+        held = grouped.agg(F.sort_array(F.collect_list(value)).alias("_sorted"), *extra).withColumn("_n", F.size("_sorted").cast("long"))
+        return held.withColumn("_at", F.array(*map(pick, ranks(F.col("_n"))))).drop("_sorted")
+    buckets = int(min(BUCKETS, max(2, top // min(BUCKET_ROWS, most))))
+    cut_at = [i / buckets for i in range(1, buckets)]
+    summary = grouped.agg(F.count(value).alias("_n"), F.percentile_approx(value, cut_at, 10 * buckets).alias("_cuts"), *extra)
+    summary = staged(summary.withColumn("_cuts", F.coalesce(F.array_distinct("_cuts"), F.array().cast(f"array<{df.schema[value].dataType.simpleString()}>"))), "cuts")
+    cuts = F.col("_cuts")
+    # two steps of about the root of the number of cuts each
+    step = max(1, int(buckets**0.5))
+    blocks = F.filter(cuts, lambda c, i: (i % step == step - 1) & (c < v))
+    bucket = F.size(blocks) * step + F.size(F.filter(F.slice(cuts, F.size(blocks) * step + 1, F.lit(step)), lambda c: c < v))
+    placed = null_safe(rows.filter(v.isNotNull()), summary.select(*keys, "_cuts"), keys).select(*keys, v.alias("_v"), bucket.alias("_bucket"))
+    sizes = placed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    sizes = sizes.withColumn("_before", F.sum("_size").over(over.orderBy("_bucket")) - F.col("_size"))
+    asked = summary.select(*keys, F.posexplode(F.array(*[r.cast("long") for r in ranks(F.col("_n"))])).alias("_place", "_rank"))
+    wanted = null_safe(asked, sizes, keys).filter((F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_before") + F.col("_size")))
+    needed = wanted.select(*keys, "_bucket").distinct()
+    counted = null_safe(placed, needed, [*keys, "_bucket"]).groupBy(*keys, "_bucket", "_v").agg(F.count(F.lit(1)).alias("_times"))
+    values = counted.groupBy(*keys, "_bucket").agg(F.sort_array(F.collect_list(F.struct("_v", "_times"))).alias("_values"))
+    found = null_safe(wanted, values, [*keys, "_bucket"])
+    start = F.struct((F.col("_rank") - F.col("_before")).alias("left"), F.lit(None).cast(df.schema[value].dataType).alias("hit"))
+    walk = F.aggregate("_values", start, lambda s, x: F.struct((s["left"] - x["_times"]).alias("left"), F.when((s["left"] > 0) & (s["left"] <= x["_times"]), x["_v"]).otherwise(s["hit"]).alias("hit")))
+    hits = found.select(*keys, "_place", walk["hit"].alias("_hit")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_place", "_hit"))).alias("_hits"))
+    joined = null_safe(summary.drop("_cuts"), hits, keys, "left")
+    return joined.withColumn("_at", F.array(*[F.get(F.array(F.col("_hits")[F.lit(i)]), F.lit(0)) for i in range(len(ranks(F.col("_n"))))])).drop("_hits")
+
+
+def combined(probs: Sequence[float], rule: str) -> tuple[Ranks, list[Column]]:
+    """The ranks that percentiles need, and the percentiles as expressions of _n and _at."""
+    spots = [weighted_ranks(F.col("_n"), p, rule) for p in probs]
+    firsts, total = [], 0
+    for s in spots:
+        firsts.append(total)
+        total += len(s)
+    values = []
+    for first, s in zip(firsts, spots, strict=True):
+        x = [F.get("_at", F.lit(first + j)) for j in range(len(s))]
+        if rule == "averaged":
+            values.append(F.when(s[0][0] == s[1][0], x[0]).otherwise((x[0] + x[1]) / 2))
+        elif len(s) == 1:
+            values.append(x[0])
+        else:
+            values.append(F.when(s[1][1] > 0, x[0] * s[0][1] + x[1] * s[1][1]).otherwise(x[0] * s[0][1]))
+    return lambda n: [r for p in probs for r, _ in weighted_ranks(n, p, rule)], values
+
+
+def group_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float] = FIFTEEN, rule: str = "averaged", most: int = GROUP_ROWS, extra: Sequence[Column] = ()) -> DataFrame:
+    """keys, percentile columns and any extra aggregates of the value."""
+    ranks, values = combined(probs, rule)
+    names = [n for n in selected_names(df, keys, extra)]
+    return selected(df, keys, value, ranks, most, extra).select(*keys, *names, *[v.alias(name_of(p)) for v, p in zip(values, probs, strict=True)])
+
+
+def selected_names(df: DataFrame, keys: Sequence[str], extra: Sequence[Column]) -> list[str]:
+    return df.groupBy(*keys).agg(F.lit(0).alias("_"), *extra).columns[len(keys) + 1 :] if extra else []
+
+
+def floor_rank(n: Column, p: float) -> Column:
+    return F.least(n, F.floor(share_of(n, p)) + 1)
 
 
-def smoothed_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], reach: int = 5, parts: int | None = None) -> DataFrame:
+def smoothed_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], reach: int = 5, most: int = GROUP_ROWS) -> DataFrame:
     """Means of the order statistics within `reach` places of the floor-rule rank."""
-    rows = ranked(df.filter(F.col(value).isNotNull()), keys, [value], parts)
-    rank = lambda p: F.least(F.col("_n"), F.floor(F.round(F.col("_n") * F.lit(float(p)) / 100, 9)) + 1)
-    return rows.groupBy(*keys).agg(*[F.avg(F.when(F.abs(F.col("_k") - rank(p)) <= reach, F.col(value))).alias(name_of(p)) for p in probs])
+    width = 2 * reach + 1
+    rows = selected(df, keys, value, lambda n: [floor_rank(n, p) + d for p in probs for d in range(-reach, reach + 1)], most)
+    mean = lambda i: F.slice("_at", i * width + 1, width)
+    held = lambda i: F.filter(mean(i), lambda x: x.isNotNull())
+    total = lambda i: F.aggregate(held(i), F.lit(0.0), lambda s, x: s + x)
+    return rows.select(*keys, *[F.try_divide(total(i), F.size(held(i))).alias(name_of(p)) for i, p in enumerate(probs)])
 
 
-def top_shares(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], parts: int | None = None) -> DataFrame:
-    """The share of the total above each percentile."""
-    rows = ranked(df.filter(F.col(value).isNotNull()), keys, [value], parts)
-    return rows.groupBy(*keys).agg(*[(F.sum(F.when(F.col("_k") >= F.floor(F.round(F.col("_n") * F.lit(float(p)) / 100, 9)) + 1, F.col(value)).otherwise(0.0)) / F.sum(value)).alias("top" + name_of(p)[1:]) for p in probs])
+def top_shares(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], most: int = GROUP_ROWS) -> DataFrame:
+    """The share of the total from each percentile's rank on. Rows equal to the value at that rank count as far as they reach it."""
+    found = selected(df, keys, value, lambda n: [F.floor(share_of(n, p)) + 1 for p in probs], most, [F.sum(value).alias("_total")]).drop("_total")
+    v = F.col(value)
+    rows = null_safe(df.select(*keys, value).filter(v.isNotNull()), found.withColumnRenamed("_at", "_cuts"), keys)
+    cut = lambda i: F.get("_cuts", F.lit(i))
+    # rows above the cut, and as many at the cut as complete the number of ranks
+    above = [(F.sum(F.when(v > cut(i), v).otherwise(0.0)), F.count(F.when(v > cut(i), 1)), F.max(cut(i))) for i in range(len(probs))]
+    n = F.max("_n")
+    return rows.groupBy(*keys).agg(*[((s + F.when(c.isNotNull(), c * (n - F.floor(share_of(n, p)) - k)).otherwise(0.0)) / F.sum(v)).alias("top" + name_of(p)[1:]) for p, (s, k, c) in zip(probs, above, strict=True)])
 
 
-def cut_points(df: DataFrame, keys: Sequence[str], value: str, groups: int, rule: str = "averaged", parts: int | None = None) -> DataFrame:
+def cut_points(df: DataFrame, keys: Sequence[str], value: str, groups: int, rule: str = "averaged", most: int = GROUP_ROWS) -> DataFrame:
     """keys, cuts: the inner percentiles that part a value into so many groups."""
-    probs = [100 * i / groups for i in range(1, groups)]
-    rows = ranked(df.filter(F.col(value).isNotNull()), keys, [value], parts)
-    agg = F.array(*[percentile(F.col(value), p, rule) for p in probs]).alias("cuts")
-    return rows.groupBy(*keys).agg(agg) if keys else rows.agg(agg)
+    ranks, values = combined([100 * i / groups for i in range(1, groups)], rule)
+    return selected(df, keys, value, ranks, most).select(*keys, F.array(*values).alias("cuts"))
 
 
-def xtile(df: DataFrame, keys: Sequence[str], value: str, groups: int, name: str = "bin", rule: str = "averaged", parts: int | None = None) -> DataFrame:
+def xtile(df: DataFrame, keys: Sequence[str], value: str, groups: int, name: str = "bin", rule: str = "averaged", most: int = GROUP_ROWS) -> DataFrame:
     """Quantile groups by cut point: equal values stay together. The cut table has one row per group and is planned by size."""
-    cuts = cut_points(df, keys, value, groups, rule, parts)
-    joined = df.join(cuts, list(keys), "left") if keys else df.crossJoin(F.broadcast(cuts))
+    rows = staged(df, "xtile")
+    joined = null_safe(rows, cut_points(rows, keys, value, groups, rule, most), keys, "left")
     return joined.withColumn(name, F.when(F.col(value).isNotNull(), 1 + F.size(F.filter("cuts", lambda c: F.col(value) > c))).cast("long")).drop("cuts")
 
 
-def rank_bins(df: DataFrame, keys: Sequence[str], order: Sequence[str], edges: Sequence[float], name: str = "bin", parts: int | None = None) -> DataFrame:
+def rank_bins(df: DataFrame, keys: Sequence[str], order: Sequence[str], edges: Sequence[float], name: str = "bin", most: int = GROUP_ROWS, shared: bool = False) -> DataFrame:
     """Bins by rank: with 1-based percentile edges e, bin j holds the 0-based places in [floor(n (e_j - 1) / 100), floor(n (e_j+1 - 1) / 100)).
-    Bins are disjoint; ties part by the order columns. Rows with a null first order column get no bin."""
-    rows = ranked(df.filter(F.col(order[0]).isNotNull()), keys, order, parts)
+    Bins are disjoint, ties part by the order columns, and rows with a null first order column get no bin. With shared, a bin also has
+    the place at its upper edge, so a row on an inner edge appears in both bins; a bin of that one row only is empty."""
+    rows = ranked(df.filter(F.col(order[0]).isNotNull()), keys, order, most)
     place = F.col("_k") - 1
+    edge = lambda e: F.floor(share_of(F.col("_n"), e - 1))
+    last = len(edges) - 1
+    if shared:
+        upper = lambda e: F.least(edge(e), F.col("_n") - 1)
+        inside = [F.when((place >= edge(a)) & (place <= upper(b)) & (upper(b) > edge(a)), F.lit(j).cast("long")) for j, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True), 1)]
+        bins = F.filter(F.array(*inside), lambda b: b.isNotNull())
+        return rows.withColumn(name, F.explode(bins)).drop("_k", "_n")
     out = None
-    for j, edge in enumerate(edges[1:], 1):
-        test = place < F.floor(F.round(F.col("_n") * F.lit(float(edge - 1)) / 100, 9))
+    for j, e in enumerate(edges[1:], 1):
+        test = place < edge(e)
         out = F.when(test, F.lit(j)) if out is None else out.when(test, F.lit(j))
-    return rows.withColumn(name, out.otherwise(F.lit(len(edges) - 1)).cast("long")).drop("_k", "_n")
+    return rows.withColumn(name, out.otherwise(F.lit(last)).cast("long")).drop("_k", "_n")
 
 
-def percent_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "pct", parts: int | None = None) -> DataFrame:
-    """Average-tie ranks over the group's size; null values get none. Ranks are made range by range, and those of equal values are
-    averaged by an aggregate and a join."""
-    rows = ranked(df.filter(F.col(value).isNotNull()), keys, [value], parts)
-    ties = rows.groupBy(*keys, value).agg((F.avg("_k") / F.max("_n")).alias(name))
-    return df.join(ties, [*keys, value], "left")
+def percent_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "pct", most: int = GROUP_ROWS) -> DataFrame:
+    """Average-tie ranks over the group's size; null values get none. Equal values are ranked by one row with their count."""
+    held = staged(df, "percent-rank")
+    ties = held.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_times"))
+    rows = ranked(ties, keys, [value], most).drop("_n")
+    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_k")
+    if largest(rows, keys)[0] <= most:
+        shares = rows.withColumn("_upto", F.sum("_times").over(w)).withColumn("_n", F.sum("_times").over(Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))))
+        share = shares.select(*keys, value, ((F.col("_upto") - (F.col("_times") - 1) / 2) / F.col("_n")).alias(name))
+    else:
+        every = ranked(held.filter(F.col(value).isNotNull()).select(*keys, value), keys, [value], most)
+        share = every.groupBy(*keys, value).agg((F.avg("_k") / F.max("_n")).alias(name))
+    return null_safe(held, share, [*keys, value], "left")

@@ -7,16 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.functions.quantiles import group_percentiles, ranked
+from cohortlake.functions.quantiles import group_percentiles, selected
 
 
-def histogram(df: DataFrame, value: str, bins: int, cutoff: float = 0.01, parts: int = 16) -> DataFrame:
+def histogram(df: DataFrame, value: str, bins: int, cutoff: float = 0.01) -> DataFrame:
     """bin, n, share: bin 1 up to the cutoff percentile, bin `bins` + 1 above the opposite one, equal widths between. Only the two
-    order statistics need ranks, and those come from many tasks; the counting is one aggregate."""
+    order statistics are selected; the counting is one aggregate."""
     rows = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    r = ranked(rows, [], ["v"], parts)
-    at = lambda p: F.max(F.when(F.col("_k") == F.floor(F.round(F.col("_n") * p / 100, 9)) + 1, F.col("v")))
-    ends = r.agg(at(cutoff).alias("lo"), at(100 - cutoff).alias("hi"), F.max("_n").alias("total"))
+    rank = lambda n, p: F.floor(F.round(n * p / 100, 9)) + 1
+    ends = selected(rows, [], "v", lambda n: [rank(n, cutoff), rank(n, 100 - cutoff)]).select(F.get("_at", F.lit(0)).alias("lo"), F.get("_at", F.lit(1)).alias("hi"), F.col("_n").alias("total"))
     v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
     inner = F.least(F.greatest(1 + F.ceil(F.round((v - lo) / ((hi - lo) / (bins - 1)), 9)), F.lit(2)), F.lit(bins))
     placed = rows.crossJoin(F.broadcast(ends)).withColumn("bin", F.when(v <= lo, 1).when(v > hi, bins + 1).otherwise(inner).cast("bigint"))

@@ -18,8 +18,6 @@ from cohortlake.functions.moments import unbiased
 from cohortlake.functions.quantiles import rank_bins
 from cohortlake.session import staged
 
-#: Rows that one value range of a ranking may hold.
-ROWS_A_RANGE = 2_000_000
 # 1-based percentile edges of the bins.
 RECENT_EDGES = (1, 2, 11, 21, 31, 41, 51, 61, 71, 81, 91, 96, 100, 101)
 IMPULSE_INCOME_EDGES = (1, 6, 11, 31, 51, 71, 91, 96, 101)
@@ -84,9 +82,9 @@ def banded(rows: DataFrame, bands: Sequence[tuple[int, int]], name: str) -> Data
     return rows.withColumn(name, out).filter(F.col(name).isNotNull())
 
 
-def cross_section(rows: DataFrame, excess: bool = True, parts: int | None = None) -> DataFrame:
+def cross_section(rows: DataFrame, excess: bool = True, shared: bool = False) -> DataFrame:
     """grp (ssk_l1, ssk_l5), i age group, j recent-income bin, k (sd, skew, kurt), value: means of the two sub-bins."""
-    binned = rank_bins(banded(rows, SUB_BINS, "sub"), ["sub"], ["re", "id", "h"], RECENT_EDGES, "bin", parts)
+    binned = rank_bins(banded(rows, SUB_BINS, "sub"), ["sub"], ["re", "id", "h"], RECENT_EDGES, "bin", shared=shared)
     stats = []
     for g, grp in (("g1", "ssk_l1"), ("g5", "ssk_l5")):
         s = unbiased(F.col(g))
@@ -97,21 +95,21 @@ def cross_section(rows: DataFrame, excess: bool = True, parts: int | None = None
     return by_age.select(F.split("_n", r"\|")[0].alias("grp"), "i", "j", F.split("_n", r"\|")[1].cast("long").alias("k"), F.lit(0).cast("long").alias("l"), "value")
 
 
-def impulses(rows: DataFrame, parts: int | None = None) -> DataFrame:
+def impulses(rows: DataFrame, shared: bool = False) -> DataFrame:
     """grp ir, i age, j income bin, k shock bin, l horizon, value: means of the changes."""
-    by_income = rank_bins(banded(rows, IMPULSE_AGES, "age"), ["age"], ["re", "id", "h"], IMPULSE_INCOME_EDGES, "inc", parts)
-    by_shock = rank_bins(by_income, ["age", "inc"], ["ir0", "re", "id", "h"], IMPULSE_SHOCK_EDGES, "chg", parts)
+    by_income = rank_bins(banded(rows, IMPULSE_AGES, "age"), ["age"], ["re", "id", "h"], IMPULSE_INCOME_EDGES, "inc", shared=shared)
+    by_shock = rank_bins(by_income, ["age", "inc"], ["ir0", "re", "id", "h"], IMPULSE_SHOCK_EDGES, "chg", shared=shared)
     names = [f"{k}" for k in range(6)]
     means = by_shock.groupBy("age", "inc", "chg").agg(*[F.coalesce(F.avg(f"ir{k}"), F.lit(0.0)).alias(str(k)) for k in range(6)])
     return means.unpivot(["age", "inc", "chg"], names, "_l", "value").select(F.lit("ir").alias("grp"), F.col("age").cast("long").alias("i"), (F.col("inc") - 1).alias("j"), (F.col("chg") - 1).alias("k"), F.col("_l").cast("long").alias("l"), "value")
 
 
-def lifetime(panel: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+def lifetime(panel: DataFrame, shared: bool = False) -> tuple[DataFrame, DataFrame]:
     """(incgrowth cells, years-employed distribution in percent)."""
     floored = F.transform("y", lambda v: F.greatest(v, F.lit(FLOOR)))
     people = panel.select("id", F.size("y").alias("steps"), F.size(F.filter("y", lambda v: v >= FLOOR)).alias("emp"), floored.alias("f"))
     people = people.withColumn("lt", F.when(F.col("emp") >= LEAST_EMPLOYED, F.aggregate("f", F.lit(0.0), lambda a, v: a + v) / F.col("steps")))
-    binned = rank_bins(people, [], ["lt", "id"], LIFETIME_EDGES, "bin", parts)
+    binned = rank_bins(people, [], ["lt", "id"], LIFETIME_EDGES, "bin", shared=shared)
     means = binned.groupBy("bin").agg(*[F.avg(F.get("f", F.lit(5 * k))).alias(str(k)) for k in range(8)])
     zero = F.lit(0).cast("long")
     growth = means.unpivot(["bin"], [str(k) for k in range(8)], "_j", "value").select(F.lit("incgrowth").alias("grp"), (F.col("bin") - 1).alias("i"), F.col("_j").cast("long").alias("j"), zero.alias("k"), zero.alias("l"), "value")
@@ -129,25 +127,25 @@ def years_employed(people: DataFrame, steps: int = 36) -> DataFrame:
     return below.crossJoin(F.broadcast(total)).select(F.lit("emp_cdf").alias("grp"), "i", zero.alias("j"), zero.alias("k"), zero.alias("l"), value.alias("value"))
 
 
-def all_moments(panel: DataFrame, excess: bool = True, parts: int | None = None) -> DataFrame:
-    """Tidy (grp, i, j, k, l, value) of every moment."""
+def all_moments(panel: DataFrame, excess: bool = True, shared: bool = False) -> DataFrame:
+    """Tidy (grp, i, j, k, l, value) of every moment. shared: neighbouring rank bins share their edge row."""
     profile = age_profile(panel)
     zero = F.lit(0).cast("long")
     # 28 rows a person, which several rankings read
     rows = staged(long_panel(panel, _values(profile)), "panel-rows")
-    # a count of stored rows reads file footers alone
-    parts = parts or 1 + rows.count() // ROWS_A_RANGE
     variance = profile.select(F.lit("var_lny").alias("grp"), F.col("h").cast("long").alias("i"), zero.alias("j"), zero.alias("k"), zero.alias("l"), F.col("var_lny").alias("value"))
-    growth, employed = lifetime(panel, parts)
-    return reduce(DataFrame.unionByName, [cross_section(rows, excess, parts), impulses(rows, parts), growth, variance, employed])
+    growth, employed = lifetime(panel, shared)
+    return reduce(DataFrame.unionByName, [cross_section(rows, excess, shared), impulses(rows, shared), growth, variance, employed])
 
 
 # --- the same in numpy, for one panel of bounded size at a time -----------------------------------------------------------
 
 
-def _bounds(n: int, edges: Sequence[float]) -> list[tuple[int, int]]:
+def _bounds(n: int, edges: Sequence[float], shared: bool = False) -> list[tuple[int, int]]:
     at = [int(np.floor(round(n * (e - 1) / 100, 9))) for e in edges]
     at[-1] = n
+    if shared:
+        return [(a, min(b, n - 1) + 1) if min(b, n - 1) > a else (a, a) for a, b in zip(at, at[1:])]
     return list(zip(at, at[1:]))
 
 
@@ -165,7 +163,7 @@ def _shape(x: np.ndarray, excess: bool) -> tuple[float, float, float]:
     return float(np.sqrt(m2 * n / (n - 1))), float(skew), float(kurt) + (0 if excess else 3)
 
 
-def moment_vector(y: np.ndarray, excess: bool = True) -> dict[str, np.ndarray]:
+def moment_vector(y: np.ndarray, excess: bool = True, shared: bool = False) -> dict[str, np.ndarray]:
     """Tensors by group of an (n, steps) panel."""
     n, steps = y.shape
     high = y >= FLOOR
@@ -196,7 +194,7 @@ def moment_vector(y: np.ndarray, excess: bool = True) -> dict[str, np.ndarray]:
         own = slice(a - FIRST, min(b, last) + 1 - FIRST)
         re, g1, g5 = recent[own].ravel(), changes[0, own].ravel(), changes[1, own].ravel()
         order = np.lexsort((np.repeat(np.arange(a, min(b, last) + 1), n), np.tile(persons, min(b, last) + 1 - a), re))[: int((~np.isnan(re)).sum())]
-        for j, (low, top) in enumerate(_bounds(len(order), RECENT_EDGES)):
+        for j, (low, top) in enumerate(_bounds(len(order), RECENT_EDGES, shared)):
             if top > low:
                 out["ssk_l1"][s // 2, j] += np.array(_shape(g1[order[low:top]], excess)) / 2
                 out["ssk_l5"][s // 2, j] += np.array(_shape(g5[order[low:top]], excess)) / 2
@@ -206,11 +204,11 @@ def moment_vector(y: np.ndarray, excess: bool = True) -> dict[str, np.ndarray]:
         re, ir = recent[own].ravel(), changes[2:, own].reshape(6, -1)
         steps_of, ids = np.repeat(np.arange(a, b + 1), n), np.tile(persons, b + 1 - a)
         order = np.lexsort((steps_of, ids, re))[: int((~np.isnan(re)).sum())]
-        for j, (low, top) in enumerate(_bounds(len(order), IMPULSE_INCOME_EDGES)):
+        for j, (low, top) in enumerate(_bounds(len(order), IMPULSE_INCOME_EDGES, shared)):
             rows = order[low:top]
             rows = rows[~np.isnan(ir[0, rows])]
             rows = rows[np.lexsort((steps_of[rows], ids[rows], re[rows], ir[0, rows]))]
-            for k, (x, z) in enumerate(_bounds(len(rows), IMPULSE_SHOCK_EDGES)):
+            for k, (x, z) in enumerate(_bounds(len(rows), IMPULSE_SHOCK_EDGES, shared)):
                 if z > x:
                     part = ir[:, rows[x:z]]
                     seen = ~np.isnan(part)
@@ -218,7 +216,7 @@ def moment_vector(y: np.ndarray, excess: bool = True) -> dict[str, np.ndarray]:
     employed = high.sum(axis=1)
     life = np.where(employed >= LEAST_EMPLOYED, floored.mean(axis=1), np.nan)
     order = np.lexsort((persons, life))[: int((~np.isnan(life)).sum())]
-    for j, (low, top) in enumerate(_bounds(len(order), LIFETIME_EDGES)):
+    for j, (low, top) in enumerate(_bounds(len(order), LIFETIME_EDGES, shared)):
         if top > low:
             out["incgrowth"][j] = floored[order[low:top]][:, 0 : min(40, steps) : 5].mean(axis=0)[:8]
     cdf = 100 * np.searchsorted(np.sort(employed), np.arange(steps + 1), side="right") / n

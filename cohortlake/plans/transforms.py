@@ -19,7 +19,7 @@ def ordinal_transform(model: DataFrame, data: DataFrame, keys: Sequence[str], va
     own = ranked(model, keys, [value, id_])
     shared = [k for k in keys if k in data.columns]
     kept = data.filter(F.col(data_value) > threshold)
-    numbered = ranked(kept, shared, [data_value], parts=8).select(*shared, F.col("_k").alias("_at"), F.col(data_value).alias("transformed"))
+    numbered = ranked(kept, shared, [data_value]).select(*shared, F.col("_k").alias("_at"), F.col(data_value).alias("transformed"))
     sizes = kept.groupBy(*shared).agg(F.count(F.lit(1)).alias("_m")) if shared else kept.agg(F.count(F.lit(1)).alias("_m"))
     placed = (own.join(F.broadcast(sizes), shared) if shared else own.crossJoin(F.broadcast(sizes))).withColumn("_at", F.greatest(F.ceil(F.col("_k") * F.col("_m") / F.col("_n")), F.lit(1)).cast("int"))
     return placed.join(numbered, [*shared, "_at"], "left").select(id_, *keys, value, "transformed")

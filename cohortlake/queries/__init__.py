@@ -10,10 +10,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    from cohortlake.queries import basics, files, models, panels, statistics
+    from cohortlake.queries import basics, files, growth, jobs, models, panels, statistics
     from cohortlake.queries.registry import QUERIES
 
-    assert basics and files and models and panels and statistics
+    assert basics and files and growth and jobs and models and panels and statistics
     return dict(QUERIES)
 
 

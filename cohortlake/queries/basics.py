@@ -426,7 +426,7 @@ def x08_strings(spark, d):
 
 @query("select id, yr, row_number() over (order by y, id, yr) as k, count(*) over () as n from p", "panel")
 def o01_global_rank(spark, d):
-    return ranked(panel(spark, d), [], ["y", "id", "yr"], parts=16).select("id", "yr", big("_k").alias("k"), big("_n").alias("n"))
+    return ranked(panel(spark, d), [], ["y", "id", "yr"]).select("id", "yr", big("_k").alias("k"), big("_n").alias("n"))
 
 
 @query("select c_custkey, c_name, c_nationkey from customer")

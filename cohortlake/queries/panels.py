@@ -75,7 +75,7 @@ CUTS10 = ", ".join(f"{type2(10 * i, 'l_quantity')} as c{i}" for i in range(1, 10
 
 @query(f"with r as ({ranked_sql('l_returnflag', 'l_quantity', 'lineitem')}), q as (select l_returnflag, {CUTS10} from r group by 1) select l_returnflag, (1 + {' + '.join(f'(l_quantity > c{i})::int' for i in range(1, 10))})::bigint as bin, count(*) as n, min(l_quantity) as lo, max(l_quantity) as hi from lineitem join q using (l_returnflag) group by 1, 2")
 def w12_xtile(spark, d):
-    x = qu.xtile(readers.table(spark, d, "lineitem", ["l_returnflag", "l_quantity"]), ["l_returnflag"], "l_quantity", 10, parts=8)
+    x = qu.xtile(readers.table(spark, d, "lineitem", ["l_returnflag", "l_quantity"]), ["l_returnflag"], "l_quantity", 10)
     return x.groupBy("l_returnflag", "bin").agg(F.count("*").alias("n"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"))
 
 

@@ -89,7 +89,7 @@ def _rule(name: str, sql) -> None:
     rule = {"a10a_pctile_type2": "averaged", "a10b_pctile_floor": "floor", "a10c_pctile_type7": "linear", "a10d_pctile_type1": "inverted", "a10e_pctile_type6": "exclusive"}[name]
 
     def run(spark, d):
-        return rounded(qu.group_percentiles(readers.table(spark, d, "lineitem", ["l_returnflag", "l_quantity"]), ["l_returnflag"], "l_quantity", PROBS, rule, parts=8), 4)
+        return rounded(qu.group_percentiles(readers.table(spark, d, "lineitem", ["l_returnflag", "l_quantity"]), ["l_returnflag"], "l_quantity", PROBS, rule), 4)
 
     run.__name__ = name
     query(f"with r as ({ranked_sql('l_returnflag', 'l_quantity', 'lineitem')}) select l_returnflag, {columns} from r group by 1")(run)

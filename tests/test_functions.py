@@ -40,11 +40,11 @@ def by_hand(values, p, rule):
 
 
 @pytest.mark.parametrize("rule", qu.RULES)
-@pytest.mark.parametrize("parts", [1, 5])
-def test_percentile_rules(spark, rule, parts):
+@pytest.mark.parametrize("most", [1000, 3])
+def test_percentile_rules(spark, rule, most):
     rows = [(name, x) for name, values in cases() for x in values]
     df = spark.createDataFrame(rows, "g string, v double").repartition(3)
-    found = {r["g"]: r for r in qu.group_percentiles(df, ["g"], "v", (1, 10, 25, 50, 62.5, 90, 99), rule, parts).collect()}
+    found = {r["g"]: r for r in qu.group_percentiles(df, ["g"], "v", (1, 10, 25, 50, 62.5, 90, 99), rule, most).collect()}
     for name, values in cases():
         for p in (1, 10, 25, 50, 62.5, 90, 99):
             assert found[name][qu.name_of(p)] == pytest.approx(by_hand(values, p, rule), abs=1e-9), (name, p)
@@ -55,10 +55,90 @@ def test_ranks_in_parts_are_exact(spark):
     rows = [(int(i), float(v)) for i, v in enumerate(rng.integers(0, 30, 500))]
     df = spark.createDataFrame(rows, "id long, v double").repartition(5)
     one = {r.id: (r._k, r._n) for r in qu.ranked(df, [], ["v", "id"]).collect()}
-    many = {r.id: (r._k, r._n) for r in qu.ranked(df, [], ["v", "id"], parts=7).collect()}
+    many = {r.id: (r._k, r._n) for r in qu.ranked(df, [], ["v", "id"], most=70).collect()}
     assert one == many == {i: (k + 1, 500) for k, (v, i) in enumerate(sorted((v, i) for i, v in rows))}
 
 
+def odd_groups():
+    """Null keys, groups without values, mass points, ties and one-row groups."""
+    rng = np.random.default_rng(4)
+    rows = [(None, "a", float(x)) for x in rng.integers(0, 4, 60)] + [(1, None, float(x)) for x in rng.normal(size=41)] + [(None, None, x) for x in (3.0, None, 1.0)]
+    rows += [(2, "b", None)] * 5 + [(3, "c", 0.0)] * 80 + [(3, "c", float(x)) for x in range(20)] + [(4, "d", 7.0)]
+    return rows
+
+
+def values_of(rows):
+    out = {}
+    for a, b, v in rows:
+        out.setdefault((a, b), []).append(v)
+    return out
+
+
+@pytest.mark.parametrize("most", [1000, 7, 1])
+def test_selection_with_odd_groups(spark, most):
+    df = spark.createDataFrame(odd_groups(), "a int, b string, v double").repartition(3)
+    groups = values_of(odd_groups())
+    for rule in ("averaged", "linear"):
+        found = {(r.a, r.b): r for r in qu.group_percentiles(df, ["a", "b"], "v", (1, 25, 50, 90), rule, most).collect()}
+        assert set(found) == set(groups)
+        for k, v in groups.items():
+            for p in (1, 25, 50, 90):
+                want = by_hand(v, p, rule) if any(x is not None for x in v) else None
+                assert found[k][qu.name_of(p)] == (pytest.approx(want) if want is not None else None), (k, p, rule)
+    sizes = {(r.a, r.b): r["size"] for r in qu.group_percentiles(df, ["a", "b"], "v", (50,), "floor", most, [F.count("v").alias("size")]).collect()}
+    assert sizes == {k: sum(x is not None for x in v) for k, v in groups.items()}
+
+
+@pytest.mark.parametrize("most", [1000, 7, 1])
+def test_bins_and_ranks_with_odd_groups(spark, most):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(odd_groups())], "id long, a int, b string, v double").repartition(3)
+    ranks = sorted(((r.a, r.b, r._n, r._k) for r in qu.ranked(df, ["a", "b"], ["v"], most).collect()), key=str)
+    assert ranks == sorted(((a, b, len(v), k + 1) for (a, b), v in values_of(odd_groups()).items() for k in range(len(v))), key=str)
+    ordered = {r.id: r._k for r in qu.ranked(df, ["a", "b"], ["v", "id"], most).collect()}
+    key = lambda r: (r[1][2] is not None, r[1][2] or 0, r[0])
+    for g in values_of(odd_groups()):
+        own = sorted((x for x in enumerate(odd_groups()) if x[1][:2] == g), key=key)
+        assert [ordered[i] for i, _ in own] == list(range(1, len(own) + 1))
+    bins = {r.id: r.bin for r in qu.xtile(df, ["a", "b"], "v", 4, most=most).collect()}
+    share = {r.id: r.pct for r in qu.percent_rank(df, ["a", "b"], "v", most=most).collect()}
+    assert len(bins) == len(share) == len(odd_groups())
+    for i, (a, b, v) in enumerate(odd_groups()):
+        own = [x for x in values_of(odd_groups())[a, b] if x is not None]
+        if v is None:
+            assert bins[i] is None and share[i] is None
+        else:
+            assert bins[i] == 1 + sum(v > by_hand(own, p, "averaged") for p in (25, 50, 75))
+            assert share[i] == pytest.approx((sum(x < v for x in own) + (sum(x == v for x in own) + 1) / 2) / len(own))
+
+
+@pytest.mark.parametrize("most", [1000, 5])
+def test_text_can_be_ranked(spark, most):
+    words = ["pear", "fig", None, "apple", "fig", "kiwi", "plum", "lime", "date", "fig"]
+    df = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "w string, id long").repartition(4)
+    got = [r.w for r in qu.ranked(df, [], ["w", "id"], most).orderBy("_k").collect()]
+    assert got == sorted(words, key=lambda w: (w is not None, w or ""))
+
+
+@pytest.mark.parametrize("most", [1000, 4])
+def test_tied_top_shares(spark, most):
+    v = [1.0] * 15 + [2.0] * 4 + [10.0]
+    df = spark.createDataFrame([(x,) for x in v], "v double").repartition(3)
+    found = qu.top_shares(df, [], "v", (50, 80, 90), most).first()
+    for p in (50, 80, 90):
+        assert found[f"top{p}"] == pytest.approx(sum(sorted(v)[int(len(v) * p / 100) :]) / sum(v))
+    df = spark.createDataFrame([(float(x),) for x in range(1, 101)], "v double")
+    assert qu.smoothed_percentiles(df, [], "v", (1, 50, 99), 5, most).first() == pytest.approx((np.mean(range(1, 8)), np.mean(range(46, 57)), np.mean(range(95, 101))))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 100, 333])
+def test_rank_bins_may_share_edges(spark, n):
+    edges = (1, 2, 11, 51, 91, 100, 101)
+    df = spark.createDataFrame([(i, float(i)) for i in range(n)], "id long, v double")
+    at = [n * (e - 1) // 100 for e in edges]
+    want = [(j, i) for j, (a, b) in enumerate(zip(at, at[1:]), 1) if min(b, n - 1) > a for i in range(a, min(b, n - 1) + 1)]
+    assert sorted((r.bin, r.id) for r in qu.rank_bins(df, [], ["v", "id"], edges, shared=True).collect()) == want
+
+
 def moments_by_hand(values, convention):
     x = np.array([v for v in values if v is not None])
     n, d = len(x), np.array([v for v in values if v is not None]) - np.mean([v for v in values if v is not None])

@@ -31,11 +31,11 @@ def test_shock_order_is_one_stream():
         assert np.array_equal(s["nu"][h], rng.uniform(size=50)) and np.array_equal(s["p_eps"][h], rng.uniform(size=50)) and np.array_equal(s["eps"][h], rng.standard_normal(50))
 
 
-@pytest.mark.parametrize("parts", [1, 4])
-def test_spark_moments_equal_numpy(panel, parts):
-    tensors = pm.moment_vector(si.simulate(si.TRUTH, si.shocks(600)))
+@pytest.mark.parametrize("shared", [False, True])
+def test_spark_moments_equal_numpy(panel, shared):
+    tensors = pm.moment_vector(si.simulate(si.TRUTH, si.shocks(600)), shared=shared)
     assert {k: v.shape for k, v in tensors.items()} == {"ssk_l1": (3, 13, 3), "ssk_l5": (3, 13, 3), "ir": (2, 8, 10, 6), "incgrowth": (15, 8), "var_lny": (36,), "emp_cdf": (37,)}
-    for r in pm.all_moments(panel, parts=parts).collect():
+    for r in pm.all_moments(panel, shared=shared).collect():
         at = (r.i, r.j, r.k, r.l)[: tensors[r.grp].ndim]
         assert r.value == pytest.approx(tensors[r.grp][at], rel=1e-6, abs=1e-7), (r.grp, at)
 
