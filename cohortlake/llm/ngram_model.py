@@ -42,7 +42,7 @@ from cohortlake.llm.elias_fano import Ranges, Sequence, from_buffer, named, pack
 
 BLOCK = 4 << 20
 #: Tokens of all texts for each shard; at least one shard for each shuffle partition.
-SHARD_TOKENS = 1_500_000
+SHARD_TOKENS = 1_000_000
 CLASS_TOKENS = 1 << 20
 DISCOUNT = 0.75
 STEP = 0.05
