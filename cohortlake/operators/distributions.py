@@ -45,6 +45,15 @@ def kernel_density(df: DataFrame, value: str, points: int = 500, merge_digits: i
     return grid.join(F.broadcast(sums), "i", "left").select(F.col("i").cast("bigint").alias("i"), "at", F.coalesce("density", F.lit(0.0)).alias("density"))
 
 
+def tail_fits(grid: DataFrame, x: str = "at", f: str = "density", inner: float = 1.0, outer: float = 4.0) -> DataFrame:
+    """side (left, right), n, slope, intercept: lines through the log of a gridded density between -outer and -inner, and between
+    inner and outer. Points without density have no log and are left out; a side with fewer than two points has null lines."""
+    at, log = F.col(x), F.when(F.col(f) > 0, F.ln(f))
+    side = F.when(at.between(-outer, -inner), "left").when(at.between(inner, outer), "right")
+    rows = grid.select(side.alias("side"), at.alias("_x"), log.alias("_l")).filter("side is not null and _l is not null")
+    return rows.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("_l", "_x").alias("slope"), F.regr_intercept("_l", "_x").alias("intercept"))
+
+
 def density_moments(grid: DataFrame, x: str, f: str, tail: float) -> DataFrame:
     """Moments, median and mass above `tail` of a gridded density (a table of bounded size)."""
     from pyspark.sql import Window

@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlake.functions.quantiles import null_safe, ranked
 from cohortlake.functions.scalar import arc_change
 
 
@@ -67,15 +68,15 @@ def future_average(panel: DataFrame, value: str, years: int, name: str, id_: str
 
 
 def normalised(panel: DataFrame, value: str, keys: Sequence[str], name: str) -> DataFrame:
-    """The value over its group's mean. Means come from a map-side aggregate and a join, planned by their size, so no group is sorted
+    """The value over its group's mean; null keys are a group. Means come from a map-side aggregate and a join, planned by their size, so no group is sorted
     in one task."""
     means = panel.groupBy(*keys).agg(F.avg(value).alias("_mean"))
-    return panel.join(means, list(keys)).withColumn(name, F.try_divide(F.col(value), F.col("_mean"))).drop("_mean")
+    return null_safe(panel, means, keys).withColumn(name, F.try_divide(F.col(value), F.col("_mean"))).drop("_mean")
 
 
 def demeaned(panel: DataFrame, value: str, keys: Sequence[str], name: str) -> DataFrame:
     means = panel.groupBy(*keys).agg(F.avg(value).alias("_mean"))
-    return panel.join(means, list(keys)).withColumn(name, F.col(value) - F.col("_mean")).drop("_mean")
+    return null_safe(panel, means, keys).withColumn(name, F.col(value) - F.col("_mean")).drop("_mean")
 
 
 def arc_changes(panel: DataFrame, value: str, k: int, name: str, means: DataFrame | None = None, mean_key: str = "yr", floor: float | None = None) -> DataFrame:
@@ -217,8 +218,6 @@ def leading(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str
 
 def rank_matched(left: DataFrame, right: DataFrame, value: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
     """Each left row gets the right value of its own rank (1 is the least) within keys."""
-    from cohortlake.functions.quantiles import ranked
-
     a = ranked(left, keys, [value, "id"]).drop("_n")
     b = ranked(right, keys, [name]).select(*keys, "_k", name)
     return a.join(b, [*keys, "_k"], "left").drop("_k")

@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlake.functions.quantiles import ranked
 from cohortlake.functions.scalar import md5_uniform
+from cohortlake.session import staged
 
 
 def dummy_least_squares(df: DataFrame, y: str, a: str, b: str) -> DataFrame:
@@ -76,37 +78,6 @@ def residuals_by_group(df: DataFrame, key: str, y: str, factors: Sequence[str],
     return df.join(fitted, keys, "left").withColumn(name, F.col(y) - F.col("fitted")).drop("fitted")
 
 
-def quantile_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, q: float, rounds: int = 200) -> np.ndarray:
-    """Coefficients of a linear quantile regression by iteratively reweighted least squares with a shrinking smoother."""
-    coef = np.linalg.lstsq(x * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0]
-    scale = float(np.std(y)) or 1.0
-    for r in range(rounds):
-        e = y - x @ coef
-        tilt = np.where(e >= 0, q, 1 - q) * w / np.maximum(np.abs(e), scale * max(1e-7, 0.1 * 0.9**r))
-        new = np.linalg.lstsq(x * np.sqrt(tilt)[:, None], y * np.sqrt(tilt), rcond=None)[0]
-        if np.max(np.abs(new - coef)) < 1e-9 * (1 + np.max(np.abs(coef))):
-            return new
-        coef = new
-    return coef
-
-
-def quantile_regressions(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], quantiles: Sequence[float]) -> DataFrame:
-    """keys, q, n, b0, b_<x>: equal rows are merged with their number first, then each (group, quantile) is one task's fit. A group must
-    fit a task after merging; discretise the inputs of larger ones."""
-    merged = df.select(*keys, y, *xs).dropna().groupBy(*keys, y, *xs).agg(F.count(F.lit(1)).alias("_w"))
-    spread = merged.crossJoin(F.broadcast(df.sparkSession.createDataFrame([(float(q),) for q in quantiles], "q double")))
-    names = ["b0", *[f"b_{x}" for x in xs]]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.column_stack([np.ones(len(pdf)), *[pdf[c].to_numpy(float) for c in xs]])
-        coef = quantile_fit(x, pdf[y].to_numpy(float), pdf["_w"].to_numpy(float), float(pdf["q"].iloc[0]))
-        out = pdf[[*keys, "q"]].head(1).assign(n=int(pdf["_w"].sum()))
-        return out.assign(**dict(zip(names, coef.tolist(), strict=True)))
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return spread.groupBy(*keys, "q").applyInPandas(fit, ", ".join([f"{k} {kinds[k]}" for k in keys] + ["q double", "n long"] + [f"{n} double" for n in names]))
-
-
 def imputed(df: DataFrame, coefficients: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], topcoded: str, slots: int, seed: str, name: str = "y_imputed") -> DataFrame:
     """Where topcoded holds: a pseudo-random quantile slot of the row picks coefficients (keys, slot, b0, b_<x>), whose prediction
     counts, but never less than what is observed. Coefficients have groups x slots rows."""
@@ -137,6 +108,37 @@ def bootstrap(df: DataFrame, replicates: int, id_: str = "id", seed: str = "boot
     return df.join(drawn, id_).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times", "_copy")
 
 
+def replicate_weights(people: DataFrame, replicates: int, id_: str = "id", seed: str = "draw") -> DataFrame:
+    """id and w, an array of how often each of the replicates draws the person, in exactly as many draws as there are persons. Persons
+    are numbered in the order of their ids; draw j of a replicate takes the number that a digest of (replicate, j) points at, so draws
+    are made in any task and counted before they meet their person. Persons that no replicate draws have zeros."""
+    numbered = staged(ranked(people.select(id_).distinct(), [], [id_]).select(id_, (F.col("_k") - 1).alias("_number"), "_n"), "numbered")
+    n = numbered.count()
+    draws = people.sparkSession.range(n * replicates).select(F.floor(F.col("id") / F.lit(max(n, 1))).alias("_rep"), (F.col("id") % max(n, 1)).alias("_draw"))
+    drawn = draws.select("_rep", F.floor(md5_uniform(seed, F.col("_rep") + 1, F.col("_draw")) * n).alias("_number"))
+    counts = drawn.groupBy("_number").agg(F.array(*[F.count(F.when(F.col("_rep") == r, 1)) for r in range(replicates)]).alias("w"))
+    return numbered.join(counts, "_number", "left").select(id_, F.coalesce("w", F.array_repeat(F.lit(0).cast("bigint"), replicates)).alias("w"))
+
+
+def autocovariance_errors(panel: DataFrame, value: str, key: str, replicates: int, max_lag: int | None = None, id_: str = "id", seed: str = "draw") -> DataFrame:
+    """key_a <= key_b, reps, mean and se of the autocovariances over bootstrap replicates of persons, and the mean number of persons.
+    All replicates come from one pass over the pairs, as sums under each replicate's weights."""
+    rows = staged(panel.filter(F.col(value).isNotNull()).select(id_, F.col(key).alias("_key"), F.col(value).alias("_v")), "autocovariance")
+    weights = replicate_weights(panel, replicates, id_, seed)
+    years = rows.groupBy(id_).agg(F.collect_list(F.struct("_key", "_v")).alias("_at"))  # a person's years
+    held = years.join(weights, id_)
+    pairs = held.select("w", F.explode("_at").alias("a"), "_at").select("w", "a", F.explode("_at").alias("b")).select("w", F.col("a._key").alias("key_a"), F.col("b._key").alias("key_b"), F.col("a._v").alias("a"), F.col("b._v").alias("b"))
+    pairs = pairs.filter("key_a <= key_b" + (f" and key_b - key_a <= {max_lag}" if max_lag is not None else ""))
+    w = lambda r: F.col("w")[r]
+    sums = [F.sum(w(r) * x).alias(f"{name}{r}") for r in range(replicates) for name, x in (("n", F.lit(1)), ("a", F.col("a")), ("b", F.col("b")), ("ab", F.col("a") * F.col("b")))]
+    found = pairs.groupBy("key_a", "key_b").agg(*sums)
+    c = lambda name, r: F.col(f"{name}{r}")
+    each = [F.struct(c("n", r).cast("double").alias("n"), F.when(c("n", r) > 1, (c("ab", r) - c("a", r) * c("b", r) / c("n", r)) / (c("n", r) - 1)).alias("cov")) for r in range(replicates)]
+    long = found.select("key_a", "key_b", F.explode(F.array(*each)).alias("x")).select("key_a", "key_b", "x.*").filter("cov is not null")
+    errors = replicate_errors(long, ["key_a", "key_b"], "cov")
+    return errors.join(long.groupBy("key_a", "key_b").agg(F.avg("n").alias("persons")), ["key_a", "key_b"])
+
+
 def replicate_errors(stats: DataFrame, keys: Sequence[str], value: str, population: bool = False) -> DataFrame:
     """keys, mean, se over replicates: se is the standard deviation over the root of their number."""
     sd = F.stddev_pop(value) if population else F.stddev_samp(value)

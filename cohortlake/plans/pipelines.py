@@ -12,16 +12,17 @@ from cohortlake.functions import moments as mo
 from cohortlake.functions import quantiles as qu
 from cohortlake.functions.scalar import age_bin, arc_change
 from cohortlake.operators import panel as pn
+from cohortlake.session import staged
 
 
-def base_rows(panel: DataFrame, base_years: Sequence[int], ahead: Sequence[int], floor: float, least: int, bins: Column | None = None) -> DataFrame:
-    """One row per person and base year t, at yr = t - 1: recent income re over t-5..t-1 (which the change after t does not touch), the
-    age group, y0 (income in t) and y<h> (in t + h)."""
+def base_rows(panel: DataFrame, base_years: Sequence[int], ahead: Sequence[int], floor: float, least: int, bins: Column | None = None, begin: int = 25, retire: int = 60) -> DataFrame:
+    """One row per person and base year t, at yr = t - 1, staged: recent income re over t-5..t-1 (which the change after t does not
+    touch), the age group, y0 (income in t) and y<h> (in t + h). Persons are `begin` or older then, and `retire` or younger in t + 1."""
     w = pn.history()
     at = lambda k: F.max("y").over(w.rangeBetween(k, k))
     rows = pn.recent_income(panel, "y", floor, 5, least).withColumns({"y0": at(1)} | {f"y{h}": at(1 + h) for h in ahead})
-    rows = rows.filter((F.col("yr") + 1).isin(list(base_years)) & F.col("re").isNotNull())
-    return rows.withColumn("agebin", bins if bins is not None else age_bin(F.col("age")))
+    rows = rows.filter((F.col("yr") + 1).isin(list(base_years)) & F.col("re").isNotNull() & F.col("age").between(begin, retire - 2))
+    return staged(rows.withColumn("agebin", bins if bins is not None else age_bin(F.col("age"))), "base-rows")
 
 
 def change_statistics(panel: DataFrame, base_years: Sequence[int], horizons: Sequence[int] = (1, 5), floor: float = 0.0, least: int = 3, groups: int = 100, measure: str = "arc", percentiles: Sequence[float] = qu.FIFTEEN, bin_column: Column | None = None) -> DataFrame:
@@ -34,7 +35,7 @@ def change_statistics(panel: DataFrame, base_years: Sequence[int], horizons: Seq
     ages = ["yr", "age"]
     changes = {h: F.when((F.col("y0") > 0) & (F.col(f"y{h}") > 0), F.ln(F.col(f"y{h}") / F.col("y0"))) for h in horizons}
     means = [F.avg("re").alias("m_re"), F.avg("y0").alias("m0"), *[F.avg(f"y{h}").alias(f"m{h}") for h in horizons], *[F.avg(c).alias(f"c{h}") for h, c in changes.items()]]
-    rows = rows.join(rows.groupBy(*ages).agg(*means), ages).withColumn("residual", F.ln("re") - F.ln("m_re"))
+    rows = qu.null_safe(rows, rows.groupBy(*ages).agg(*means), ages).withColumn("residual", F.ln("re") - F.ln("m_re"))
     for h in horizons:
         then = F.col(f"y{h}")
         if measure == "log":
@@ -45,11 +46,10 @@ def change_statistics(panel: DataFrame, base_years: Sequence[int], horizons: Seq
     binned = qu.xtile(rows, ["yr", "agebin"], "residual", groups, "bin")
     long = binned.unpivot(["yr", "agebin", "bin"], [f"g{h}" for h in horizons], "_h", "g").filter("g is not null").withColumn("horizon", F.substring("_h", 2, 3).cast("long"))
     cell = ["horizon", "yr", "agebin", "bin"]
-    ranked = qu.ranked(long, cell, ["g"])
     g = F.col("g")
-    stats = {k: v for k, v in mo.raw(g).items()} | {"min": F.min(g), "max": F.max(g)} | {qu.name_of(p): qu.percentile(g, p, "averaged") for p in percentiles}
-    by_year = ranked.groupBy(*cell).agg(*[c.alias(k) for k, c in stats.items()])
-    return by_year.groupBy("horizon", "agebin", "bin").agg(*[F.avg(k).alias(k) for k in stats])
+    stats = mo.raw(g) | {"min": F.min(g), "max": F.max(g)}
+    by_year = qu.group_percentiles(long, cell, "g", percentiles, extra=[c.alias(k) for k, c in stats.items()])
+    return by_year.groupBy("horizon", "agebin", "bin").agg(*[F.avg(k).alias(k) for k in [*stats, *map(qu.name_of, percentiles)]])
 
 
 #: Last percentiles of the income groups, and of the shock groups after the mass point.
@@ -80,7 +80,7 @@ def impulse_statistics(panel: DataFrame, base_years: Sequence[int], floor: float
         middle = qu.group_percentiles(long, [*ages, "_v"], "_x", (50,))
         centres = middle.groupBy(*ages).agg(*[F.max(F.when(F.col("_v") == v, F.col("p50"))).alias(f"m_{v}") for v in values])
     over = lambda v: F.col(v) / F.col(f"m_{v}")
-    rows = rows.join(centres, ages).withColumns({"shock": arc_change(over("y0"), over("y"))} | {f"f{h}": arc_change(over(f"y{h}"), over("y")) for h in horizons})
+    rows = qu.null_safe(rows, centres, ages).withColumns({"shock": arc_change(over("y0"), over("y"))} | {f"f{h}": arc_change(over(f"y{h}"), over("y")) for h in horizons})
     rows = qu.xtile(rows, ["yr", "agebin"], "residual", fine, "_fine").withColumn("inc", edge_group(F.col("_fine") * 100 / fine, income_edges)).filter("shock is not null")
     rows = rows.withColumn("_left", F.when(F.col("shock") > mass, F.col("shock")))
     rows = qu.xtile(rows, ["agebin", "inc"], "_left", fine, "_fine").withColumn("chg", F.when(F.col("shock") <= mass, F.lit(1)).otherwise(1 + edge_group(F.col("_fine") * 100 / fine, shock_edges)).cast("long"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -15,15 +14,15 @@ from cohortlake.operators import columns as co
 from cohortlake.operators import joins as jn
 from cohortlake.operators import panel as pn
 from cohortlake.queries.registry import FLOOR, aged, big, panel, query, rounded
+from cohortlake.session import shared_folder
 from cohortlake.sources import readers, sinks
 
 NATION = "n_nationkey int, n_name string, n_regionkey int"
 
 
 def _scratch(spark, name: str) -> str:
-    """A new path below the session's shared folder, else below a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/cohortlake"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path below the session's shared folder, removed when the process ends."""
+    return shared_folder(spark, name)
 
 
 def _local(path: str) -> str:

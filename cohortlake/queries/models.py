@@ -166,7 +166,7 @@ def _impulse_sql(centre: str) -> str:
     arc = lambda a, b: f"2 * ({a} / m_{a} - {b} / m_{b}) / ({a} / m_{a} + {b} / m_{b})"
     return f"""with w as (select *, avg(greatest(y, 50000.0)) over x as re, count(case when y >= 50000 then 1 end) over x as nv from g window x as (partition by id order by yr range between 4 preceding and current row)),
 am as (select age, avg(y) as m from g group by age), tr as (select age, ln(avg(m) over (order by age range between 4 preceding and current row)) as profile from am),
-s as (select w.id, w.yr, w.age, w.y, b.y as y0, c.y as y1, e.y as y2, ln(w.re) - profile as residual, case when w.age <= 34 then 1 else 2 end as agebin from w join tr using (age) left join g b on b.id = w.id and b.yr = w.yr + 1 left join g c on c.id = w.id and c.yr = w.yr + 2 left join g e on e.id = w.id and e.yr = w.yr + 3 where w.y >= 50000 and nv >= 2 and w.yr + 1 between 1997 and 1999),
+s as (select w.id, w.yr, w.age, w.y, b.y as y0, c.y as y1, e.y as y2, ln(w.re) - profile as residual, case when w.age <= 34 then 1 else 2 end as agebin from w join tr using (age) left join g b on b.id = w.id and b.yr = w.yr + 1 left join g c on c.id = w.id and c.yr = w.yr + 2 left join g e on e.id = w.id and e.yr = w.yr + 3 where w.y >= 50000 and nv >= 2 and w.age between 25 and 58 and w.yr + 1 between 1997 and 1999),
 ce as (select yr, age, {centres} from s group by 1, 2), v as (select s.*, {arc("y0", "y")} as shock, {arc("y1", "y")} as f1, {arc("y2", "y")} as f2 from s join ce using (yr, age)),
 k as (select *, row_number() over (partition by yr, agebin order by residual) as k, count(*) over (partition by yr, agebin) as n from v), q as (select yr, agebin, {cuts("residual")} from k group by 1, 2),
 b as (select v.*, {group(fine("residual"), IMPULSE_EDGES[0])} as inc from v join q using (yr, agebin) where shock is not null),
@@ -209,7 +209,7 @@ def _cross_sql(measure: str) -> str:
     points = ", ".join(f"{type2(p, 'g')} as p{p}" for p in (10, 50, 90))
     means = ", ".join(f"round(avg({c}), 6) as {c}" for c in ("n", "mean", "sd", "min", "max", "p10", "p50", "p90"))
     return f"""with w as (select *, avg(greatest(y, 50000.0)) over x as re, count(case when y >= 50000 then 1 end) over x as nv from g window x as (partition by id order by yr range between 4 preceding and current row)),
-s as (select w.id, w.yr, w.age, w.re, b.y as y0, f.y as y1, least(floor((w.age - 25) / 5.0) + 1, 7) as agebin from w left join g b on b.id = w.id and b.yr = w.yr + 1 left join g f on f.id = w.id and f.yr = w.yr + 2 where w.y >= 50000 and nv >= 2 and w.yr + 1 in (1997, 1998, 1999)),
+s as (select w.id, w.yr, w.age, w.re, b.y as y0, f.y as y1, least(floor((w.age - 25) / 5.0) + 1, 7) as agebin from w left join g b on b.id = w.id and b.yr = w.yr + 1 left join g f on f.id = w.id and f.yr = w.yr + 2 where w.y >= 50000 and nv >= 2 and w.age between 25 and 58 and w.yr + 1 in (1997, 1998, 1999)),
 m as (select yr, age, avg(re) as mre, avg(y0) as m0, avg(y1) as m1, avg(ln(y1 / y0)) as ml from s group by 1, 2), v as (select s.*, ln(re) - ln(mre) as r, {change} as g from s join m using (yr, age)),
 k as (select *, row_number() over (partition by yr, agebin order by r) as k, count(*) over (partition by yr, agebin) as n from v), q as (select yr, agebin, {cuts} from k group by 1, 2), b as (select v.*, 1 + (r > c1)::int + (r > c2)::int + (r > c3)::int + (r > c4)::int as bin from v join q using (yr, agebin)),
 o as (select yr, agebin, bin, g, row_number() over z as k, count(*) over (partition by yr, agebin, bin) as n, avg(g) over (partition by yr, agebin, bin) as mu from b where g is not null window z as (partition by yr, agebin, bin order by g)),
@@ -304,13 +304,15 @@ def m04_cohorts(spark, d):
     return rounded(cohorts.projected(cohorts.projected(start)).groupBy("age").agg(F.count("*").alias("n"), F.avg("income").alias("mean")))
 
 
-def _toolbox_impulse_sql() -> str:
+def _toolbox_impulse_sql(incomes: int = 4, shocks: int = 5, horizons: tuple[int, ...] = (1, 2)) -> str:
     cuts = lambda v, k: ", ".join(f"quantile_cont({v}, {i / k}) as c{i}" for i in range(1, k))
     group = lambda v, k: "1 + " + " + ".join(f"({v} > c{i})::int" for i in range(1, k))
     arc = lambda a, b: f"200 * ({a} - {b}) / ({a} + {b})"
-    return f"""with f as (select id, age, avg(greatest(y, 50000.0)) over (partition by id order by yr rows between 4 preceding and current row) as re, {arc("y", "lag(y) over w")} as past, {arc("lead(y, 1) over w", "y")} as g1, {arc("lead(y, 2) over w", "y")} as g2 from g window w as (partition by id order by yr)),
-s as (select *, case when age <= 34 then 1 else 2 end as age_group from f where past is not null), c as (select age_group, {cuts("re", 4)} from s group by 1), b as (select s.*, {group("re", 4)} as inc from s join c using (age_group)),
-e as (select age_group, inc, {cuts("past", 5)} from b group by 1, 2), k as (select b.*, {group("past", 5)} as chg from b join e using (age_group, inc)), u as (select age_group, inc, chg, 1 as h, g1 as g from k union all select age_group, inc, chg, 2, g2 from k)
+    leads = ", ".join(f"{arc(f'lead(y, {h}) over w', 'y')} as g{h}" for h in horizons)
+    long = " union all ".join(f"select age_group, inc, chg, {h} as h, g{h} as g from k" for h in horizons)
+    return f"""with f as (select id, age, avg(greatest(y, 50000.0)) over (partition by id order by yr rows between 4 preceding and current row) as re, {arc("y", "lag(y) over w")} as past, {leads} from g window w as (partition by id order by yr)),
+s as (select *, case when age <= 34 then 1 else 2 end as age_group from f where past is not null), c as (select age_group, {cuts("re", incomes)} from s group by 1), b as (select s.*, {group("re", incomes)} as inc from s join c using (age_group)),
+e as (select age_group, inc, {cuts("past", shocks)} from b group by 1, 2), k as (select b.*, {group("past", shocks)} as chg from b join e using (age_group, inc)), u as ({long})
 select age_group::bigint as age_group, inc::bigint as inc, chg::bigint as chg, h::bigint as h, count(g) as n, round(avg(g), 4) as response from u group by 1, 2, 3, 4"""
 
 
@@ -319,6 +321,23 @@ def m13_toolbox_impulse(spark, d):
     return rounded(pl.toolbox_impulse(_toolbox_frame(spark, d), (1, 2), FLOOR, income_groups=4, shock_groups=5), 4)
 
 
+@query(_toolbox_impulse_sql(8, 23, (1, 2, 3, 5, 10)), "aged")
+def m13_toolbox_impulse_full(spark, d):
+    """All 2 x 8 x 23 cells and five horizons."""
+    return rounded(pl.toolbox_impulse(_toolbox_frame(spark, d), (1, 2, 3, 5, 10), FLOOR), 4)
+
+
+#: First percentiles of the fifteen groups of lifetime income, and the end.
+LIFETIME_EDGES = (1, 2, 6, 11, 21, 31, 41, 51, 61, 71, 81, 91, 96, 98, 100, 101)
+
+
+@query(f"""with e as (select id, avg(greatest(y, 50000.0)) as lt, count(case when y >= 50000 then 1 end) as emp from p group by id having count(case when y >= 50000 then 1 end) >= 3), r as (select id, row_number() over (order by lt, id) - 1 as k, count(*) over () as n from e),
+b as (select id, (case {" ".join(f"when k < floor(round(n * {e - 1} / 100, 9)) then {j}" for j, e in enumerate(LIFETIME_EDGES[1:-1], 1))} else 15 end)::bigint as le_group from r) select le_group, age, count(*) as n, round(avg(greatest(y, 50000.0)), 4) as mean from g join b using (id) where age in (25, 30, 35, 40, 45, 50, 55, 60) group by 1, 2""", "aged")
+def m14_profile_full(spark, d):
+    """Fifteen groups of lifetime income by eight ages."""
+    return rounded(pl.lifecycle_profile(aged(spark, d), LIFETIME_EDGES, [25, 30, 35, 40, 45, 50, 55, 60], FLOOR, 3), 4)
+
+
 @query()
 def m24_blended_search(spark, d):
     problem = _problem()

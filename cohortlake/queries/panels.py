@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cohortlake.functions import quantiles as qu
 from cohortlake.functions.scalar import age_bin
 from cohortlake.operators import panel as pn
+from cohortlake.operators import quantile_regression as qr
 from cohortlake.operators import regression as rg
 from cohortlake.plans import pipelines as pl
 from cohortlake.queries.registry import FLOOR, aged, big, panel, query, rounded
@@ -293,14 +294,14 @@ def e03_cubic_ols(spark, d):
 
 @query()
 def e04_median_reg(spark, d):
-    g = aged(spark, d).filter("age between 25 and 60").withColumn("ly", F.round(F.ln("y"), 2)).withColumn("old", (F.col("age") > 40).cast("double"))
-    return rounded(rg.quantile_regressions(g.withColumn("all_", F.lit(1)), ["all_"], "ly", ["old"], [0.5]), 4)
+    g = aged(spark, d).filter("age between 25 and 60").withColumn("ly", F.ln("y")).withColumn("old", (F.col("age") > 40).cast("double"))
+    return rounded(qr.quantile_regressions(g.withColumn("all_", F.lit(1)), ["all_"], "ly", ["old"], [0.5]), 4)
 
 
 @query()
 def e05_quantile_reg(spark, d):
-    g = aged(spark, d).filter("age between 25 and 60").withColumn("agebin", age_bin(F.col("age"))).withColumn("ly", F.round(F.ln("y"), 2)).withColumn("t", (F.col("yr") - 1995).cast("double"))
-    return rounded(rg.quantile_regressions(g, ["agebin"], "ly", ["t"], [0.25, 0.5, 0.75]), 3)
+    g = aged(spark, d).filter("age between 25 and 60").withColumn("agebin", age_bin(F.col("age"))).withColumn("ly", F.ln("y")).withColumn("t", (F.col("yr") - 1995).cast("double"))
+    return rounded(qr.quantile_regressions(g, ["agebin"], "ly", ["t"], [0.25, 0.5, 0.75]), 3)
 
 
 @query("""with c(grp, slot, b0, b_t) as (values (0, 1, 1000.0, 10.0), (0, 2, 200000.0, 20.0), (1, 1, 3000.0, 30.0), (1, 2, 400000.0, 40.0)), s as (select id, yr, y, id % 2 as grp, (yr - 1995)::double as t, y > 250000 as top, floor(('0x' || substr(md5('imp:' || id || ':' || yr), 1, 12))::bigint / 281474976710656.0 * 2) + 1 as slot from p)
@@ -322,6 +323,17 @@ def e08_bootstrap(spark, d):
     return rg.bootstrap(panel(spark, d), 4).groupBy("rep").agg(F.count("*").alias("rows"))
 
 
+@query("""with r as (select id, age, ln(y) - avg(ln(y)) over (partition by age, yr) as v from g where age between 25 and 60), ids as (select id, row_number() over (order by id) - 1 as k, count(*) over () as n from (select distinct id from r)),
+d as (select rep, floor(('0x' || substr(md5('draw:' || rep || ':' || j), 1, 12))::bigint / 281474976710656.0 * n)::bigint as k from (select max(n) as n from ids), range(1, 11) t(rep), range(0, (select max(n) from ids)) u(j)), w as (select id, rep, count(*) as w from d join ids using (k) group by 1, 2),
+c as (select w.rep, a.age as key_a, b.age as key_b, sum(w.w) as n, sum(w.w * a.v) as sa, sum(w.w * b.v) as sb, sum(w.w * a.v * b.v) as sab from r a join r b on b.id = a.id and b.age between a.age and a.age + 3 join w on w.id = a.id group by 1, 2, 3),
+e as (select *, (sab - sa * sb / n) / (n - 1) as cov from c where n > 1)
+select key_a, key_b, count(*) as reps, round(avg(cov), 6) as mean, round(stddev_samp(cov) / sqrt(count(*)), 6) as se, round(avg(n), 4) as persons from e group by 1, 2""", "aged")
+def e08_autocov_errors(spark, d):
+    """Autocovariances of log income less its mean by age and year, ten replicates of exactly as many persons."""
+    x = pn.demeaned(aged(spark, d).filter("age between 25 and 60").withColumn("ly", F.ln("y")), "ly", ["age", "yr"], "v")
+    return rounded(rg.autocovariance_errors(x, "v", "age", 10, 3), 6, persons=4)
+
+
 @query("select id, yr from p where ('0x' || substr(md5('ten:' || id), 1, 12))::bigint / 281474976710656.0 < 0.1", "panel")
 def e09_hash_sample(spark, d):
     return rg.hash_sample(panel(spark, d), 0.1, "ten", "id").select("id", "yr")
@@ -353,3 +365,35 @@ def e13_age_growth(spark, d):
     a = aged(spark, d).filter(F.col("age").isin(25, 30, 35, 55)).groupBy("age").agg(F.avg("y").alias("m"))
     at = lambda k: F.ln(F.max(F.when(F.col("age") == k, F.col("m"))))
     return rounded(a.agg((at(55) - at(25)).alias("g25"), (at(55) - at(35)).alias("g35")))
+
+
+# --- least squares held against its own first-order conditions: residuals add up to zero over each level and power, which only the
+# least-squares fit makes them do
+
+
+@query("select 'age' as factor, age as level, count(*) as n, 0.0::double as rest from g group by 2 union all select 'yr', yr, count(*), 0.0 from g group by 2", "aged")
+def e01_normal_equations(spark, d):
+    x = aged(spark, d).select("age", "yr", F.ln("y").alias("v"))
+    coef = rg.dummy_least_squares(x, "v", "age", "yr")
+    of = lambda f: coef.filter(F.col("factor") == f).select(F.col("level").alias(f), F.col("coef").alias(f"c_{f}"))
+    rows = x.join(of("age"), "age").join(of("yr"), "yr", "left").withColumn("r", F.col("v") - F.col("c_age") - F.coalesce("c_yr", F.lit(0.0)))
+    each = [rows.groupBy(F.lit(f).alias("factor"), F.col(f).alias("level")).agg(F.count("*").alias("n"), (F.round(F.sum("r"), 4) + 0.0).alias("rest")) for f in ("age", "yr")]
+    return each[0].unionByName(each[1])
+
+
+@query("with k as (select *, id % 4 as kind from g) select yr, 'age' as factor, age as level, count(*) as n, 0.0::double as rest from k group by 1, 3 union all select yr, 'kind', kind, count(*), 0.0 from k group by 1, 3", "aged")
+def e02_normal_equations(spark, d):
+    g = aged(spark, d).withColumn("ly", F.ln("y")).withColumn("kind", F.col("id") % 4)
+    rows = rg.residuals_by_group(g, "yr", "ly", ["age", "kind"], "r")
+    each = [rows.groupBy("yr", F.lit(f).alias("factor"), F.col(f).alias("level")).agg(F.count("*").alias("n"), (F.round(F.sum("r"), 4) + 0.0).alias("rest")) for f in ("age", "kind")]
+    return each[0].unionByName(each[1])
+
+
+@query("select id % 2 as sex, power::bigint as power, count(*) as n, 0.0::double as rest from g, range(0, 4) t(power) group by 1, 2", "aged")
+def e03_normal_equations(spark, d):
+    g = aged(spark, d).withColumn("x", (F.col("age") - 40) / 10.0).withColumn("ly", F.ln("y")).withColumn("sex", F.col("id") % 2)
+    fit = rg.polynomial_by_group(g, ["sex"], "x", "ly", 3).drop("n")
+    x = F.col("x")
+    rows = g.join(fit, "sex").withColumn("r", F.col("ly") - (F.col("b0") + x * (F.col("b1") + x * (F.col("b2") + x * F.col("b3")))))
+    powers = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("power"), (F.col("r") * F.pow(x, F.lit(k))).alias("m")) for k in range(4)]))
+    return rows.select("sex", powers.alias("p")).groupBy("sex", "p.power").agg(F.count("*").alias("n"), (F.round(F.sum("p.m"), 3) + 0.0).alias("rest"))

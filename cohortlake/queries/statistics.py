@@ -258,3 +258,14 @@ def a38_yearly_index(spark, d):
     base = a.filter("yr = 1996").select(F.col("m").alias("b"))
     return rounded(a.crossJoin(F.broadcast(base)).select("yr", (F.col("m") / F.col("b")).alias("idx")), 8)
 
+
+@query(f"""with d as (select ln(b.y / a.y) as x from p a join p b on b.id = a.id and b.yr = a.yr + 1), r as (select x, row_number() over (order by x) as k, count(*) over () as n from d), s as (select stddev_samp(x) as sd, {type2(75, 'x')} - {type2(25, 'x')} as iqr, count(*) as n, min(x) as lo, max(x) as hi from r),
+h as (select *, 0.9 * least(sd, iqr / 1.349) * power(n, -0.2) as h from s), g as (select i, lo - h + i * (hi - lo + 2 * h) / 199 as x_at, h, n from h, range(0, 200) t(i)),
+f as (select x_at, sum(case when abs((x - x_at) / h) < sqrt(5.0) then 0.75 * (1 - power((x - x_at) / h, 2) / 5) / sqrt(5.0) else 0 end) / (max(n) * max(h)) as density from g, d group by x_at),
+t as (select case when x_at between -4 and -1 then 'left' when x_at between 1 and 4 then 'right' end as side, x_at, ln(density) as l from f where density > 0)
+select side, count(*) as n, round(regr_slope(l, x_at), 5) as slope, round(regr_intercept(l, x_at), 5) as intercept from t where side is not null group by side""", "panel")
+def e10_tail_fits(spark, d):
+    """Slopes of the log density of yearly log changes in both tails; the grid stays in Spark."""
+    p = panel(spark, d)
+    changes = pn.calendar_shift(p, ["y"], 1, "_next").select(F.ln(F.col("y_next") / F.col("y")).alias("g")).filter("g is not null")
+    return rounded(ds.tail_fits(ds.kernel_density(changes, "g", 200)), 5)

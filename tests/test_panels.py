@@ -1,13 +1,16 @@
 """Panel, filter, join and reshape operators on small panels with gaps, ties, missing values and edges."""
 
+import itertools
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cohortlake.operators import filters as fl
 from cohortlake.operators import joins as jn
 from cohortlake.operators import panel as pn
+from cohortlake.operators import quantile_regression as qr
 from cohortlake.operators import regression as rg
 from cohortlake.operators import reshape as rs
 
@@ -108,11 +111,62 @@ def test_regressions(spark):
     poly = rg.polynomial_by_group(df.withColumn("one", F.lit(1)), ["one"], "a", "y", 2).first()
     assert [poly.b2, poly.b1, poly.b0] == pytest.approx(np.polyfit([r[0] for r in rows], [r[2] for r in rows], 2).tolist())
     line = spark.createDataFrame([(float(i), 3.0 + 2.0 * i) for i in range(30)], "x double, y double").withColumn("one", F.lit(1))
-    q = rg.quantile_regressions(line, ["one"], "y", ["x"], [0.5]).first()
-    assert (q.b0, q.b_x) == pytest.approx((3.0, 2.0), abs=1e-4)
+    q = qr.quantile_regressions(line, ["one"], "y", ["x"], [0.5]).first()
+    assert (q.b0, q.b_x) == pytest.approx((3.0, 2.0), abs=1e-9)
     assert [r.smooth for r in rg.loess(line, ["one"], "x", "y").orderBy("x").collect()] == pytest.approx([3 + 2 * i for i in range(30)])
 
 
+def check_loss(rows, b, q):
+    r = np.array([y - b[0] - sum(c * x for c, x in zip(b[1:], xs, strict=True)) for y, *xs in rows])
+    return float(np.maximum(q * r, (q - 1) * r).sum())
+
+
+def least_loss(rows, q):
+    """Some best fit goes through as many rows as there are coefficients."""
+    p, best = len(rows[0]), math.inf
+    for own in itertools.combinations(rows, p):
+        x = np.array([[1.0, *xs] for _, *xs in own])
+        if np.linalg.matrix_rank(x) == p:
+            best = min(best, check_loss(rows, np.linalg.solve(x, np.array([y for y, *_ in own])), q))
+    return best
+
+
+@pytest.mark.parametrize("band", [4000, 12])
+def test_quantile_regressions_are_exact(spark, band):
+    """Against every fit through rows; a small band takes the way of large groups. Null keys, repeated rows, ties and missing values."""
+    rng = np.random.default_rng(8)
+    groups = {"a": [(float(y), float(x)) for x, y in zip(rng.normal(size=90), rng.standard_t(3, 90), strict=True)], None: [(float(round(2 * x + e)), float(round(x))) for x, e in rng.normal(size=(70, 2)) * 2], "one": [(5.0, 1.0)] * 3}
+    rows = [(g, y, x) for g, own in groups.items() for y, x in own] + [("a", None, 1.0), ("a", 1.0, None)]
+    df = spark.createDataFrame(rows, "g string, y double, x double").repartition(4)
+    found = qr.quantile_regressions(df, ["g"], "y", ["x"], [0.1, 0.5, 0.8], band).collect()
+    assert len(found) == 9
+    for r in found:
+        own = groups[r.g]
+        assert r.n == len(own)
+        want = least_loss(own, r.q) if r.g != "one" else 0.0
+        assert check_loss(own, (r.b0, r.b_x), r.q) == pytest.approx(want, abs=1e-7), (r.g, r.q)
+    assert qr.quantile_regressions(df.filter("false"), ["g"], "y", ["x"], [0.5], band).count() == 0
+
+
+def test_large_groups_take_few_rows_to_one_task(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6000, 2))
+    y = 1 + x @ [2.0, -1.0] + rng.standard_t(4, 6000) * (1 + 0.3 * np.abs(x[:, 0]))
+    df = spark.createDataFrame([(float(v), float(a), float(b)) for v, (a, b) in zip(y, x, strict=True)], "y double, u double, v double").repartition(5)
+    found = qr.quantile_regressions(df, [], "y", ["u", "v"], [0.25, 0.9], band=300).collect()
+    design = np.column_stack([np.ones(6000), x])
+    for r in found:
+        whole = qr.exact_fit(design, y, np.ones(6000), r.q, np.array([r.b0, r.b_u, r.b_v]), np.zeros(3))
+        assert (r.b0, r.b_u, r.b_v) == pytest.approx(whole.tolist(), abs=1e-9)
+
+
+def test_replicates_draw_exactly_n(spark):
+    df = spark.createDataFrame([(i * 7, t) for i in range(211) for t in range(2)], "id long, yr long").repartition(3)
+    weights = [r.w for r in rg.replicate_weights(df, 4).collect()]
+    assert len(weights) == 211 and [sum(w) for w in zip(*weights, strict=True)] == [211] * 4
+    assert len({tuple(w) for w in zip(*weights, strict=True)}) == 4 and 0.25 < sum(w[0] == 0 for w in weights) / 211 < 0.5
+
+
 def test_bootstrap_draws_persons_whole(spark):
     df = spark.createDataFrame([(i, t) for i in range(300) for t in range(2)], "id long, yr long")
     drawn = rg.bootstrap(df, 3).groupBy("rep", "id", "yr").count().collect()
