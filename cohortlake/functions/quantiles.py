@@ -116,11 +116,11 @@ def name_of(p: float) -> str:
 Ranks = Callable[[Column], list[Column]]
 
 
-def selected(df: DataFrame, keys: Sequence[str], value: str, ranks: Ranks, most: int = GROUP_ROWS, extra: Sequence[Column] = ()) -> DataFrame:
+def selected(df: DataFrame, keys: Sequence[str], value: str, ranks: Ranks, most: int = GROUP_ROWS, extra: Sequence[Column] = (), held: bool = False) -> DataFrame:
     """keys, _n (values of the group) and _at: the values at the ranks (functions of the group's size, from 1; null beyond the ends),
-    in their order. extra: further aggregates of the value, from the same pass."""
+    in their order. extra: further aggregates of the value, from the same pass. held: df is read from files, so it is not staged."""
     keys = list(keys)
-    rows = staged(df.select(*keys, value), "selected")
+    rows = df.select(*keys, value) if held else staged(df.select(*keys, value), "selected")
     top, _ = largest(rows, keys)
     grouped = rows.groupBy(*keys)
     v = F.col(value)
@@ -176,7 +176,7 @@ def combined(probs: Sequence[float], rule: str) -> tuple[Ranks, list[Column]]:
 def group_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float] = FIFTEEN, rule: str = "averaged", most: int = GROUP_ROWS, extra: Sequence[Column] = ()) -> DataFrame:
     """keys, percentile columns and any extra aggregates of the value."""
     ranks, values = combined(probs, rule)
-    names = [n for n in selected_names(df, keys, extra)]
+    names = selected_names(df, keys, extra)
     return selected(df, keys, value, ranks, most, extra).select(*keys, *names, *[v.alias(name_of(p)) for v, p in zip(values, probs, strict=True)])
 
 
@@ -210,16 +210,16 @@ def top_shares(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[f
     return rows.groupBy(*keys).agg(*[((s + F.when(c.isNotNull(), c * (n - F.floor(share_of(n, p)) - k)).otherwise(0.0)) / F.sum(v)).alias("top" + name_of(p)[1:]) for p, (s, k, c) in zip(probs, above, strict=True)])
 
 
-def cut_points(df: DataFrame, keys: Sequence[str], value: str, groups: int, rule: str = "averaged", most: int = GROUP_ROWS) -> DataFrame:
+def cut_points(df: DataFrame, keys: Sequence[str], value: str, groups: int, rule: str = "averaged", most: int = GROUP_ROWS, held: bool = False) -> DataFrame:
     """keys, cuts: the inner percentiles that part a value into so many groups."""
     ranks, values = combined([100 * i / groups for i in range(1, groups)], rule)
-    return selected(df, keys, value, ranks, most).select(*keys, F.array(*values).alias("cuts"))
+    return selected(df, keys, value, ranks, most, held=held).select(*keys, F.array(*values).alias("cuts"))
 
 
 def xtile(df: DataFrame, keys: Sequence[str], value: str, groups: int, name: str = "bin", rule: str = "averaged", most: int = GROUP_ROWS) -> DataFrame:
     """Quantile groups by cut point: equal values stay together. The cut table has one row per group and is planned by size."""
     rows = staged(df, "xtile")
-    joined = null_safe(rows, cut_points(rows, keys, value, groups, rule, most), keys, "left")
+    joined = null_safe(rows, cut_points(rows, keys, value, groups, rule, most, held=True), keys, "left")
     return joined.withColumn(name, F.when(F.col(value).isNotNull(), 1 + F.size(F.filter("cuts", lambda c: F.col(value) > c))).cast("long")).drop("cuts")
 
 

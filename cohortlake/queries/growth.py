@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlake.plans import growth as gr
+from cohortlake.plans import imputation as im
 from cohortlake.queries.panels import FULL_JOBS_SQL, _full_jobs
 from cohortlake.queries.registry import FLOOR, aged, query, rounded
 from cohortlake.queries.statistics import type2
@@ -131,3 +132,56 @@ def m18_stayers(spark, d):
     jobs = _full_jobs(spark, d)
     p = jobs.select("id", "yr", F.col("labor").alias("y"), (1940 + F.col("id") % 36).cast("long").alias("yob")).withColumn("age", F.col("yr") - F.col("yob") + 1)
     return _tidy(gr.stayer_statistics(p, jobs, YEARS, BASES, FLOOR, 2, "IIv2", GROUPS, POINTS))
+
+
+# --- imputation: urgent orders are self-employment income, the others wages
+
+FLOORS = {t: 30000.0 + 1000 * (t - 1992) for t in range(1992, 2003)}
+CAPS = {t: 100000.0 + 5000 * (t - 1992) for t in range(1992, 2003)}
+IMPUTED_YEARS = (1998, 1999, 2000)
+FIT_YEAR = 1999
+TRIAL_SLOTS = 4
+
+
+def _workers(spark, d):
+    o = readers.table(spark, d, "orders", ["o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority"])
+    kind = lambda urgent: F.round(F.sum(F.when((F.col("o_orderpriority") == "1-URGENT") == urgent, F.col("o_totalprice"))), 2)
+    p = o.groupBy(F.col("o_custkey").alias("id"), F.year("o_orderdate").cast("long").alias("yr")).agg(kind(False).alias("wage"), kind(True).alias("selfinc"))
+    return gr.person_arrays(p.withColumn("yob", (1940 + F.col("id") % 36).cast("long")), YEARS, ("wage", "selfinc"))
+
+
+def _trial_value(agebin: str, slot: str, j: int) -> str:
+    return f"((({agebin} * 31 + {slot} * 17 + {j} * 7) % 11) - 5) / 100.0" if j else f"11.0 + {agebin} * 0.05 + {slot} * 0.2"
+
+
+def _imputation_sql() -> str:
+    floor, cap = (lambda t: f"({30000} + 1000 * ({t} - 1992))"), (lambda t: f"({100000} + 5000 * ({t} - 1992))")
+    at = lambda v, k: f"coalesce(l{k}.{v}, 0)" if k else f"coalesce(c.{v}, 0)"
+    year = lambda k: f"(c.yr - {k})"
+    zero = lambda v, k: f"({at(v, k)} < {floor(year(k))})::int"
+    log = lambda v, k: f"case when {at(v, k)} >= {floor(year(k))} then ln({at(v, k)}) else 0 end"
+    terms = [f(v, k) for f, v, ks in ((zero, "wage", (3, 2, 1, 0)), (log, "wage", (3, 2, 1, 0))) for k in ks] + [f"({at('selfinc', k)} >= {cap(year(k))})::int" for k in (3, 2, 1)]
+    terms += [zero("selfinc", k) for k in (3, 2, 1)] + [f"least({log('selfinc', k)}, ln({cap(year(k))}))" for k in (3, 2, 1)]
+    dot = " + ".join([_trial_value("agebin", "slot", 0), *[f"({_trial_value('agebin', 'slot', j)}) * ({t})" for j, t in enumerate(terms, 1)]])
+    joins = " ".join(f"left join w l{k} on l{k}.id = c.id and l{k}.yr = c.yr - {k}" for k in (3, 2, 1))
+    return f"""with w as (select o_custkey as id, year(o_orderdate)::bigint as yr, round(sum(case when o_orderpriority <> '1-URGENT' then o_totalprice end), 2) as wage, round(sum(case when o_orderpriority = '1-URGENT' then o_totalprice end), 2) as selfinc from orders group by 1, 2),
+c as (select *, yr - (1940 + id % 36) + 1 as age, least((yr - (1940 + id % 36) + 1 - 25) // 5 + 1, 7) as agebin, floor(('0x' || substr(md5('slot:' || id), 1, 12))::bigint / 281474976710656.0 * {TRIAL_SLOTS}) as slot from w where selfinc is not null and yr between 1998 and 2000),
+x as (select c.id, c.yr, c.selfinc, {dot} as s from c {joins} where c.age between 25 and 60)
+select id, yr, round(selfinc, 2) as selfinc, round(case when selfinc > {cap("yr")} then greatest(selfinc, exp(s) * {cap("yr")} / {CAPS[FIT_YEAR]}) else selfinc end, 2) as imputed from x"""
+
+
+@query(_imputation_sql())
+def e06_year_shifted(spark, d):
+    """Shifted features, slots and scaling under coefficients that a rule gives."""
+    grid = spark.range(1, 8).select(F.col("id").alias("agebin"), F.explode(F.sequence(F.lit(0), F.lit(TRIAL_SLOTS - 1))).alias("slot"))
+    columns = ["b0", *[f"b_{n}" for n in im.names()]]
+    trial = grid.select("agebin", F.col("slot").cast("double").alias("q"), *[F.expr(f"cast({_trial_value('agebin', 'slot', j)} as double)").alias(c) for j, c in enumerate(columns)])
+    return rounded(im.imputed_incomes(_workers(spark, d), trial, YEARS[0], IMPUTED_YEARS, FIT_YEAR, FLOORS, CAPS), 2)
+
+
+@query()
+def e06_imputed_incomes(spark, d):
+    """Coefficients fitted on the data by quantile regressions of seventeen features, then applied to other years."""
+    people = _workers(spark, d)
+    coefficients = im.imputation_coefficients(people, YEARS[0], FIT_YEAR, FLOORS, CAPS, TRIAL_SLOTS)
+    return rounded(im.imputed_incomes(people, coefficients, YEARS[0], IMPUTED_YEARS, FIT_YEAR, FLOORS, CAPS), 2)
