@@ -55,6 +55,22 @@ def s03_matrix(spark, d):
     return readers.matrix(spark, _matrix_file(spark, d, "matrix"))
 
 
+@query("select count(*) as rows, 2::bigint as least, 2::bigint as most, 0::bigint as bad, 3::bigint as splits from orders")
+def s03_matrix_shape(spark, d):
+    """A matrix of all orders in one file, read in several splits: its rows, columns and cells that are no numbers."""
+    lines = readers.table(spark, d, "orders").select(F.concat_ws(" ", F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("string")).alias("value"))
+    lines.coalesce(1).write.text(path := _scratch(spark, "orders-matrix"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    size = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(-(-size // 3)))
+    try:
+        shape = readers.matrix_shape(spark, path).drop("file")
+        splits = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("b")).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return shape.withColumn("splits", F.lit(splits).cast("long"))
+
+
 @query("select (n_nationkey // 5)::bigint as a, (n_nationkey % 5)::bigint as b, j::bigint as c, (case when j = 0 then n_regionkey else n_nationkey / 4.0 end)::double as value from nation, range(2) t(j)")
 def s04_tensor(spark, d):
     return readers.tensor(readers.matrix(spark, _matrix_file(spark, d, "tensor")), (5, 5, 2), ("a", "b", "c"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cohortlake.session import staged
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -22,12 +24,29 @@ def delimited(spark: SparkSession, path: str, schema: str, sep: str = ",", heade
     return spark.read.schema(schema).option("sep", sep).option("header", header).csv(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, i (from 0), line of the lines that are not blank, in the files' order. A file is read in as many splits as Spark makes of it:
+    lines are counted within each split, and start where the splits before it end. Lines are staged, so that both steps see the same."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.trim(F.regexp_replace("value", r"\s+", " ")).alias("line"))
+    # ids count the rows of a task from its own start on, which the least id of a split takes away again
+    held = staged(lines.filter(F.length("line") > 0).withColumn("_id", F.monotonically_increasing_id()), "lines")
+    splits = held.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_lines"), F.min("_id").alias("_first"))
+    before = F.sum("_lines").over(Window.partitionBy("file").orderBy("_block")) - F.col("_lines")  # a row a split
+    places = splits.select("file", "_block", (before - F.col("_first")).alias("_shift"))
+    return held.join(places, ["file", "_block"]).select("file", (F.col("_id") + F.col("_shift")).alias("i"), "line")
+
+
 def matrix(spark: SparkSession, path: str) -> DataFrame:
-    """i, j, value (from 0) of a whitespace-separated matrix file. A file is one record, so its line order is kept; numbers may
-    lack a leading zero, the last line its end."""
-    lines = F.filter(F.split(F.col("value"), r"\r?\n"), lambda x: F.length(F.trim(x)) > 0)
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(lines).alias("i", "line"))
-    return rows.select("i", F.posexplode(F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ")).alias("j", "x")).select(F.col("i").cast("long"), F.col("j").cast("long"), F.expr("try_cast(x as double)").alias("value"))
+    """i, j, value (from 0) of a whitespace-separated matrix file of any size; numbers may lack a leading zero, the last line its end."""
+    rows = numbered_lines(spark, path)
+    return rows.select("i", F.posexplode(F.split("line", " ")).alias("j", "x")).select(F.col("i").cast("long"), F.col("j").cast("long"), F.expr("try_cast(x as double)").alias("value"))
+
+
+def matrix_shape(spark: SparkSession, path: str) -> DataFrame:
+    """file, rows, least and most columns, and cells that are no numbers, for each file: what a reader checks before it reshapes."""
+    cells = F.split("line", " ")
+    bad = F.size(F.filter(cells, lambda x: x.try_cast("double").isNull()))
+    return numbered_lines(spark, path).groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.min(F.size(cells)).cast("long").alias("least"), F.max(F.size(cells)).cast("long").alias("most"), F.sum(bad).alias("bad"))
 
 
 def tensor(cells: DataFrame, shape: Sequence[int], names: Sequence[str]) -> DataFrame:

@@ -53,3 +53,18 @@ def test_lookup_tables(spark):
     years = {r.yr: r for r in lookups.year_table(spark).collect()}
     assert len(years) == 55 and years[2010].cpi == 100.0
     assert lookups.age_table(spark).count() == 36 and lookups.survey_prices(spark).filter("yr = 2010").first().price == pytest.approx(100)
+
+
+def test_matrix_files_are_read_in_splits(spark, tmp_path):
+    lines = [f"{i}  {i * i}\t.5" if i % 7 else f"\n{i} {i * i} .5\n " for i in range(4000)]
+    (tmp_path / "big.dat").write_text("\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert spark.read.text(f"file://{tmp_path}/big.dat").rdd.getNumPartitions() > 8
+        rows = readers.matrix(spark, f"file://{tmp_path}/big.dat").filter("j = 1").orderBy("i").collect()
+        shape = readers.matrix_shape(spark, f"file://{tmp_path}/big.dat").first()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r.i, r.value) for r in rows] == [(i, float(i * i)) for i in range(4000)]
+    assert (shape.rows, shape.least, shape.most, shape.bad) == (4000, 3, 3, 0)
