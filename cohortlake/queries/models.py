@@ -127,6 +127,15 @@ def m12_toolbox_changes(spark, d):
     return rounded(pl.toolbox_changes(_toolbox_frame(spark, d)).drop("skew", "kurt"), 4)
 
 
+@query("""with a as (select id, age, yob, id % 2 as sex, 200 * (y - lag(y, 1) over w) / (y + lag(y, 1) over w) as a1, 200 * (y - lag(y, 5) over w) / (y + lag(y, 5) over w) as a5 from g window w as (partition by id order by yr)), u as (select yob, age, sex, 1 as h, a1 as arc from a union all select yob, age, sex, 5, a5 from a),
+o as (select *, avg(arc) over z as mu, count(arc) over z as n from u window z as (partition by yob, age, sex, h)), m as (select yob, age, sex, h, max(n) as n, stddev_samp(arc) as sd, avg(power(arc - mu, 2)) as m2, avg(power(arc - mu, 3)) as m3, avg(power(arc - mu, 4)) as m4 from o group by 1, 2, 3, 4)
+select yob as "COHORT", age as "AGE", sex as "SEX", h::int as h, n, round(case when n >= 3 then sd end, 4) as sd, case when n >= 3 and m2 > 0 then round(m3 / power(m2, 1.5) * sqrt(n * (n - 1.0)) / (n - 2.0), 3) + 0.0 end as skew, case when n > 3 and m2 > 0 then round(((n + 1.0) * (m4 / power(m2, 2) - 3) + 6) * (n - 1.0) / ((n - 2.0) * (n - 3.0)) + 3, 3) end as kurt from m""", "aged")
+def m12_toolbox_changes_full(spark, d):
+    """With skewness and kurtosis."""
+    out = rounded(pl.toolbox_changes(_toolbox_frame(spark, d)), 4, skew=3, kurt=3)
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c) + 0.0) for c in ("skew", "kurt")})
+
+
 @query("""with e as (select id, avg(greatest(y, 50000.0)) as lt, count(case when y >= 50000 then 1 end) as emp from p group by id having count(case when y >= 50000 then 1 end) >= 3), r as (select id, row_number() over (order by lt, id) - 1 as k, count(*) over () as n from e),
 b as (select id, (case when k < floor(n * 25 / 100) then 1 when k < floor(n * 50 / 100) then 2 when k < floor(n * 75 / 100) then 3 else 4 end)::bigint as le_group from r) select le_group, age, count(*) as n, round(avg(greatest(y, 50000.0)), 4) as mean from g join b using (id) where age in (25, 30, 35, 40, 45, 50, 55, 60) group by 1, 2""", "aged")
 def m14_profile(spark, d):

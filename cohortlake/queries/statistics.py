@@ -269,3 +269,10 @@ def e10_tail_fits(spark, d):
     p = panel(spark, d)
     changes = pn.calendar_shift(p, ["y"], 1, "_next").select(F.ln(F.col("y_next") / F.col("y")).alias("g")).filter("g is not null")
     return rounded(ds.tail_fits(ds.kernel_density(changes, "g", 200)), 5)
+
+
+@query("""with x as (select yr, y from p union all select null, y from p), o as (select *, avg(y) over (partition by yr) as mu from x)
+select yr, count(*) as n, round(avg(y), 4) as mean, round(stddev_samp(y), 4) as sd, round(avg(power(y - mu, 3)) / power(avg(power(y - mu, 2)), 1.5), 5) as skew, round(avg(power(y - mu, 4)) / power(avg(power(y - mu, 2)), 2), 5) as kurt, min(y) as min, max(y) as max from o group by yr""", "panel")
+def a06_total_row_full(spark, d):
+    """All statistics of the groups and of the grand total."""
+    return rounded(mo.group_stats(panel(spark, d), ["yr"], "y", total=True), 4, skew=5, kurt=5)
