@@ -155,7 +155,8 @@ def _shape(x: np.ndarray, excess: bool) -> tuple[float, float, float]:
     if n < 2:
         return 0.0, 0.0, 0.0
     d = x - x.mean()
-    m2, m3, m4 = (d**2).mean(), (d**3).mean(), (d**4).mean()
+    square = d * d
+    m2, m3, m4 = square.mean(), (square @ d) / n, (square @ square) / n
     if m2 == 0:
         return 0.0, 0.0, 0.0 if excess else 3.0
     skew = m3 / m2**1.5 * np.sqrt(n * (n - 1)) / (n - 2) if n > 2 else 0.0
@@ -163,62 +164,80 @@ def _shape(x: np.ndarray, excess: bool) -> tuple[float, float, float]:
     return float(np.sqrt(m2 * n / (n - 1))), float(skew), float(kurt) + (0 if excess else 3)
 
 
+def _shapes(order: np.ndarray, bounds: list[tuple[int, int]], changes: Sequence[np.ndarray], excess: bool) -> np.ndarray:
+    """Shapes of each change in each bin of the order."""
+    return np.array([[_shape(g[order[a:b]], excess) if b > a else (0.0, 0.0, 0.0) for a, b in bounds] for g in changes])
+
+
+def _order(values: np.ndarray) -> np.ndarray:
+    """Places of the values of a (steps, persons) block in ascending order without the missing ones; equal values by person and step."""
+    flat = values.ravel()
+    n = len(flat) - int(np.isnan(flat).sum())
+    order = np.argsort(flat)[:n]
+    found = flat[order]
+    if (found[1:] == found[:-1]).any():
+        order = np.argsort(values.T.ravel(), kind="stable")[:n]
+        order = order % values.shape[0] * values.shape[1] + order // values.shape[0]
+    return order
+
+
 def moment_vector(y: np.ndarray, excess: bool = True, shared: bool = False) -> dict[str, np.ndarray]:
-    """Tensors by group of an (n, steps) panel."""
+    """Tensors by group of an (n, steps) panel. Steps are rows inside, so that each is contiguous."""
     n, steps = y.shape
-    high = y >= FLOOR
-    logs = np.where(high, np.log(np.where(high, y, 1.0)), np.nan)
-    count = high.sum(axis=0)
-    with np.errstate(all="ignore"):
-        mean = np.where(count >= 2, np.nansum(logs, axis=0) / np.maximum(count, 1), 0.0)
-        variance = np.where(count >= 2, np.nansum((logs - mean) ** 2, axis=0) / np.maximum(count - 1, 1), 0.0)
+    z = np.ascontiguousarray(y.T)
+    high = z >= FLOOR
+    logs = np.log(z, where=high, out=np.zeros_like(z))
+    count = high.sum(axis=1)
+    few = count < 2
+    mean = np.where(few, 0.0, logs.sum(axis=1) / np.maximum(count, 1))
+    spread = np.where(high, logs - mean[:, None], 0.0)
+    variance = np.where(few, 0.0, np.einsum("ij,ij->i", spread, spread) / np.maximum(count - 1, 1))
     dummy = np.exp(mean)
-    floored = np.maximum(y, FLOOR)
+    floored = np.maximum(z, FLOOR)
+    normal = z / dummy[:, None]
     last = min(LAST, steps - 1)
     hs = range(FIRST, last + 1)
     recent = np.full((len(hs), n), np.nan)
     changes = np.full((8, len(hs), n), np.nan)
-    for r, h in enumerate(hs):
-        window = slice(max(0, h - 4), h + 1)
-        ok = high[:, h] & (high[:, window].sum(axis=1) >= LEAST_RECENT)
-        recent[r] = np.where(ok, floored[:, window].mean(axis=1) / dummy[window].mean(), np.nan)
-        for c, (b, f) in enumerate(PAIRS):
-            if h + f < steps:
-                base, future = y[:, h + b] / dummy[h + b], y[:, h + f] / dummy[h + f]
-                with np.errstate(all="ignore"):
-                    g = np.where(high[:, h + b] | high[:, h + f], 2 * (future - base) / (future + base), np.nan)
-                changes[c, r] = g - np.nanmean(g) if c >= 2 and not np.isnan(g).all() else g
+    with np.errstate(all="ignore"):
+        for r, h in enumerate(hs):
+            window = slice(max(0, h - 4), h + 1)
+            ok = high[h] & (high[window].sum(axis=0) >= LEAST_RECENT)
+            np.copyto(recent[r], floored[window].sum(axis=0) / (dummy[window].mean() * (h + 1 - window.start)), where=ok)
+            for c, (b, f) in enumerate(PAIRS):
+                if h + f < steps:
+                    own = high[h + b] | high[h + f]
+                    g = 2 * (normal[h + f] - normal[h + b]) / (normal[h + f] + normal[h + b])
+                    if c >= 2:
+                        g -= np.sum(g, where=own) / max(1, np.count_nonzero(own))
+                    np.copyto(changes[c, r], g, where=own)
     out = {"ssk_l1": np.zeros((3, 13, 3)), "ssk_l5": np.zeros((3, 13, 3)), "ir": np.zeros((2, 8, 10, 6)), "incgrowth": np.zeros((15, 8)), "var_lny": variance}
-    persons = np.arange(n)
     for s, (a, b) in enumerate(SUB_BINS):
         own = slice(a - FIRST, min(b, last) + 1 - FIRST)
-        re, g1, g5 = recent[own].ravel(), changes[0, own].ravel(), changes[1, own].ravel()
-        order = np.lexsort((np.repeat(np.arange(a, min(b, last) + 1), n), np.tile(persons, min(b, last) + 1 - a), re))[: int((~np.isnan(re)).sum())]
-        for j, (low, top) in enumerate(_bounds(len(order), RECENT_EDGES, shared)):
-            if top > low:
-                out["ssk_l1"][s // 2, j] += np.array(_shape(g1[order[low:top]], excess)) / 2
-                out["ssk_l5"][s // 2, j] += np.array(_shape(g5[order[low:top]], excess)) / 2
+        order = _order(recent[own])
+        found = _shapes(order, _bounds(len(order), RECENT_EDGES, shared), [changes[c, own].ravel() for c in (0, 1)], excess) / 2
+        out["ssk_l1"][s // 2] += found[0]
+        out["ssk_l5"][s // 2] += found[1]
     for i, (a, b) in enumerate(IMPULSE_AGES):
-        b = min(b, last)
-        own = slice(a - FIRST, b + 1 - FIRST)
-        re, ir = recent[own].ravel(), changes[2:, own].reshape(6, -1)
-        steps_of, ids = np.repeat(np.arange(a, b + 1), n), np.tile(persons, b + 1 - a)
-        order = np.lexsort((steps_of, ids, re))[: int((~np.isnan(re)).sum())]
+        own = slice(a - FIRST, min(b, last) + 1 - FIRST)
+        ir, order = changes[2:, own].reshape(6, -1), _order(recent[own])
         for j, (low, top) in enumerate(_bounds(len(order), IMPULSE_INCOME_EDGES, shared)):
             rows = order[low:top]
             rows = rows[~np.isnan(ir[0, rows])]
-            rows = rows[np.lexsort((steps_of[rows], ids[rows], re[rows], ir[0, rows]))]
-            for k, (x, z) in enumerate(_bounds(len(rows), IMPULSE_SHOCK_EDGES, shared)):
-                if z > x:
-                    part = ir[:, rows[x:z]]
-                    seen = ~np.isnan(part)
-                    out["ir"][i, j, k] = np.where(seen.any(axis=1), np.where(seen, part, 0).sum(axis=1) / np.maximum(1, seen.sum(axis=1)), 0)
-    employed = high.sum(axis=1)
-    life = np.where(employed >= LEAST_EMPLOYED, floored.mean(axis=1), np.nan)
-    order = np.lexsort((persons, life))[: int((~np.isnan(life)).sum())]
+            # rows are in the order of recent income, person and step already
+            part = ir[:, rows[np.argsort(ir[0, rows], kind="stable")]]
+            seen = ~np.isnan(part)
+            part = np.where(seen, part, 0.0)
+            for k, (x, w) in enumerate(_bounds(len(rows), IMPULSE_SHOCK_EDGES, shared)):
+                if w > x:
+                    out["ir"][i, j, k] = part[:, x:w].sum(axis=1) / np.maximum(1, seen[:, x:w].sum(axis=1))
+    employed = high.sum(axis=0)
+    life = np.where(employed >= LEAST_EMPLOYED, floored.mean(axis=0), np.nan)
+    order = np.argsort(life, kind="stable")[: int((~np.isnan(life)).sum())]
+    ages = floored[0 : min(40, steps) : 5][:8]
     for j, (low, top) in enumerate(_bounds(len(order), LIFETIME_EDGES, shared)):
         if top > low:
-            out["incgrowth"][j] = floored[order[low:top]][:, 0 : min(40, steps) : 5].mean(axis=0)[:8]
+            out["incgrowth"][j] = ages[:, order[low:top]].mean(axis=1)
     cdf = 100 * np.searchsorted(np.sort(employed), np.arange(steps + 1), side="right") / n
     cdf[-1] = 100.0
     return out | {"emp_cdf": cdf}
