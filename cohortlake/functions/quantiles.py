@@ -77,12 +77,16 @@ def at(rank: Column, value: Column) -> Column:
     return F.max(F.when(F.col("_k") == rank, value))
 
 
-def share_of(n: Column, p: float) -> Column:
+def number(p: float | Column) -> Column:
+    return p if isinstance(p, Column) else F.lit(float(p))
+
+
+def share_of(n: Column, p: float | Column) -> Column:
     """n p / 100, cut to nine digits so that a whole product stays whole."""
-    return F.round(n * F.lit(float(p)) / 100, 9)
+    return F.round(n * number(p) / 100, 9)
 
 
-def weighted_ranks(n: Column, p: float, rule: str) -> list[tuple[Column, Column]]:
+def weighted_ranks(n: Column, p: float | Column, rule: str) -> list[tuple[Column, Column]]:
     """One or two (rank, weight) whose weighted values are the percentile."""
     one, place = F.lit(1.0), share_of(n, p)
     if rule == "averaged":
@@ -93,7 +97,7 @@ def weighted_ranks(n: Column, p: float, rule: str) -> list[tuple[Column, Column]
         return [(F.least(n, F.floor(place) + 1), one)]
     if rule == "inverted":
         return [(F.greatest(F.ceil(place), F.lit(1)), one)]
-    h = F.round((n - 1) * F.lit(float(p)) / 100, 9) + 1 if rule == "linear" else F.least(F.greatest(F.round((n + 1) * F.lit(float(p)) / 100, 9), one), n.cast("double"))
+    h = share_of(n - 1, p) + 1 if rule == "linear" else F.least(F.greatest(share_of(n + 1, p), one), n.cast("double"))
     return [(F.floor(h), 1 - (h - F.floor(h))), (F.least(F.floor(h) + 1, n), h - F.floor(h))]
 
 
@@ -113,21 +117,22 @@ def name_of(p: float) -> str:
     return "p" + f"{p:g}".replace(".", "_")
 
 
-Ranks = Callable[[Column], list[Column]]
+#: The wanted ranks, an array, as a function of the group's size.
+Ranks = Callable[[Column], Column]
 
 
 def selected(df: DataFrame, keys: Sequence[str], value: str, ranks: Ranks, most: int = GROUP_ROWS, extra: Sequence[Column] = (), held: bool = False) -> DataFrame:
-    """keys, _n (values of the group) and _at: the values at the ranks (functions of the group's size, from 1; null beyond the ends),
-    in their order. extra: further aggregates of the value, from the same pass. held: df is read from files, so it is not staged."""
+    """keys, _n (values of the group) and _at: the values at the ranks (from 1; null beyond the ends), in their order. extra: further aggregates of the value, from the same pass. held: df is read from files, so it is not staged."""
     keys = list(keys)
     rows = df.select(*keys, value) if held else staged(df.select(*keys, value), "selected")
     top, _ = largest(rows, keys)
     grouped = rows.groupBy(*keys)
     v = F.col(value)
-    pick = lambda r: F.when((r >= 1) & (r <= F.col("_n")), F.get("_sorted", (r - 1).cast("int")))
+    wanted = ranks(F.col("_n")).cast("array<bigint>")
     if top <= most:
         held = grouped.agg(F.sort_array(F.collect_list(value)).alias("_sorted"), *extra).withColumn("_n", F.size("_sorted").cast("long"))
-        return held.withColumn("_at", F.array(*map(pick, ranks(F.col("_n"))))).drop("_sorted")
+        # a rank before the first has no place, and neither has one beyond the last
+        return held.withColumn("_at", F.transform(wanted, lambda r: F.get("_sorted", (r - 1).cast("int")))).drop("_sorted")
     buckets = int(min(BUCKETS, max(2, top // min(BUCKET_ROWS, most))))
     cut_at = [i / buckets for i in range(1, buckets)]
     summary = grouped.agg(F.count(value).alias("_n"), F.percentile_approx(value, cut_at, 10 * buckets).alias("_cuts"), *extra)
@@ -141,57 +146,61 @@ def selected(df: DataFrame, keys: Sequence[str], value: str, ranks: Ranks, most:
     sizes = placed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     sizes = sizes.withColumn("_before", F.sum("_size").over(over.orderBy("_bucket")) - F.col("_size"))
-    asked = summary.select(*keys, F.posexplode(F.array(*[r.cast("long") for r in ranks(F.col("_n"))])).alias("_place", "_rank"))
-    wanted = null_safe(asked, sizes, keys).filter((F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_before") + F.col("_size")))
-    needed = wanted.select(*keys, "_bucket").distinct()
+    asked = summary.select(*keys, F.posexplode(wanted).alias("_place", "_rank"))
+    spots = null_safe(asked, sizes, keys).filter((F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_before") + F.col("_size")))
+    needed = spots.select(*keys, "_bucket").distinct()
     counted = null_safe(placed, needed, [*keys, "_bucket"]).groupBy(*keys, "_bucket", "_v").agg(F.count(F.lit(1)).alias("_times"))
     values = counted.groupBy(*keys, "_bucket").agg(F.sort_array(F.collect_list(F.struct("_v", "_times"))).alias("_values"))
-    found = null_safe(wanted, values, [*keys, "_bucket"])
+    found = null_safe(spots, values, [*keys, "_bucket"])
     start = F.struct((F.col("_rank") - F.col("_before")).alias("left"), F.lit(None).cast(df.schema[value].dataType).alias("hit"))
     walk = F.aggregate("_values", start, lambda s, x: F.struct((s["left"] - x["_times"]).alias("left"), F.when((s["left"] > 0) & (s["left"] <= x["_times"]), x["_v"]).otherwise(s["hit"]).alias("hit")))
     hits = found.select(*keys, "_place", walk["hit"].alias("_hit")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_place", "_hit"))).alias("_hits"))
     joined = null_safe(summary.drop("_cuts"), hits, keys, "left")
-    return joined.withColumn("_at", F.array(*[F.get(F.array(F.col("_hits")[F.lit(i)]), F.lit(0)) for i in range(len(ranks(F.col("_n"))))])).drop("_hits")
-
-
-def combined(probs: Sequence[float], rule: str) -> tuple[Ranks, list[Column]]:
-    """The ranks that percentiles need, and the percentiles as expressions of _n and _at."""
-    spots = [weighted_ranks(F.col("_n"), p, rule) for p in probs]
-    firsts, total = [], 0
-    for s in spots:
-        firsts.append(total)
-        total += len(s)
-    values = []
-    for first, s in zip(firsts, spots, strict=True):
-        x = [F.get("_at", F.lit(first + j)) for j in range(len(s))]
+    return joined.withColumn("_at", F.transform(wanted, lambda _, i: F.col("_hits")[i])).drop("_hits")
+
+
+def all_of(probs: Sequence[float], f: Callable[..., Column]) -> Column:
+    """An array of f(p), or f(p, place), over the probabilities: one small expression however many they are."""
+    return F.transform(F.lit([float(p) for p in probs]), f)
+
+
+def combined(probs: Sequence[float], rule: str) -> tuple[Ranks, Column]:
+    """The ranks that percentiles need, and the array of percentiles as an expression of _n and _at."""
+    width = len(weighted_ranks(F.lit(1), 50, rule))
+
+    def value(p: Column, i: Column) -> Column:
+        spots = weighted_ranks(F.col("_n"), p, rule)
+        x = [F.get("_at", i * width + j) for j in range(width)]
         if rule == "averaged":
-            values.append(F.when(s[0][0] == s[1][0], x[0]).otherwise((x[0] + x[1]) / 2))
-        elif len(s) == 1:
-            values.append(x[0])
-        else:
-            values.append(F.when(s[1][1] > 0, x[0] * s[0][1] + x[1] * s[1][1]).otherwise(x[0] * s[0][1]))
-    return lambda n: [r for p in probs for r, _ in weighted_ranks(n, p, rule)], values
+            return F.when(spots[0][0] == spots[1][0], x[0]).otherwise((x[0] + x[1]) / 2)
+        if width == 1:
+            return x[0]
+        return F.when(spots[1][1] > 0, x[0] * spots[0][1] + x[1] * spots[1][1]).otherwise(x[0] * spots[0][1])
+
+    return lambda n: F.flatten(all_of(probs, lambda p: F.array(*[r.cast("bigint") for r, _ in weighted_ranks(n, p, rule)]))), all_of(probs, value)
 
 
 def group_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float] = FIFTEEN, rule: str = "averaged", most: int = GROUP_ROWS, extra: Sequence[Column] = ()) -> DataFrame:
-    """keys, percentile columns and any extra aggregates of the value."""
+    """keys, any extra aggregates of the value, and percentile columns."""
     ranks, values = combined(probs, rule)
     names = selected_names(df, keys, extra)
-    return selected(df, keys, value, ranks, most, extra).select(*keys, *names, *[v.alias(name_of(p)) for v, p in zip(values, probs, strict=True)])
+    rows = selected(df, keys, value, ranks, most, extra).select(*keys, *names, values.alias("_values"))
+    return rows.select(*keys, *names, *[F.get("_values", F.lit(i)).alias(name_of(p)) for i, p in enumerate(probs)])
 
 
 def selected_names(df: DataFrame, keys: Sequence[str], extra: Sequence[Column]) -> list[str]:
     return df.groupBy(*keys).agg(F.lit(0).alias("_"), *extra).columns[len(keys) + 1 :] if extra else []
 
 
-def floor_rank(n: Column, p: float) -> Column:
+def floor_rank(n: Column, p: float | Column) -> Column:
     return F.least(n, F.floor(share_of(n, p)) + 1)
 
 
 def smoothed_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], reach: int = 5, most: int = GROUP_ROWS) -> DataFrame:
     """Means of the order statistics within `reach` places of the floor-rule rank."""
     width = 2 * reach + 1
-    rows = selected(df, keys, value, lambda n: [floor_rank(n, p) + d for p in probs for d in range(-reach, reach + 1)], most)
+    around = F.sequence(F.lit(-reach), F.lit(reach))
+    rows = selected(df, keys, value, lambda n: F.flatten(all_of(probs, lambda p: F.transform(around, lambda d: floor_rank(n, p) + d))), most)
     mean = lambda i: F.slice("_at", i * width + 1, width)
     held = lambda i: F.filter(mean(i), lambda x: x.isNotNull())
     total = lambda i: F.aggregate(held(i), F.lit(0.0), lambda s, x: s + x)
@@ -200,7 +209,7 @@ def smoothed_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs:
 
 def top_shares(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], most: int = GROUP_ROWS) -> DataFrame:
     """The share of the total from each percentile's rank on. Rows equal to the value at that rank count as far as they reach it."""
-    found = selected(df, keys, value, lambda n: [F.floor(share_of(n, p)) + 1 for p in probs], most, [F.sum(value).alias("_total")]).drop("_total")
+    found = selected(df, keys, value, lambda n: all_of(probs, lambda p: F.floor(share_of(n, p)) + 1), most, [F.sum(value).alias("_total")]).drop("_total")
     v = F.col(value)
     rows = null_safe(df.select(*keys, value).filter(v.isNotNull()), found.withColumnRenamed("_at", "_cuts"), keys)
     cut = lambda i: F.get("_cuts", F.lit(i))
@@ -213,7 +222,7 @@ def top_shares(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[f
 def cut_points(df: DataFrame, keys: Sequence[str], value: str, groups: int, rule: str = "averaged", most: int = GROUP_ROWS, held: bool = False) -> DataFrame:
     """keys, cuts: the inner percentiles that part a value into so many groups."""
     ranks, values = combined([100 * i / groups for i in range(1, groups)], rule)
-    return selected(df, keys, value, ranks, most, held=held).select(*keys, F.array(*values).alias("cuts"))
+    return selected(df, keys, value, ranks, most, held=held).select(*keys, values.alias("cuts"))
 
 
 def xtile(df: DataFrame, keys: Sequence[str], value: str, groups: int, name: str = "bin", rule: str = "averaged", most: int = GROUP_ROWS) -> DataFrame:

@@ -15,7 +15,7 @@ def histogram(df: DataFrame, value: str, bins: int, cutoff: float = 0.01) -> Dat
     order statistics are selected; the counting is one aggregate."""
     rows = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
     rank = lambda n, p: F.floor(F.round(n * p / 100, 9)) + 1
-    ends = selected(rows, [], "v", lambda n: [rank(n, cutoff), rank(n, 100 - cutoff)]).select(F.get("_at", F.lit(0)).alias("lo"), F.get("_at", F.lit(1)).alias("hi"), F.col("_n").alias("total"))
+    ends = selected(rows, [], "v", lambda n: F.array(rank(n, cutoff), rank(n, 100 - cutoff))).select(F.get("_at", F.lit(0)).alias("lo"), F.get("_at", F.lit(1)).alias("hi"), F.col("_n").alias("total"))
     v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
     inner = F.least(F.greatest(1 + F.ceil(F.round((v - lo) / ((hi - lo) / (bins - 1)), 9)), F.lit(2)), F.lit(bins))
     placed = rows.crossJoin(F.broadcast(ends)).withColumn("bin", F.when(v <= lo, 1).when(v > hi, bins + 1).otherwise(inner).cast("bigint"))
