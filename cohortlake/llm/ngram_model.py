@@ -27,6 +27,7 @@ An empty table gives no rows. Columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -42,7 +43,7 @@ from cohortlake.llm.elias_fano import Ranges, Sequence, from_buffer, named, pack
 
 BLOCK = 4 << 20
 #: Tokens of all texts for each shard; at least one shard for each shuffle partition.
-SHARD_TOKENS = 1_000_000
+SHARD_TOKENS = 500_000
 CLASS_TOKENS = 1 << 20
 DISCOUNT = 0.75
 STEP = 0.05
@@ -58,6 +59,14 @@ SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, trai
 BASE, ENTRIES, SUMS, TRIE = 0, 1, 2, 3
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Workers are reused, and what one stage has freed would otherwise stay theirs in the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def record(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     fields = [x.split() for x in schema.split(", ")]
@@ -91,6 +100,8 @@ def text_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = b"\n".join(coded.dictionary.to_pylist())
             yield record(BLOCK_SCHEMA, [(number, [ids[i] for i in order], sum(training[a:b]), int(sizes.sum()) + len(split), pack(sizes, places), pack(np.frombuffer(words, np.uint8)))])
             number += 1
+            del split, coded, places, words
+        give_back()
 
 
 def words_of(blob: bytes) -> list[bytes]:
@@ -141,6 +152,8 @@ def number_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.
             at += len(words)
             yield record(NUMBER_SCHEMA, [(block, shard, pack(numbers[own], totals[own]), known, tokens)])
             known = tokens = 0
+    del asked
+    give_back()
 
 
 def unigram(counts: np.ndarray, total: int, known: int) -> np.ndarray:
@@ -354,6 +367,8 @@ def shard_scores(batches: Iterator[pa.RecordBatch], keep_tries: bool) -> Iterato
     if keep_tries:
         yield record(ROUTED_SCHEMA, [(None, shard, TRIE, None, None, trie)])
     found = Trie(memoryview(trie)).steps(entries)[entries.trigram]
+    del trie
+    give_back()
     at = doc_at = 0
     for (block, *_), size in zip(asked, entries.sizes, strict=True):
         occurrences = entries.occurrences[at : at + size]
@@ -362,6 +377,8 @@ def shard_scores(batches: Iterator[pa.RecordBatch], keep_tries: bool) -> Iterato
         docs = np.flatnonzero(sums)
         at, doc_at = at + size, doc_at + total
         yield record(ROUTED_SCHEMA, [(block, None, SUMS, None, None, pack(docs, sums[docs]))])
+    del entries, found, asked
+    give_back()
 
 
 def block_scores(table: pa.Table, train_tokens: int) -> pa.Table:
@@ -393,7 +410,9 @@ def routed(docs: DataFrame, training: Column, keep_tries: bool, class_tokens: in
 
     def route(left: pa.Table, right: pa.Table) -> pa.Table:
         answers = right.to_pylist()
-        return pa.Table.from_batches([record(ROUTED_SCHEMA, route_block(row, answers, shards, totals)) for row in left.to_pylist()])
+        out = pa.Table.from_batches([record(ROUTED_SCHEMA, route_block(row, answers, shards, totals)) for row in left.to_pylist()])
+        give_back()
+        return out
 
     sent = made.groupBy("block").cogroup(numbers.select("block", "shard", "numbers").groupBy("block")).applyInArrow(route, ROUTED_SCHEMA)
     return sent.repartitionById(shards, F.col("shard")).mapInArrow(lambda x: shard_scores(x, keep_tries), ROUTED_SCHEMA), totals["tokens"]
