@@ -17,18 +17,19 @@ POINTS = (10, 50, 90)
 GROUPS = 5
 
 
-def _tidy(df):
+def tidy(df):
+    """Rounded, without negative zeros."""
     out = rounded(df, 6, skew=3, kurt=3)
-    return out.withColumn("skew", F.col("skew") + 0.0)  # no negative zero
+    return out.select(*[(F.col(c) + 0.0).alias(c) if k == "double" else c for c, k in out.dtypes])
 
 
 def described_sql(source: str, keys: str, measures: str) -> str:
     """The statistics of a table x (keys, measure, g)."""
     over = f"partition by {keys}, measure"
-    points = ", ".join(f"round({type2(p, 'g')}, 6) as p{p}" for p in POINTS)
+    points = ", ".join(f"round({type2(p, 'g')}, 6) + 0.0 as p{p}" for p in POINTS)
     return f"""{source}, o as (select *, row_number() over ({over} order by g) as k, count(*) over ({over}) as n, avg(g) over ({over}) as mu from x)
-select {keys}, measure, count(*) as n, round(avg(g), 6) as mean, round(stddev_samp(g), 6) as sd, case when max(g) > min(g) then round(avg(power(g - mu, 3)) / power(avg(power(g - mu, 2)), 1.5), 3) + 0.0 end as skew,
-case when max(g) > min(g) then round(avg(power(g - mu, 4)) / power(avg(power(g - mu, 2)), 2), 3) end as kurt, round(min(g), 6) as min, round(max(g), 6) as max, {points} from o group by {keys}, measure"""
+select {keys}, measure, count(*) as n, round(avg(g), 6) + 0.0 as mean, round(stddev_samp(g), 6) as sd, case when max(g) > min(g) then round(avg(power(g - mu, 3)) / power(avg(power(g - mu, 2)), 1.5), 3) + 0.0 end as skew,
+case when max(g) > min(g) then round(avg(power(g - mu, 4)) / power(avg(power(g - mu, 2)), 2), 3) end as kurt, round(min(g), 6) + 0.0 as min, round(max(g), 6) + 0.0 as max, {points} from o group by {keys}, measure"""
 
 
 def unpivoted(table: str, keys: list[str], measures: list[str], totals: bool = True) -> str:
@@ -75,7 +76,7 @@ GROWTH_SQL = _growth_sql()
 @query(GROWTH_SQL, "aged")
 def m18_growth(spark, d):
     """Log and arc changes and coming averages by age group and recent income, with age-group and year totals."""
-    return _tidy(growth(spark, d))
+    return tidy(growth(spark, d))
 
 
 TOTAL_SQL = """p as (select o_custkey as id, year(o_orderdate)::bigint as yr, round(sum(case when o_orderpriority <> '1-URGENT' then o_totalprice end), 2) as y, round(sum(o_totalprice), 2) as total from orders group by 1, 2),
@@ -96,14 +97,14 @@ def m18_total_income(spark, d):
     labour = F.round(F.sum(F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_totalprice"))), 2)
     p = o.groupBy(F.col("o_custkey").alias("id"), F.year("o_orderdate").cast("long").alias("yr")).agg(labour.alias("y"), F.round(F.sum("o_totalprice"), 2).alias("total"))
     p = p.withColumn("yob", (1940 + F.col("id") % 36).cast("long"))
-    return _tidy(gr.total_income_statistics(p, YEARS, BASES, FLOOR, 2, (1, 2), GROUPS, POINTS))
+    return tidy(gr.total_income_statistics(p, YEARS, BASES, FLOOR, 2, (1, 2), GROUPS, POINTS))
 
 
 @query(described_sql(f"""with e as (select distinct id, yob from g), s as (select e.id, t.base, t.base - e.yob as age, a.y as y0, b.y as y1, c.y as y2 from e cross join (values (1997), (1998), (1999)) t(base)
   left join g a on a.id = e.id and a.yr = t.base left join g b on b.id = e.id and b.yr = t.base + 1 left join g c on c.id = e.id and c.yr = t.base + 2 where t.base - e.yob between 25 and 58),
 m as (select base, age, avg(y0) as m0, avg(y1) as m1, avg(y2) as m2, avg(ln(y1 / y0)) as c1, avg(ln(y2 / y0)) as c2 from s group by 1, 2), z as (select base::bigint as base, age, {change_sql(1)}, {change_sql(2)} from s join m using (base, age)), {unpivoted('z', ['base', 'age'], ['log1', 'arc1', 'log2', 'arc2'])}""", "base, age", ""), "aged")
 def m18_by_age(spark, d):
-    return _tidy(gr.growth_by_age(aged(spark, d), YEARS, BASES, FLOOR, (1, 2), POINTS))
+    return tidy(gr.growth_by_age(aged(spark, d), YEARS, BASES, FLOOR, (1, 2), POINTS))
 
 
 @query("""with w as (select *, count(case when y >= 50000 then 1 end) over (partition by id order by yr range between 4 preceding and current row) as before, count(case when y >= 50000 then 1 end) over (partition by id order by yr range between current row and 2 following) as ahead from g)
@@ -131,7 +132,7 @@ def m18_stayers(spark, d):
     """Labour income and employers from the line items, the last of four suppliers' groups being self-employment."""
     jobs = _full_jobs(spark, d)
     p = jobs.select("id", "yr", F.col("labor").alias("y"), (1940 + F.col("id") % 36).cast("long").alias("yob")).withColumn("age", F.col("yr") - F.col("yob") + 1)
-    return _tidy(gr.stayer_statistics(p, jobs, YEARS, BASES, FLOOR, 2, "IIv2", GROUPS, POINTS))
+    return tidy(gr.stayer_statistics(p, jobs, YEARS, BASES, FLOOR, 2, "IIv2", GROUPS, POINTS))
 
 
 # --- imputation: urgent orders are self-employment income, the others wages

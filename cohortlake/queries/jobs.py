@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from cohortlake.queries.growth import GROWTH_SQL
+from cohortlake.queries.growth import GROWTH_SQL, tidy
 from cohortlake.queries.registry import query, rounded
 from cohortlake.queries.statistics import type2
 from jobs import growth_report, text_profile
@@ -27,8 +27,7 @@ def job1_growth_report(spark, d):
     """The yearly growth report, run over all base years and then again."""
     target, config = _folder(spark, "growth-report"), growth_report.settings()
     growth_report.run(spark, d, target, config)
-    out = rounded(growth_report.run(spark, d, target, config), 6, skew=3, kurt=3)
-    return out.withColumn("skew", F.col("skew") + 0.0)  # no negative zero
+    return tidy(growth_report.run(spark, d, target, config))
 
 
 def _profile_sql() -> str:

@@ -314,14 +314,17 @@ def m04_cohorts(spark, d):
 
 
 def _toolbox_impulse_sql(incomes: int = 4, shocks: int = 5, horizons: tuple[int, ...] = (1, 2)) -> str:
-    cuts = lambda v, k: ", ".join(f"quantile_cont({v}, {i / k}) as c{i}" for i in range(1, k))
+    place = lambda p: f"(round((n - 1) * {p} / 100, 9) + 1)"
+    between = lambda v, p: f"sum(case when k = floor({place(p)}) then {v} * (1 - ({place(p)} - floor({place(p)}))) when k = floor({place(p)}) + 1 then {v} * ({place(p)} - floor({place(p)})) end)"
+    cuts = lambda v, k: ", ".join(f"{between(v, 100 * i / k)} as c{i}" for i in range(1, k))
+    ranked = lambda t, v, by: f"(select *, row_number() over (partition by {by} order by {v}) as k, count({v}) over (partition by {by}) as n from {t} where {v} is not null)"
     group = lambda v, k: "1 + " + " + ".join(f"({v} > c{i})::int" for i in range(1, k))
     arc = lambda a, b: f"200 * ({a} - {b}) / ({a} + {b})"
     leads = ", ".join(f"{arc(f'lead(y, {h}) over w', 'y')} as g{h}" for h in horizons)
     long = " union all ".join(f"select age_group, inc, chg, {h} as h, g{h} as g from k" for h in horizons)
     return f"""with f as (select id, age, avg(greatest(y, 50000.0)) over (partition by id order by yr rows between 4 preceding and current row) as re, {arc("y", "lag(y) over w")} as past, {leads} from g window w as (partition by id order by yr)),
-s as (select *, case when age <= 34 then 1 else 2 end as age_group from f where past is not null), c as (select age_group, {cuts("re", incomes)} from s group by 1), b as (select s.*, {group("re", incomes)} as inc from s join c using (age_group)),
-e as (select age_group, inc, {cuts("past", shocks)} from b group by 1, 2), k as (select b.*, {group("past", shocks)} as chg from b join e using (age_group, inc)), u as ({long})
+s as (select *, case when age <= 34 then 1 else 2 end as age_group from f where past is not null), c as (select age_group, {cuts("re", incomes)} from {ranked("s", "re", "age_group")} group by 1), b as (select s.*, {group("re", incomes)} as inc from s join c using (age_group)),
+e as (select age_group, inc, {cuts("past", shocks)} from {ranked("b", "past", "age_group, inc")} group by 1, 2), k as (select b.*, {group("past", shocks)} as chg from b join e using (age_group, inc)), u as ({long})
 select age_group::bigint as age_group, inc::bigint as inc, chg::bigint as chg, h::bigint as h, count(g) as n, round(avg(g), 4) as response from u group by 1, 2, 3, 4"""
 
 
