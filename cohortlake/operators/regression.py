@@ -93,15 +93,25 @@ def hash_sample(df: DataFrame, share: float, seed: str, *keys: str) -> DataFrame
     return df.filter(md5_uniform(seed, *[F.col(k) for k in keys]) < share)
 
 
-def bootstrap(df: DataFrame, replicates: int, id_: str = "id", seed: str = "boot") -> DataFrame:
-    """Rows of each person as often as each replicate draws them: independent Poisson(1) counts from a digest of (replicate,
-    person), so a person's rows go together and no index of persons is needed. Column rep."""
-    reps = df.sparkSession.range(1, replicates + 1).withColumnRenamed("id", "rep")
+#: Digits of a digest: a uniform number of md5_uniform is a whole number of 2**-48.
+DIGEST_STEPS = 1 << 48
+
+
+def poisson_cuts(most: int | None = None) -> list[float]:
+    """Cumulative probabilities of Poisson(1) counts from 0 on, as far as a digest's numbers reach; at most `most` of them, if given."""
     cumulative, term, cuts = 0.0, float(np.exp(-1)), []
-    for k in range(1, 12):
+    while cumulative <= 1 - 1 / DIGEST_STEPS and (most is None or len(cuts) < most):
         cumulative += term
         cuts.append(cumulative)
-        term /= k
+        term /= len(cuts)
+    return cuts
+
+
+def bootstrap(df: DataFrame, replicates: int, id_: str = "id", seed: str = "boot", most: int | None = None) -> DataFrame:
+    """Rows of each person as often as each replicate draws them: independent Poisson(1) counts from a digest of (replicate,
+    person), so a person's rows go together and no index of persons is needed. `most`, if given, is the largest count. Column rep."""
+    reps = df.sparkSession.range(1, replicates + 1).withColumnRenamed("id", "rep")
+    cuts = poisson_cuts(most)
     people = df.select(id_).distinct().crossJoin(F.broadcast(reps))
     times = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= md5_uniform(seed, F.col("rep"), F.col(id_))))
     drawn = people.withColumn("_times", times).filter("_times > 0")

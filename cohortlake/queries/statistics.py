@@ -235,7 +235,7 @@ def a34_nested_means(spark, d):
 t as (select id, rep, len(list_filter([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.999998874797402, 0.9999998885745217, 0.9999999899522336], lambda c: c <= u)) as times from u),
 s as (select rep, yr, sum(times * y) / sum(times) as m from p join t using (id) where times > 0 group by 1, 2) select yr, count(*) as reps, round(avg(m), 3) as mean, round(stddev_samp(m) / sqrt(count(*)), 4) as se from s group by yr""", "panel")
 def a35_boot_se(spark, d):
-    s = rg.bootstrap(panel(spark, d), 8).groupBy("rep", "yr").agg(F.avg("y").alias("m"))
+    s = rg.bootstrap(panel(spark, d), 8, most=11).groupBy("rep", "yr").agg(F.avg("y").alias("m"))
     return rounded(rg.replicate_errors(s, ["yr"], "m"), 4, mean=3)
 
 
