@@ -195,8 +195,7 @@ def f12_share_exclusion(spark, d):
 
 @query("select o_orderkey, o_totalprice as f from orders where o_totalprice < 100000")
 def f13_legitimate(spark, d):
-    f = F.when(F.col("o_orderkey") > 0, F.col("o_totalprice")).otherwise(F.lit(float("nan")))
-    return readers.table(spark, d, "orders").select("o_orderkey", f.alias("f")).filter(fl.legitimate(F.col("f"), 100000))
+    return readers.table(spark, d, "orders", ["o_orderkey", "o_totalprice"]).withColumnRenamed("o_totalprice", "f").filter(fl.legitimate(F.col("f"), 100000))
 
 
 @query("select id, cast(max((y >= 400000)::int) as bigint) as ever from p group by id having max((y >= 400000)::int) = 1", "panel")

@@ -31,3 +31,9 @@ def test_bootstrap_counts_as_far_as_its_sql(spark, data, tmp_path):
     cuts = rg.poisson_cuts()
     assert rg.poisson_cuts(8) == cuts[:8] and cuts[-1] > 1 - 2.0**-48 >= cuts[-2]
     assert all(math.isclose(b - a, math.exp(-1) / math.factorial(k), rel_tol=1e-2) for k, (a, b) in enumerate(zip(cuts, cuts[1:]), 1) if k < 11)
+
+
+def test_legitimate_keeps_the_first_key(spark, tmp_path):
+    orders = spark.createDataFrame([(0, 5.0), (-3, 7.0), (1, 8.0), (2, 100000.0), (3, None), (4, float("nan"))], "o_orderkey long, o_totalprice double")
+    ours, theirs = against_sql(spark, "f13_legitimate", tmp_path, orders=orders)
+    assert ours == theirs and len(ours) == 3
