@@ -60,14 +60,17 @@ def s03_matrix_shape(spark, d):
     """A matrix of all orders in one file, read in several splits: its rows, columns and cells that are no numbers."""
     lines = readers.table(spark, d, "orders").select(F.concat_ws(" ", F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("string")).alias("value"))
     lines.coalesce(1).write.text(path := _scratch(spark, "orders-matrix"))
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     size = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
-    spark.conf.set("spark.sql.files.maxPartitionBytes", str(-(-size // 3)))
+    # a split has the first of these, but where the session has more cores than the file has thirds, no less than the second
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in before:
+        spark.conf.set(k, str(-(-size // 3)))
     try:
         shape = readers.matrix_shape(spark, path).drop("file")
         splits = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("b")).distinct().count()
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return shape.withColumn("splits", F.lit(splits).cast("long"))
 
 

@@ -37,3 +37,14 @@ def test_legitimate_keeps_the_first_key(spark, tmp_path):
     orders = spark.createDataFrame([(0, 5.0), (-3, 7.0), (1, 8.0), (2, 100000.0), (3, None), (4, float("nan"))], "o_orderkey long, o_totalprice double")
     ours, theirs = against_sql(spark, "f13_legitimate", tmp_path, orders=orders)
     assert ours == theirs and len(ours) == 3
+
+
+def test_matrix_is_read_in_three_splits_whatever_the_cores(spark, data, tmp_path):
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "16")  # what a file much larger than this cost meets
+    try:
+        ours, theirs = against_sql(spark, "s03_matrix_shape", tmp_path, orders=readers.table(spark, data, "orders"))
+        assert spark.conf.get("spark.sql.files.openCostInBytes") == "16"
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert ours == theirs
