@@ -9,8 +9,8 @@ exclusive  between neighbours at (n + 1) p, clipped to the ends
 
 Groups are compared null-safely: rows with null keys form groups like others. Null values have no rank; a group without values has null
 percentiles. Rows are staged once, narrow, and the largest group is counted. Groups of at most `most` values become one sorted array
-each. Larger ones are cut into buckets by approximate quantiles (a bounded summary); exact bucket counts, added up in the map tasks, say
-which bucket holds each wanted rank, and only distinct values of those buckets are gathered, so a mass point is one value with a count.
+each. Otherwise equal values are first counted, in the map tasks as far as they meet there, so a mass point is one value with a count.
+These are dealt by ranges of keys and value; the ranges' counts say which one holds each wanted rank, and only those are summed up.
 """
 
 from __future__ import annotations
@@ -30,9 +30,10 @@ NINE = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 
 #: Rows of a group that one task sorts, or one array holds.
 GROUP_ROWS = 1_000_000
-#: Wanted number of values in a bucket of a larger group.
-BUCKET_ROWS = 100_000
-BUCKETS = 4096
+#: Wanted number of distinct values in a range of larger groups.
+RANGE_ROWS = 100_000
+#: Numbers (8 bytes each) in tables of cut points or ranks that are sent to all executors; larger ones are shuffled.
+SENT = 500_000
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -45,6 +46,12 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, on, how).drop(*[f"_same_{k}" for k in keys])
 
 
+def sent(df: DataFrame, width: int) -> DataFrame:
+    """A staged table of `width` numbers a row, marked for broadcast while it is small. A table with a row a group must not make a shuffle
+    deal all rows of a few large groups to as many tasks."""
+    return F.broadcast(df) if df.count() * max(width, 1) <= SENT else df
+
+
 def largest(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     """Rows of the largest group, and of all."""
     found = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows"), F.sum("_rows")).first()
@@ -133,28 +140,24 @@ def selected(df: DataFrame, keys: Sequence[str], value: str, ranks: Ranks, most:
         held = grouped.agg(F.sort_array(F.collect_list(value)).alias("_sorted"), *extra).withColumn("_n", F.size("_sorted").cast("long"))
         # a rank before the first has no place, and neither has one beyond the last
         return held.withColumn("_at", F.transform(wanted, lambda r: F.get("_sorted", (r - 1).cast("int")))).drop("_sorted")
-    buckets = int(min(BUCKETS, max(2, top // min(BUCKET_ROWS, most))))
-    cut_at = [i / buckets for i in range(1, buckets)]
-    summary = grouped.agg(F.count(value).alias("_n"), F.percentile_approx(value, cut_at, 10 * buckets).alias("_cuts"), *extra)
-    summary = staged(summary.withColumn("_cuts", F.coalesce(F.array_distinct("_cuts"), F.array().cast(f"array<{df.schema[value].dataType.simpleString()}>"))), "cuts")
-    cuts = F.col("_cuts")
-    # two steps of about the root of the number of cuts each
-    step = max(1, int(buckets**0.5))
-    blocks = F.filter(cuts, lambda c, i: (i % step == step - 1) & (c < v))
-    bucket = F.size(blocks) * step + F.size(F.filter(F.slice(cuts, F.size(blocks) * step + 1, F.lit(step)), lambda c: c < v))
-    placed = null_safe(rows.filter(v.isNotNull()), summary.select(*keys, "_cuts"), keys).select(*keys, v.alias("_v"), bucket.alias("_bucket"))
-    sizes = placed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    summary = staged(grouped.agg(F.count(value).alias("_n"), *extra), "sizes")
+    counted = staged(rows.filter(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_times")), "counted")
+    _, total = largest(counted, keys)
+    parts = -(-total // min(RANGE_ROWS, most))
+    ranged = counted.repartitionByRange(parts, *keys, "_v").withColumn("_range", F.spark_partition_id()) if parts > 1 else counted.withColumn("_range", F.lit(0))
+    ranged = staged(ranged, "ranged")
+    sizes = ranged.groupBy(*keys, "_range").agg(F.sum("_times").alias("_size"))
     over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    sizes = sizes.withColumn("_before", F.sum("_size").over(over.orderBy("_bucket")) - F.col("_size"))
+    sizes = sizes.withColumn("_before", F.sum("_size").over(over.orderBy("_range")) - F.col("_size"))
     asked = summary.select(*keys, F.posexplode(wanted).alias("_place", "_rank"))
     spots = null_safe(asked, sizes, keys).filter((F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_before") + F.col("_size")))
-    needed = spots.select(*keys, "_bucket").distinct()
-    counted = null_safe(placed, needed, [*keys, "_bucket"]).groupBy(*keys, "_bucket", "_v").agg(F.count(F.lit(1)).alias("_times"))
-    values = counted.groupBy(*keys, "_bucket").agg(F.sort_array(F.collect_list(F.struct("_v", "_times"))).alias("_values"))
-    found = null_safe(spots, values, [*keys, "_bucket"])
-    start = F.struct((F.col("_rank") - F.col("_before")).alias("left"), F.lit(None).cast(df.schema[value].dataType).alias("hit"))
-    walk = F.aggregate("_values", start, lambda s, x: F.struct((s["left"] - x["_times"]).alias("left"), F.when((s["left"] > 0) & (s["left"] <= x["_times"]), x["_v"]).otherwise(s["hit"]).alias("hit")))
-    hits = found.select(*keys, "_place", walk["hit"].alias("_hit")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_place", "_hit"))).alias("_hits"))
+    # of each range the ranks that it holds
+    needed = staged(spots.groupBy(*keys, "_range", "_before").agg(F.collect_list(F.struct("_place", "_rank")).alias("_ranks")), "needed")
+    met = null_safe(ranged, sent(needed, 8), [*keys, "_range"])
+    upto = met.withColumn("_upto", F.col("_before") + F.sum("_times").over(Window.partitionBy(*keys, "_range").orderBy("_v")))
+    inside = F.filter("_ranks", lambda r: (r["_rank"] > F.col("_upto") - F.col("_times")) & (r["_rank"] <= F.col("_upto")))
+    found = upto.select(*keys, F.col("_v").alias("_hit"), F.explode(inside["_place"]).alias("_place"))
+    hits = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_place", "_hit"))).alias("_hits"))
     joined = null_safe(summary.drop("_cuts"), hits, keys, "left")
     return joined.withColumn("_at", F.transform(wanted, lambda _, i: F.col("_hits")[i])).drop("_hits")
 
@@ -211,7 +214,8 @@ def top_shares(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[f
     """The share of the total from each percentile's rank on. Rows equal to the value at that rank count as far as they reach it."""
     found = selected(df, keys, value, lambda n: all_of(probs, lambda p: F.floor(share_of(n, p)) + 1), most, [F.sum(value).alias("_total")]).drop("_total")
     v = F.col(value)
-    rows = null_safe(df.select(*keys, value).filter(v.isNotNull()), found.withColumnRenamed("_at", "_cuts"), keys)
+    found = staged(found.withColumnRenamed("_at", "_cuts"), "cuts")
+    rows = null_safe(df.select(*keys, value).filter(v.isNotNull()), sent(found, len(probs)), keys)
     cut = lambda i: F.get("_cuts", F.lit(i))
     # rows above the cut, and as many at the cut as complete the number of ranks
     above = [(F.sum(F.when(v > cut(i), v).otherwise(0.0)), F.count(F.when(v > cut(i), 1)), F.max(cut(i))) for i in range(len(probs))]
@@ -226,9 +230,10 @@ def cut_points(df: DataFrame, keys: Sequence[str], value: str, groups: int, rule
 
 
 def xtile(df: DataFrame, keys: Sequence[str], value: str, groups: int, name: str = "bin", rule: str = "averaged", most: int = GROUP_ROWS) -> DataFrame:
-    """Quantile groups by cut point: equal values stay together. The cut table has one row per group and is planned by size."""
+    """Quantile groups by cut point: equal values stay together. The cut table has one row per group and is sent to all executors unless it is large."""
     rows = staged(df, "xtile")
-    joined = null_safe(rows, cut_points(rows, keys, value, groups, rule, most, held=True), keys, "left")
+    cuts = staged(cut_points(rows, keys, value, groups, rule, most, held=True), "cuts")
+    joined = null_safe(rows, sent(cuts, groups), keys, "left")
     return joined.withColumn(name, F.when(F.col(value).isNotNull(), 1 + F.size(F.filter("cuts", lambda c: F.col(value) > c))).cast("long")).drop("cuts")
 
 

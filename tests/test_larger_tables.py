@@ -3,7 +3,9 @@
 import math
 
 import duckdb
+import numpy as np
 
+from cohortlake.functions import quantiles as qu
 from cohortlake.operators import regression as rg
 from cohortlake.queries import oracle_sql, queries
 from cohortlake.sources import readers
@@ -48,3 +50,36 @@ def test_matrix_is_read_in_three_splits_whatever_the_cores(spark, data, tmp_path
     finally:
         spark.conf.set("spark.sql.files.openCostInBytes", before)
     assert ours == theirs
+
+
+def test_large_groups_are_selected_from_counted_values(spark, monkeypatch):
+    held = {}
+
+    def noted(df, label, own=qu.staged):
+        out = own(df, label)
+        held[label] = out.count()
+        return out
+
+    monkeypatch.setattr(qu, "staged", noted)
+    rows = [(g, float(i * i % 7)) for g in ("a", None) for i in range(500)] + [("b", float(i)) for i in range(333)] + [("b", None), ("none", None), ("one", -1.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r for r in qu.group_percentiles(df, ["g"], "v", (1, 25, 50, 75, 99), "linear", most=40).collect()}
+    assert held["ranged"] == 2 * 4 + 333 + 1  # squares have four remainders by 7
+    for g in ("a", None, "b", "one"):
+        want = np.percentile([v for k, v in rows if k == g and v is not None], (1, 25, 50, 75, 99))
+        assert np.allclose(want, got[g][1:]), g
+    assert got["none"].p50 is None and len(got) == 5
+
+
+def test_cut_points_are_sent_to_the_rows(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([(i % 2, float(i % 50)) for i in range(600)], "g int, v double")
+        for most in (50, 1000):
+            binned = qu.xtile(df, ["g"], "v", 10, most=most)
+            plan = binned._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # two groups do not make two tasks
+            assert sorted({r.bin for r in binned.collect()}) == list(range(1, 11))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
