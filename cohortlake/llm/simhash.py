@@ -170,10 +170,10 @@ def near_links(nodes: DataFrame) -> DataFrame:
     close = staged(stars(nodes, 1), "simhash-close")
     rooted = staged(spread(everywhere(nodes, components(close, "simhash-near"))), "simhash-rooted")
     keys = punctured("fp")
-    reached = rooted.select("root", F.explode(keys).alias("key")).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    doubtful = staged(reached.filter("low < high").select("key"), "simhash-doubtful")
-    # the doubtful keys grow with the data, so they are never broadcast
-    members = staged(rooted.select("fp", "root", F.explode(keys).alias("key")).join(doubtful.hint("merge"), "key"), "simhash-members")
+    # variants are shuffled once: the window sees a key's roots and passes on the members of the doubtful keys
+    at = Window.partitionBy("key")
+    reached = rooted.select("fp", "root", F.explode(keys).alias("key")).withColumns({"low": F.min("root").over(at), "high": F.max("root").over(at)})
+    members = staged(reached.filter("low < high").select("key", "fp", "root"), "simhash-members")
     sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("base"), (F.sum("n") - F.max("n")).alias("outside"))
     placed = staged(members.join(staged(sizes, "simhash-sizes"), "key"), "simhash-placed")
     few = F.col("outside") <= PAIRED
