@@ -232,9 +232,15 @@ def cut_points(df: DataFrame, keys: Sequence[str], value: str, groups: int, rule
 def xtile(df: DataFrame, keys: Sequence[str], value: str, groups: int, name: str = "bin", rule: str = "averaged", most: int = GROUP_ROWS) -> DataFrame:
     """Quantile groups by cut point: equal values stay together. The cut table has one row per group and is sent to all executors unless it is large."""
     rows = staged(df, "xtile")
-    cuts = staged(cut_points(rows, keys, value, groups, rule, most, held=True), "cuts")
+    # interpolated cut points of equal values may stand the wrong way round by their last digit
+    cuts = staged(cut_points(rows, keys, value, groups, rule, most, held=True).withColumn("cuts", F.sort_array("cuts")), "cuts")
     joined = null_safe(rows, sent(cuts, groups), keys, "left")
-    return joined.withColumn(name, F.when(F.col(value).isNotNull(), 1 + F.size(F.filter("cuts", lambda c: F.col(value) > c))).cast("long")).drop("cuts")
+    # a bisection: comparisons grow with the logarithm of the groups, and each step is a column, so that it is compiled
+    joined = joined.withColumn("_above", F.lit(0))
+    for k in reversed(range((groups - 1).bit_length())):
+        far = F.col("_above") + (1 << k)
+        joined = joined.withColumn("_above", F.when(F.get("cuts", far - 1) < F.col(value), far).otherwise(F.col("_above")))
+    return joined.withColumn(name, F.when(F.col(value).isNotNull(), F.col("_above") + 1).cast("long")).drop("cuts", "_above")
 
 
 def rank_bins(df: DataFrame, keys: Sequence[str], order: Sequence[str], edges: Sequence[float], name: str = "bin", most: int = GROUP_ROWS, shared: bool = False) -> DataFrame:

@@ -4,6 +4,7 @@ years are a column, not a loop."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,7 +60,7 @@ SHOCK_EDGES = (2, 5, 10, 15, 20, 25, 30, 35, 40, 45, 50, 55, 60, 65, 70, 75, 80,
 
 def edge_group(fine: Column, edges: Sequence[float]) -> Column:
     """Place (from 1) of the first edge that a percentile does not exceed."""
-    return (F.size(F.filter(F.array(*map(F.lit, edges[:-1])), lambda e: e < fine)) + 1).cast("long")
+    return reduce(lambda a, b: a + b, [F.coalesce((fine > e).cast("long"), F.lit(0)) for e in edges[:-1]], F.lit(1).cast("long"))
 
 
 def impulse_statistics(panel: DataFrame, base_years: Sequence[int], floor: float, income_edges: Sequence[float] = INCOME_EDGES, shock_edges: Sequence[float] = SHOCK_EDGES, horizons: Sequence[int] = (1, 2, 3, 5, 10), mass: float = -1.99, young: int = 34, least: int = 3, centre: str = "mean", fine: int = 100) -> DataFrame:

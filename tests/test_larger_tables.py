@@ -83,3 +83,24 @@ def test_cut_points_are_sent_to_the_rows(spark):
             assert sorted({r.bin for r in binned.collect()}) == list(range(1, 11))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_rows_find_their_group_by_bisection(spark):
+    values = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 0.1, *[float(i * i % 97) for i in range(150)], *[7.0] * 60]
+    df = spark.createDataFrame([(g, v) for g in ("a", None) for v in values] + [("none", None)], "g string, v double")
+    for groups in (2, 3, 8, 23, 100):
+        cuts = {r.g: r.cuts for r in qu.cut_points(df, ["g"], "v", groups).collect()}
+        binned = qu.xtile(df, ["g"], "v", groups)
+        assert "lambda" not in binned._jdf.queryExecution().executedPlan().toString()  # one comparison for each cut point before
+        top = lambda x: (math.isnan(x), x)  # noqa: E731  NaN is the largest value
+        for r in binned.collect():
+            assert r.bin == (None if r.v is None else 1 + sum(top(r.v) > top(c) for c in cuts[r.g])), (groups, r)
+
+
+def test_edges_are_compared_in_compiled_code(spark):
+    from cohortlake.plans import pipelines as pl
+
+    df = spark.createDataFrame([(None,), (1.0,), (5.0,), (5.5,), (95.0,), (100.0,)], "fine double")
+    out = df.select("fine", pl.edge_group(df.fine, pl.INCOME_EDGES).alias("edge"))
+    assert "lambda" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [r.edge for r in out.collect()] == [1, 1, 1, 2, 7, 8]
