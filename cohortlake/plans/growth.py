@@ -162,7 +162,7 @@ def stayer_statistics(panel: DataFrame, jobs: DataFrame, years: Sequence[int], b
     mean at the age, for stayers (1) and switchers (0) of pair_stayers. Persons reach the floor in both years and have a main
     employer in both. Recent income is ranked over the profile of the ages it spans, in groups of five years from begin + 1 on, of
     which the first takes in `begin`. panel: id, yr, yob, age, y."""
-    profile = panel.filter(F.col("age").between(BEGIN, RETIRE)).groupBy("age").agg(F.avg("y").alias("_dummy"))
+    profile = staged(panel.filter(F.col("age").between(BEGIN, RETIRE)).groupBy("age").agg(F.avg("y").alias("_dummy")), "profile")
     spans = profile.select("age", F.ln(F.avg("_dummy").over(Window.orderBy("age").rangeBetween(-4, 0))).alias("_profile"))  # a row an age
     people = base_people(person_arrays(panel, years), years[0], base_years, floor, least, (1,))
     group = F.least(F.greatest(F.floor((F.col("age") - BEGIN - 1) / 5) + 1, F.lit(1)), F.lit((RETIRE - BEGIN) // 5)).cast("long")

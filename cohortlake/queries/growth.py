@@ -9,6 +9,7 @@ from cohortlake.plans import imputation as im
 from cohortlake.queries.panels import FULL_JOBS_SQL, _full_jobs
 from cohortlake.queries.registry import FLOOR, aged, query, rounded
 from cohortlake.queries.statistics import type2
+from cohortlake.session import staged
 from cohortlake.sources import readers
 
 YEARS = range(1992, 2003)
@@ -130,7 +131,7 @@ x as (select base, agebin, bin, stay, 'log1' as measure, change - avg(change) ov
 @query(_stayer_sql())
 def m18_stayers(spark, d):
     """Labour income and employers from the line items, the last of four suppliers' groups being self-employment."""
-    jobs = _full_jobs(spark, d)
+    jobs = staged(_full_jobs(spark, d), "jobs")  # the panel, its profile and the pairs of years all come from them
     p = jobs.select("id", "yr", F.col("labor").alias("y"), (1940 + F.col("id") % 36).cast("long").alias("yob")).withColumn("age", F.col("yr") - F.col("yob") + 1)
     return tidy(gr.stayer_statistics(p, jobs, YEARS, BASES, FLOOR, 2, "IIv2", GROUPS, POINTS))
 

@@ -104,3 +104,18 @@ def test_edges_are_compared_in_compiled_code(spark):
     out = df.select("fine", pl.edge_group(df.fine, pl.INCOME_EDGES).alias("edge"))
     assert "lambda" not in out._jdf.queryExecution().executedPlan().toString()
     assert [r.edge for r in out.collect()] == [1, 1, 1, 2, 7, 8]
+
+
+def test_stayers_read_the_line_items_once(spark, data, monkeypatch):
+    from cohortlake.plans import growth as gr
+
+    reading = []
+
+    def noted(df, label, own=qu.staged):
+        reading.extend([label] if any("lineitem" in f for f in df.inputFiles()) else [])
+        return own(df, label)
+
+    for module in (qu, gr):
+        monkeypatch.setattr(module, "staged", noted)
+    assert queries()["m18_stayers"](spark, data).count()
+    assert not reading  # the query stages the jobs; profile, panel and pairs read that
