@@ -138,7 +138,8 @@ def toolbox_impulse(panel: DataFrame, horizons: Sequence[int] = (1, 2, 3, 5, 10)
     recent = F.avg(F.greatest(x, F.lit(floor))).over(w.rowsBetween(-4, 0))
     rows = panel.withColumn("re", recent).withColumn("past", arc_change(x, F.lag(x, 1).over(w), 200.0))
     rows = rows.withColumns({f"next{h}": arc_change(F.lead(x, h).over(w), x, 200.0) for h in horizons})
-    rows = rows.filter("past is not null").withColumn("age_group", F.when(F.col("AGE") <= young, 1).otherwise(2).cast("long"))
+    # the panel's other columns are neither shuffled nor staged
+    rows = rows.filter("past is not null").select(F.when(F.col("AGE") <= young, 1).otherwise(2).cast("long").alias("age_group"), "re", "past", *[f"next{h}" for h in horizons])
     binned = qu.xtile(qu.xtile(rows, ["age_group"], "re", income_groups, "inc", "linear"), ["age_group", "inc"], "past", shock_groups, "chg", "linear")
     long = binned.unpivot(["age_group", "inc", "chg"], [f"next{h}" for h in horizons], "_h", "g").withColumn("h", F.substring("_h", 5, 3).cast("long"))
     return long.groupBy("age_group", "inc", "chg", "h").agg(F.count("g").alias("n"), F.avg("g").alias("response"))

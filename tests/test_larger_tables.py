@@ -119,3 +119,11 @@ def test_stayers_read_the_line_items_once(spark, data, monkeypatch):
         monkeypatch.setattr(module, "staged", noted)
     assert queries()["m18_stayers"](spark, data).count()
     assert not reading  # the query stages the jobs; profile, panel and pairs read that
+
+
+def test_toolbox_impulse_stages_what_it_needs(spark, data, tmp_path, monkeypatch):
+    held = {}
+    monkeypatch.setattr(qu, "staged", lambda df, label, own=qu.staged: held.setdefault(label, set()).update(df.columns) or own(df, label))
+    ours, theirs = against_sql(spark, "m13_toolbox_impulse", tmp_path, orders=readers.table(spark, data, "orders"))
+    assert ours == theirs
+    assert held["xtile"] == {"age_group", "re", "past", "next1", "next2", "inc"}
